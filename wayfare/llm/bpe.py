@@ -28,7 +28,7 @@ from wayfare.llm.words import slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: Bounds of a worker's tables; beyond them a table is begun anew, which changes speed alone.
-MAX_STATES, MAX_MEMO = 150_000, 200_000
+MAX_STATES, MAX_MEMO = 250_000, 600_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -48,14 +48,32 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Transducer:
-    """Bytes in, token ids out; :meth:`encode` for one piece, :meth:`feed` and :meth:`finish` for a stream."""
+    """Bytes in, token ids out; :meth:`encode` for one piece, :meth:`feed` and :meth:`finish` for a stream.
+
+    A state is (last emitted token, ((trie node, tokens), ...)): for each position where a token may have
+    begun, the node its bytes lead to in the trie of all tokens and the tokens not yet emitted before it. The
+    last entry is the end of what was read, at the trie's root.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.open = {b[:n] for b in ranks for n in range(1, len(b))}  # proper prefixes: a token may still grow from here
-        self.stable_pairs: dict[tuple[int, int], bool] = {}
-        self.reachable: dict[int, bool] = {}
+        self.child: dict[int, int] = {}
+        self.token_at: list[int] = [-1]
+        self.grows: list[bool] = [False]
+        for data, token in ranks.items():
+            node = 0
+            for byte in data:
+                key = node << 8 | byte
+                after = self.child.get(key)
+                if after is None:
+                    after = self.child[key] = len(self.token_at)
+                    self.token_at.append(-1)
+                    self.grows.append(False)
+                    self.grows[node] = True
+                node = after
+            self.token_at[node] = token
+        self.pairs: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -63,7 +81,7 @@ class Transducer:
         self.configs: list[tuple] = []
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
         self.rest: list[tuple[int, ...]] = []
-        self.start = self._intern((None, b"", ((0, ()),)))
+        self.start = self._intern((-1, ((0, ()),)))
 
     def _intern(self, config: tuple) -> int:
         at = self.index.get(config)
@@ -71,42 +89,47 @@ class Transducer:
             at = self.index[config] = len(self.configs)
             self.configs.append(config)
             self.moves.append({})
-            self.rest.append(config[2][-1][1])  # the last position is the end of what was read
+            self.rest.append(config[1][-1][1])
         return at
 
-    def _stable(self, a: int | None, b: int) -> bool:
-        known = self.reachable.get(b)
+    def _stable(self, a: int, b: int) -> bool:
+        """Whether b can follow a; a is -1 at the start, where b must be reachable by merges."""
+        pair = (a + 1) << 24 | b
+        known = self.pairs.get(pair)
         if known is None:
-            known = self.reachable[b] = merge(self.bytes_of[b], self.ranks) == [b]
-        if not known or a is None:
-            return known
-        pair = (a, b)
-        known = self.stable_pairs.get(pair)
-        if known is None:
-            known = self.stable_pairs[pair] = merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            if a < 0:
+                known = merge(self.bytes_of[b], self.ranks) == [b]
+            else:
+                known = self._stable(-1, b) and merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            self.pairs[pair] = known
         return known
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        anchor, pending, live = self.configs[state]
-        text = pending + bytes((byte,))
-        ends, ahead = [], []
-        for at, chain in live:
-            tail = text[at:]
-            token = self.ranks.get(tail)
-            if token is not None and self._stable(chain[-1] if chain else anchor, token):
-                ends.append((*chain, token))
-            if tail in self.open:
-                ahead.append((at, chain))
-        if len(ends) != 1:
+        anchor, live = self.configs[state]
+        end, ahead = None, []
+        for node, chain in live:
+            after = self.child.get(node << 8 | byte)
+            if after is None:
+                continue
+            token = self.token_at[after]
+            if token >= 0 and self._stable(chain[-1] if chain else anchor, token):
+                if end is not None:
+                    raise ValueError("the ranks are not those of a byte-pair merge list")
+                end = (*chain, token)
+            if self.grows[after]:
+                ahead.append((after, chain))
+        if end is None:
             raise ValueError("the ranks are not those of a byte-pair merge list")
-        ahead.append((len(text), ends[0]))
-        first = ahead[0][1]
-        n = min(len(chain) for _, chain in ahead)
-        same = next((i for i in range(n) if any(chain[i] != first[i] for _, chain in ahead)), n)
-        out = first[:same]
-        cut = sum(len(self.bytes_of[t]) for t in out)
-        config = (out[-1] if out else anchor, text[cut:], tuple((at - cut, chain[same:]) for at, chain in ahead))
-        made = self.moves[state][byte] = (self._intern(config), out)
+        ahead.append((0, end))
+        first, same = ahead[0][1], 0
+        while same < len(first) and all(chain[same] == first[same] for _, chain in ahead):
+            same += 1
+        if same:
+            anchor = first[same - 1]
+            ahead = [(node, chain[same:]) for node, chain in ahead]
+        if first[same:]:
+            anchor = -2  # every open position has its own token before it
+        made = self.moves[state][byte] = (self._intern((anchor, tuple(ahead))), first[:same])
         return made
 
     def feed(self, state: int, data: bytes, out: list[int]) -> int:
@@ -125,10 +148,10 @@ class Transducer:
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
-        if len(self.configs) > MAX_STATES:
-            self.clear()
         if whole is not None:  # a piece that is a token is that token, as in the public library
             return [whole]
+        if len(self.configs) > MAX_STATES:
+            self.clear()
         out: list[int] = []
         self.finish(self.feed(self.start, piece, out), out)
         return out
