@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.quality import quality_rules
+from wayfare.llm.simhash import simhash_duplicates
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -25,6 +30,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
     }
