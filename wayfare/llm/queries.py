@@ -10,12 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.simhash import simhash_duplicates
+from wayfare.llm.token_ids import token_id_round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_id_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_token_ids": op6_token_ids,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
