@@ -11,12 +11,17 @@ from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.simhash import simhash_duplicates
 from wayfare.llm.token_ids import token_id_round_trip
+from wayfare.llm.toxicity import toxicity_held_out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -35,6 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op6_token_ids": op6_token_ids,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
