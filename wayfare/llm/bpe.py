@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from wayfare.llm.words import slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: Bounds of a worker's tables; beyond them a table is begun anew, which changes speed alone.
-MAX_STATES, MAX_MEMO = 250_000, 600_000
+MAX_STATES, MAX_MEMO = 300_000, 1_200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -36,15 +37,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Plain merging by lowest rank, leftmost first. Defines the encoding; the transducer calls it on short strings."""
-    parts = [piece[i : i + 1] for i in range(len(piece))]
+def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[int], int]:
+    """Plain merging by lowest rank, leftmost first: the ids, and where the last merge joined its halves.
+
+    This defines the encoding; the transducer calls it on single tokens only.
+    """
+    parts, seam = [piece[i : i + 1] for i in range(len(piece))], 0
     while len(parts) > 1:
         best = min(range(len(parts) - 1), key=lambda i: ranks.get(parts[i] + parts[i + 1], 1 << 60))
         if parts[best] + parts[best + 1] not in ranks:
             break
+        seam = sum(map(len, parts[: best + 1]))
         parts[best : best + 2] = [parts[best] + parts[best + 1]]
-    return [ranks[p] for p in parts]
+    return [ranks[p] for p in parts], seam
 
 
 class Transducer:
@@ -74,13 +79,15 @@ class Transducer:
                 node = after
             self.token_at[node] = token
         self.pairs: dict[int, bool] = {}
+        self.seams: dict[int, int] = {}
+        self.edges: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[tuple, int] = {}
         self.configs: list[tuple] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.rest: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}  # state << 8 | byte: the next state, its complement if tokens are emitted
+        self.emits: dict[int, tuple[int, ...]] = {}
         self.start = self._intern((-1, ((0, ()),)))
 
     def _intern(self, config: tuple) -> int:
@@ -88,23 +95,63 @@ class Transducer:
         if at is None:
             at = self.index[config] = len(self.configs)
             self.configs.append(config)
-            self.moves.append({})
-            self.rest.append(config[1][-1][1])
         return at
 
+    def _seam(self, token: int) -> int:
+        """Where a token's last merge joined its halves; -1 if merging its bytes does not give it."""
+        at = self.seams.get(token)
+        if at is None:
+            data = self.bytes_of[token]
+            ids, at = merge(data, self.ranks)
+            at = self.seams[token] = at if ids == [token] else -1
+        return at
+
+    def _edge(self, token: int, right: bool) -> list[tuple[bytes, int]]:
+        """The pieces at one end of a token as its merges form them, from the single byte to the whole."""
+        known = self.edges.get((token, right))
+        if known is None:
+            known, data = [], self.bytes_of[token]
+            while True:
+                rank = self.ranks[data]
+                known.append((data, rank))
+                if len(data) == 1:
+                    break
+                seam = self._seam(rank)
+                data = data[seam:] if right else data[:seam]
+            known.reverse()
+            self.edges[token, right] = known
+        return known
+
     def _stable(self, a: int, b: int) -> bool:
-        """Whether b can follow a; a is -1 at the start, where b must be reachable by merges."""
+        """Whether b can follow a; a is -1 at the start, where b must be reachable by merges.
+
+        Both tokens' merges are replayed by rank. The pair is unstable if the pieces that meet between them
+        could merge before either goes on; of equal ranks the left one is first.
+        """
         pair = (a + 1) << 24 | b
         known = self.pairs.get(pair)
         if known is None:
-            if a < 0:
-                known = merge(self.bytes_of[b], self.ranks) == [b]
-            else:
-                known = self._stable(-1, b) and merge(self.bytes_of[a] + self.bytes_of[b], self.ranks) == [a, b]
+            known = self._seam(b) >= 0
+            if known and a >= 0:
+                left, right = self._edge(a, True), self._edge(b, False)
+                i = j = 0
+                while True:
+                    next_left = left[i + 1][1] if i + 1 < len(left) else 1 << 60
+                    next_right = right[j + 1][1] if j + 1 < len(right) else 1 << 60
+                    across = self.ranks.get(left[i][0] + right[j][0], 1 << 60)
+                    if across < next_left and across <= next_right and across < 1 << 60:
+                        known = False
+                        break
+                    if next_left == next_right == 1 << 60:
+                        break
+                    if next_left <= next_right:
+                        i += 1
+                    else:
+                        j += 1
             self.pairs[pair] = known
         return known
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+    def _move(self, state: int, byte: int) -> int:
         anchor, live = self.configs[state]
         end, ahead = None, []
         for node, chain in live:
@@ -129,22 +176,29 @@ class Transducer:
             ahead = [(node, chain[same:]) for node, chain in ahead]
         if first[same:]:
             anchor = -2  # every open position has its own token before it
-        made = self.moves[state][byte] = (self._intern((anchor, tuple(ahead))), first[:same])
-        return made
+        after, key = self._intern((anchor, tuple(ahead))), state << 8 | byte
+        if same:
+            self.emits[key] = first[:same]
+            after = ~after
+        self.moves[key] = after
+        return after
 
     def feed(self, state: int, data: bytes, out: list[int]) -> int:
-        moves = self.moves
+        get, emits = self.moves.get, self.emits
         for byte in data:
-            step = moves[state].get(byte)
+            key = state << 8 | byte
+            step = get(key)
             if step is None:
                 step = self._move(state, byte)
-            state, ready = step
-            if ready:
-                out.extend(ready)
+            if step < 0:
+                out.extend(emits[key])
+                state = ~step
+            else:
+                state = step
         return state
 
     def finish(self, state: int, out: list[int]) -> None:
-        out.extend(self.rest[state])
+        out.extend(self.configs[state][1][-1][1])
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -247,7 +301,7 @@ class Codec:
 
         Tokens of whole characters leave the machine where it was, so it steps over the runs of others only.
         """
-        pieces = [self.token_bytes[i] for i in ids.tolist()]
+        pieces = list(map(self.token_bytes.__getitem__, ids.tolist()))
         odd = np.flatnonzero(~self.clean[ids]) if len(ids) else ids
         valid, at = True, 0
         while valid and at < len(odd):
@@ -269,7 +323,7 @@ class _Memo(dict):
         self.codec = codec
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.codec.machine.encode(piece.encode()), dtype="<u4").tobytes()
+        ids = struct.pack(f"<{len(found := self.codec.machine.encode(piece.encode()))}I", *found)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
