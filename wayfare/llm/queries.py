@@ -8,12 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.bpe import bpe_round_trip
+from wayfare.llm.decontamination import contaminated
+from wayfare.llm.pii import pseudonymise
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.simhash import simhash_duplicates
 from wayfare.llm.token_ids import token_id_round_trip
 from wayfare.llm.toxicity import toxicity_held_out
 
 
+#: The key of these queries' pseudonyms. Real data take a secret one from their own store.
+PII_KEY = b"wayfare-public-demonstration-key"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -22,10 +28,18 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"))
 
@@ -41,7 +55,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_decontamination": op2_decontamination,
         "op6_token_ids": op6_token_ids,
+        "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
         "op9_bpe": op9_bpe,
         "op10_quality": op10_quality,
