@@ -7,8 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wayfare.llm import chat_tools
 from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.decontamination import contaminated
+from wayfare.llm.html_text import extract_text
 from wayfare.llm.pii import pseudonymise
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.simhash import simhash_duplicates
@@ -32,6 +34,14 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_tools.format_chat(table(spark, sf_dir, "conversations"))
+
+
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_id_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
@@ -56,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
+        "op3_chat_tools": op3_chat_tools,
+        "op5_html": op5_html,
         "op6_token_ids": op6_token_ids,
         "op7_pii": op7_pii,
         "op8_simhash": op8_simhash,
@@ -65,4 +77,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for whole tables. That of op3 says what messages without tool JSON become; the tables hold no other."""
+    return {"op3_chat_tools": chat_tools.ORACLE}
