@@ -11,8 +11,7 @@ by a hash of the id. Scoring runs over all whole texts. Labels, languages, sourc
 
 Null and empty texts have no features and score the intercept. A text that is labelled twice is used once,
 as toxic if either label says so; null labels are no labels. Repeated documents are rows of their own.
-Without labels of both classes every score is 0.5 times the share of positives plus a half, that is, one
-constant.
+Without labels of both classes every score is one constant, near the share of positives.
 """
 
 from __future__ import annotations
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wayfare.llm.words import owners, slices, spread, texts_of, words_of
+from wayfare.plans.shared import cut
 
 SIZES = (3, 4, 5, 6)
 MAX_POSITIVE, MAX_NEGATIVE = 2000, 5000
@@ -72,41 +72,16 @@ def _features(words: list[str], index: dict[str, int], sizes: tuple[int, ...] =
     return np.array(flat, dtype=np.int64), ends
 
 
-def fit(vocabularies: list[list[str]], labels: np.ndarray) -> Model:
-    """Learn from the distinct words of each text and its label (1: toxic). Deterministic."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, names: list[str], ratio: np.ndarray) -> Model:
+    """Learn weights from the feature numbers of each text and its label (1: toxic). Deterministic."""
     n, positive = len(labels), int(labels.sum())
     if not 0 < positive < n:
         return Model({}, float(np.log((positive + 1) / (n - positive + 1))))
-    counts: dict[str, list[int]] = {}
-    memo: dict[str, set[str]] = {}
-    for words, y in zip(vocabularies, labels.tolist(), strict=True):
-        seen: set[str] = set()
-        for word in words:
-            grams = memo.get(word)
-            if grams is None:
-                grams = memo[word] = ngrams(word)
-            seen |= grams
-        for g in seen:
-            pair = counts.get(g)
-            if pair is None:
-                pair = counts[g] = [0, 0]
-            pair[y] += 1
-    total = np.array([n - positive, positive], dtype=float) + 2 * SMOOTH
-    names = [g for g, (a, b) in counts.items() if a + b >= MIN_TEXTS]
-    both = np.array([counts[g] for g in names], dtype=float).reshape(-1, 2)
-    share = (both + SMOOTH) / total
-    ratio = np.log(share[:, 1]) - np.log(share[:, 0])
-    order = np.lexsort((np.array(names, dtype=object).astype(str), -np.abs(ratio) * np.sqrt(both.sum(axis=1))))
-    chosen = [i for i in order[: 4 * MAX_FEATURES].tolist() if abs(ratio[i]) >= MIN_RATIO][:MAX_FEATURES]
-    names, ratio = [names[i] for i in chosen], ratio[chosen]
-    index = {g: i for i, g in enumerate(names)}
-    rows = [sorted({index[g] for word in words for g in memo[word] if g in index}) for words in vocabularies]
     owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    column = np.array([i for r in rows for i in r], dtype=np.int64)
+    column = np.concatenate(rows).astype(np.int64)
     scaled = ratio[column]
     w, bias = np.zeros(len(names)), float(np.log(positive / (n - positive)))
-    step = np.zeros(len(names))
-    bias_step = 0.0
+    step, bias_step = np.zeros(len(names)), 0.0
     # Each class weighs as much as the other, so 0.5 parts them whatever their shares.
     weight = np.where(labels == 1, 0.5 / positive, 0.5 / (n - positive))
     for _ in range(ROUNDS):
@@ -120,24 +95,62 @@ def fit(vocabularies: list[list[str]], labels: np.ndarray) -> Model:
     return Model(dict(zip(names, (w * ratio).tolist(), strict=True)), bias)
 
 
-def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, negative, positive): in how many texts of each label an n-gram is, summed over some texts."""
+    for batch in slices(batches, size=2 << 20):
         words = words_of(texts_of(batch), lower=True)
-        lists = [words.dictionary.take(pa.array(np.unique(words.codes[a:b]))).to_pylist() for a, b in zip(words.offsets[:-1], words.offsets[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(lists, pa.list_(pa.string()))], names=["doc_id", "toxic", "words"])
+        index: dict[str, int] = {}
+        flat: list[int] = []
+        ends = np.zeros(len(words.dictionary) + 1, dtype=np.int64)
+        for at, word in enumerate(words.dictionary.to_pylist()):
+            flat.extend(index.setdefault(g, len(index)) for g in ngrams(word))
+            ends[at + 1] = len(flat)
+        found, offsets = spread(ends, np.array(flat, dtype=np.int64), words.codes, words.offsets)
+        pairs = np.unique(owners(offsets) * max(1, len(index)) + found)
+        toxic = batch.column("toxic").to_numpy()[pairs // max(1, len(index))]
+        gram = pairs % max(1, len(index))
+        both = [np.bincount(gram[toxic == y], minlength=len(index)) for y in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(list(index), pa.string()), *map(pa.array, both)], names=["gram", "negative", "positive"])
+
+
+def _feature_rows(names: list[str]):
+    index = {g: i for i, g in enumerate(names)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, size=2 << 20):
+            words = words_of(texts_of(batch), lower=True)
+            hits, ends = _features(words.dictionary.to_pylist(), index)
+            found, offsets = spread(ends, hits, words.codes, words.offsets)
+            rows = [np.unique(found[a:b]).astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "toxic", "features"])
+
+    return run
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_negative: int = MAX_NEGATIVE) -> Model:
-    """Fit on the bounded sample. ``labels``: (doc_id, toxic)."""
-    by_doc = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    """Fit on the bounded sample. ``labels``: (doc_id, toxic).
+
+    Executors count the n-grams; the driver gets the kept ones, at most ``MAX_FEATURES``, and the numbers of
+    those each sampled text has.
+    """
+    by_doc = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     ranked = by_doc.withColumn("h", F.xxhash64("doc_id"))
     chosen = [ranked.where(F.col("toxic") == y).orderBy("h", "doc_id").limit(n).select("doc_id", "toxic") for y, n in ((1, max_positive), (0, max_negative))]
     sample = chosen[0].union(chosen[1])  # bounded by the two parameters, so it may be broadcast
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")), "doc_id")
-    got = text.mapInArrow(_vocabulary, "doc_id long, toxic int, words array<string>").toArrow().to_pylist()
-    unique = {r["doc_id"]: r for r in sorted(got, key=lambda r: (r["doc_id"], r["words"]))}
-    rows = [unique[k] for k in sorted(unique)]
-    return fit([r["words"] for r in rows], np.array([r["toxic"] for r in rows], dtype=np.int64))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
+    texts = cut(texts.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.coalesce("text", F.lit(""))).alias("text")))
+    sizes = {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    positive, negative = sizes.get(1, 0), sizes.get(0, 0)
+    if not positive or not negative:
+        return fit([], np.repeat([1, 0], [positive, negative]), [], np.zeros(0))
+    share = lambda c, n: F.log((F.col(c) + SMOOTH) / (n + 2 * SMOOTH))
+    grams = texts.mapInArrow(_count_grams, "gram string, negative long, positive long").groupBy("gram").agg(F.sum("negative").alias("negative"), F.sum("positive").alias("positive"))
+    rated = grams.withColumn("n", F.col("negative") + F.col("positive")).withColumn("ratio", share("positive", positive) - share("negative", negative))
+    kept = rated.where((F.col("n") >= MIN_TEXTS) & (F.abs("ratio") >= MIN_RATIO)).orderBy((-F.abs("ratio") * F.sqrt("n")), "gram").limit(MAX_FEATURES).select("gram", "ratio").toPandas().sort_values("gram")
+    names = kept["gram"].tolist()
+    got = texts.mapInArrow(_feature_rows(names), "doc_id long, toxic int, features array<int>").toArrow().sort_by("doc_id")
+    rows = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in got["features"]]
+    return fit(rows, got["toxic"].to_numpy().astype(np.int64), names, kept["ratio"].to_numpy())
 
 
 def _score(model: Model):
