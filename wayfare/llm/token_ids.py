@@ -35,9 +35,9 @@ MAGIC = b"WFIDS\x01\0\0"
 #: magic, bytes of an id, records, keyed records, ids, and where the five parts after the ids begin.
 HEADER = struct.Struct("<8sQQQQ5Q")
 #: Rows of a run of keys, about, and bytes of ids in one file; a run with more goes on in further files.
-SHARD_ROWS, FILE_BYTES = 8192, 32 << 20
+SHARD_ROWS, FILE_BYTES = 4096, 16 << 20
 _FILES = 1 << 20
-MAX_MEMO = 500_000
+MAX_MEMO = 600_000
 
 
 # --- index ---------------------------------------------------------------------------------------------
@@ -166,7 +166,13 @@ def write_file(path: str, data: bytes) -> None:
 
 
 class WordEncoder:
-    """Ids of a text, word by word: the vocabulary's splitter never joins across ASCII white space and drops it."""
+    """Ids of texts by distinct word.
+
+    The vocabulary's splitter drops white space and never joins across it, lower-cases first, and parts letters
+    from punctuation. So a text's ids are those of its words; a word's full stop or comma is a piece of its own;
+    and words of letters alone, which are one piece each, can be encoded many to a call and parted again at the
+    tokens that end a piece.
+    """
 
     def __init__(self, vocabulary: str):
         import os
@@ -175,33 +181,68 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tool = Tokenizer.from_file(vocabulary)
-        self.width = 2 if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        size = self.tool.get_vocab_size(with_added_tokens=True)
+        self.width = 2 if size <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self.ends = np.fromiter(((self.tool.id_to_token(i) or "").endswith("</w>") for i in range(size)), dtype=bool, count=size)
         self.memo: dict[bytes, bytes] = {}
 
+    def _singly(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 2048):
+            some = words[at : at + 2048]
+            for word, coded in zip(some, self.tool.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
+                self.memo[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
+
+    def _together(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 512):
+            some = words[at : at + 512]
+            ids = np.array(self.tool.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            stop = np.flatnonzero(self.ends[ids]) + 1
+            if len(stop) != len(some) or stop[-1] != len(ids):
+                self._singly(some)
+                continue
+            data, stop = ids.tobytes(), (stop * self.width).tolist()
+            self.memo.update(zip(some, (data[a:b] for a, b in zip([0, *stop], stop)), strict=True))
+
+    def learn(self, words: set[bytes]) -> None:
+        memo, tails = self.memo, {}
+        for word in words:
+            if word[-1] in b".,":
+                base = word[:-1]
+                if base and (base[-1:].isalnum() or not base.isascii() and base.decode()[-1].isalpha()):
+                    tails[word] = base
+        need = (words.difference(tails) | set(tails.values()) | {b".", b","}).difference(memo)
+        plain = [w for w in need if w.decode().isalpha()]
+        self._together(plain)
+        self._singly(list(need.difference(plain)))
+        for word, base in tails.items():
+            memo[word] = memo[base] + memo[word[-1:]]
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        memo = self.memo
-        for text in texts:
-            words = text.split()  # bytes split on ASCII white space alone
-            new = list({w for w in words if w not in memo})
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, coded in zip(some, self.tool.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    memo[word] = np.array(coded.ids, dtype=self.dtype).tobytes()
-            yield b"".join([memo[w] for w in words])
-            if len(memo) > MAX_MEMO:
-                memo.clear()
-
-
-def _encode_batches(vocabulary: str, end_id: int):
+        if len(self.memo) > MAX_MEMO:
+            self.memo.clear()
+        lists = [text.lower().split() for text in texts]  # bytes: changes A-Z alone, splits on ASCII white space alone
+        new: set[bytes] = set()
+        for words in lists:
+            new.update(set(words).difference(self.memo))
+        self.learn(new)
+        for words in lists:
+            yield b"".join(map(self.memo.__getitem__, words))
+
+
+def _encode_batches(vocabulary: str, end_id: int, bounds: list[int]):
+    """Arrow function over (doc_id, text): each row's shard by its key, and its ids."""
     tool: list[WordEncoder] = []
+    limits = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=4 << 20):
             tool or tool.append(WordEncoder(vocabulary))
             end = np.array([end_id], dtype=tool[0].dtype).tobytes()
             ids = [x + end for x in tool[0].encode(texts_of(batch).cast(pa.binary()).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            keys = batch.column("doc_id")
+            shard = np.searchsorted(limits, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), "left")
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), keys, pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
 
     return run
 
@@ -234,14 +275,14 @@ def _write_shards(folder: str, width: int):
     return run
 
 
-def _ranges(docs: DataFrame, rows: int) -> tuple[list[int], int]:
+def _ranges(docs: DataFrame, rows: int) -> list[int]:
     """Bounds that cut the keys into runs of about ``rows`` rows; from the key column alone."""
     n = docs.select(F.count("*")).first()[0]
     parts = max(1, -(-n // rows))
     if parts == 1:
-        return [], 1
+        return []
     cuts = docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.001, 0.2 / parts))
-    return sorted({int(x) for x in cuts}), parts
+    return sorted({int(x) for x in cuts})
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -250,26 +291,13 @@ def write_token_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int,
     Texts are encoded where they are read; what is shuffled, once, is their ids. The bounds of shards are one
     number for each ``shard_rows`` documents.
     """
-    bounds, _ = _ranges(docs, shard_rows)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shard = _range_of(keyed, bounds)
-    coded = shard.mapInArrow(_encode_batches(vocabulary, end_id), "shard long, doc_id long, ids binary")
+    coded = keyed.mapInArrow(_encode_batches(vocabulary, end_id, _ranges(keyed, shard_rows)), "shard long, doc_id long, ids binary")
     dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
     width = WordEncoder(vocabulary).width
     return cut(dealt.mapInArrow(_write_shards(folder, width), "shard long, n_ids long, n_rows long"))
 
 
-def _range_of(keyed: DataFrame, bounds: list[int]) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limits = np.array(bounds, dtype=np.int64)
-        for batch in batches:
-            keys = batch.column("doc_id")
-            shard = np.searchsorted(limits, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), keys, batch.column("text")], names=["shard", "doc_id", "text"])
-
-    return keyed.mapInArrow(run, "shard long, doc_id long, text string")
-
-
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
