@@ -11,11 +11,12 @@ from wayfare.llm import chat_tools
 from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.decontamination import contaminated
 from wayfare.llm.html_text import extract_text
+from wayfare.llm.language_model import score_texts
 from wayfare.llm.pii import pseudonymise
 from wayfare.llm.quality import quality_rules
 from wayfare.llm.simhash import simhash_duplicates
 from wayfare.llm.token_ids import token_id_round_trip
-from wayfare.llm.toxicity import toxicity_held_out
+from wayfare.llm.toxicity import remainder, toxicity_held_out
 
 
 #: The key of these queries' pseudonyms. Real data take a secret one from their own store.
@@ -38,6 +39,10 @@ def op3_chat_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_tools.format_chat(table(spark, sf_dir, "conversations"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), remainder("doc_id", 7) == 2)
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
 
@@ -67,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_decontamination": op2_decontamination,
         "op3_chat_tools": op3_chat_tools,
+        "op4_language_model": op4_language_model,
         "op5_html": op5_html,
         "op6_token_ids": op6_token_ids,
         "op7_pii": op7_pii,
