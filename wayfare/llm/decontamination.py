@@ -248,3 +248,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
         found = texts.mapInArrow(_search(items, Seeds.of(items, share)), SCHEMA)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``docs`` without the rows that align with a benchmark item. Rows of one id stay or go together."""
+    found = contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

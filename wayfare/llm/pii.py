@@ -275,3 +275,19 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """(doc_id, text, a count for each kind, n_replaced) of each row of ``docs`` (doc_id, text). One pass, no shuffle."""
     schema = "doc_id long, text string, " + ", ".join(f"n_{kind} int" for kind in KINDS) + ", n_replaced int"
     return docs.select("doc_id", "text").mapInArrow(_rewrite(key), schema)
+
+
+def with_pseudonyms(docs: DataFrame, key: bytes) -> DataFrame:
+    """``docs`` with their texts pseudonymised and, if there, ``n_chars`` counted anew; other columns as they are."""
+    schema, rewrite = docs.schema, _rewrite(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text")], names=["doc_id", "text"])
+            text = pa.concat_arrays([x.column("text") for x in rewrite(iter((rows,)))])
+            columns = {name: batch.column(name) for name in batch.schema.names} | {"text": text}
+            if "n_chars" in columns:
+                columns["n_chars"] = pc.utf8_length(text).cast(columns["n_chars"].type)
+            yield pa.RecordBatch.from_arrays([c.cast(batch.schema.field(n).type) for n, c in columns.items()], names=list(columns))
+
+    return docs.mapInArrow(run, schema)

@@ -171,3 +171,17 @@ def quality_rules(docs: DataFrame, model_file: str, bands: dict = BANDS) -> Data
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     return docs.select("doc_id", "text", lang.alias("lang")).mapInArrow(measure(model_file, bands), SCHEMA)
+
+
+def keep_good(docs: DataFrame, model_file: str, bands: dict = BANDS) -> DataFrame:
+    """The rows of ``docs`` whose verdict is to keep them, with all their columns. One pass, no shuffle."""
+    names, judge = docs.columns, measure(model_file, bands)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            lang = batch.column("lang") if "lang" in names else pa.nulls(batch.num_rows, pa.string())
+            rows = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column("text"), lang], names=["doc_id", "text", "lang"])
+            kept = pa.concat_arrays([x.column("kept") for x in judge(iter((rows,)))])
+            yield batch.filter(kept)
+
+    return docs.mapInArrow(run, docs.schema)

@@ -240,3 +240,10 @@ def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHI
     prints = cut(simhash_fingerprints(docs, shingle, seed))
     classes = simhash_components(prints, radius, split_over)
     return prints.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """``docs`` without the rows whose component has a smaller id. Rows without an id stay; rows of one id stay or go together."""
+    found = simhash_duplicates(docs, radius, shingle, seed)
+    dropped = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
