@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayfare.functions.scalars import bearing, name_matches, road_name, slot_floor
-from wayfare.operators import demand, features, intervals, metrics, regions, relation, roads, selection, spatial, supply
+from wayfare.operators import demand, features, intervals, metrics, partitioning, regions, relation, roads, selection, spatial, supply
 from wayfare.plans.components import connected_components
 from wayfare.sources import adapters as src
 from wayfare.sql import RADIUS
@@ -497,3 +497,59 @@ def heatmap_pivot(spark, d):
 def coverage_gaps(spark, d):
     partition = src.all_segments(spark, d).where("is_connector or seg_id % 13 <> 0").select("seg_id")
     return selection.coverage_gaps(src.segments(spark, d).select("seg_id"), partition)
+
+
+# --- graph kernels -------------------------------------------------------------------------------------
+
+K = 10
+
+
+def _graph(spark, d):
+    """The nodes and edges of the road variant."""
+    road = F.lit("road").alias("variant")
+    demand_of = src.segment_features(spark, d).select("seg_id", F.col("order_total").alias("demand"))
+    nodes = src.segments(spark, d).join(demand_of, "seg_id", "left").select(road, "seg_id", "demand", "length", "x", "y")
+    zero = F.lit(0.0)
+    edges = src.edges(spark, d).select(road, "seg_id_a", "seg_id_b", F.col("base_weight").alias("weight"), "continuity_weight", "connector_weight", zero.alias("poi_similarity"), zero.alias("order_similarity"))
+    return nodes, edges
+
+
+def _partition_query(name: str) -> Query:
+    def run(spark, d):
+        return partitioning.partition(*_graph(spark, d), [name], K)
+
+    run.__name__ = name
+    return query(run)
+
+
+for _name in partitioning.ALGORITHMS:
+    _partition_query(_name)
+
+
+@query
+def regularized_search(spark, d):
+    nodes, edges = _graph(spark, d)
+    initial = partitioning.partition(nodes, edges, ["skater"], K)
+    settings = selection.setting_grid(spark, lambda_c=[0.2, 1.0], lambda_r=[1.0])
+    return partitioning.search(nodes, edges, initial, settings, None, passes=2)
+
+
+@query
+def setting_grid(spark, d):
+    return selection.setting_grid(spark, lambda_c=[0.2, 0.5, 1.0, 2.0], lambda_r=[0.5, 1.0, 2.0, 4.0])
+
+
+@query
+def network_diameter(spark, d):
+    return rounded(partitioning.diameter_metrics(src.edges(spark, d), src.segments(spark, d)))
+
+
+@query
+def shape_metrics(spark, d):
+    segments = src.segments(spark, d).select("cluster_id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 30.0).alias("x1"), (F.col("y") + 40.0).alias("y1"))
+    return rounded(partitioning.shape_metrics(segments), digits=6)
+
+
+@query
+def colour_diagnostics(spark, d):
+    return rounded(partitioning.colour_diagnostics(regions.cluster_road_edges(src.edges(spark, d), src.segments(spark, d))))

@@ -238,5 +238,7 @@ SELECT node, min(root) AS component FROM re GROUP BY ALL""",
     "ranked_summary": f"WITH {RUNS}, s AS (SELECT run_id, connected_cluster_ratio - greatest(mean_components - 1, 0) - connector_cut_ratio - continuity_cut_ratio AS st, poi_similarity + order_similarity + od_sparsity AS se, -order_count_cv AS ba FROM runs) SELECT run_id, round(st, 6) AS structure_score, round(se, 6) AS semantic_score, round(ba, 6) AS balance_score, row_number() OVER (ORDER BY st DESC, se DESC, ba DESC, run_id) AS rank FROM s",
     "candidate_gates": f"WITH {RUNS}, {BASELINES} SELECT run_id, coalesce(r.connector_cut_ratio < b.connector_cut_ratio, false) AS improves_connector_cut_ratio, {_HOLD('od_sparsity', 0.02)} AS holds_od_sparsity, {_HOLD('order_count_cv', 0.1)} AS holds_order_count_cv, coalesce(r.connector_cut_ratio < b.connector_cut_ratio, false) AND {_HOLD('od_sparsity', 0.02)} AND {_HOLD('order_count_cv', 0.1)} AS passes FROM runs r JOIN base b USING (initialization)",
     "heatmap_pivot": f"WITH {RUNS} SELECT initialization, round(avg(od_sparsity) FILTER (is_regularized), 6) AS regularized, round(avg(od_sparsity) FILTER (NOT is_regularized), 6) AS baseline FROM runs GROUP BY ALL",
+    "embedding_cosine_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS s FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10",
+    "setting_grid": "WITH c(lambda_c, a) AS (VALUES (0.2::DOUBLE, '0p2'), (0.5, '0p5'), (1.0, '1p0'), (2.0, '2p0')), r(lambda_r, b) AS (VALUES (0.5::DOUBLE, '0p5'), (1.0, '1p0'), (2.0, '2p0'), (4.0, '4p0')) SELECT lambda_c, lambda_r, 'lambda_c' || a || '_lambda_r' || b AS setting_id FROM c, r",
     "coverage_gaps": f"WITH {ROADS} SELECT seg_id, 'missing' AS problem FROM seg WHERE seg_id % 13 = 0 UNION ALL SELECT seg_id, 'extra' FROM con",
 }
