@@ -44,7 +44,7 @@ def segment_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def all_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return read(spark, sf_dir, "part").select(
-        key.alias("seg_id"), F.expr("p_partkey div 3").alias("u"), F.expr("((p_partkey * 17) % 2003) div 3").alias("v"), F.col("p_brand").alias("name"), (key % 11).alias("osmid"), F.col("p_type").alias("highway"),
+        key.alias("seg_id"), F.expr("p_partkey div 3").alias("u"), F.expr("CASE WHEN p_partkey % 7 = 0 THEN p_partkey div 6 ELSE p_partkey div 3 + 1 END").alias("v"), F.col("p_brand").alias("name"), (key % 11).alias("osmid"), F.col("p_type").alias("highway"),
         F.col("p_retailprice").cast("double").alias("length"), ((key * 37) % 180).cast("double").alias("bearing"), (key % 10).alias("cluster_id"), ((key * 7919) % 1000).cast("double").alias("x"), ((key * 104729) % 1000).cast("double").alias("y"), (F.col("p_size") <= 5).alias("is_connector"),
     )
 

@@ -51,7 +51,7 @@ seen AS (SELECT slot_start, cluster_id, driver_id FROM ix UNION ALL SELECT slot_
 fl AS (SELECT slot_start, cluster_id, fleet_lower_bound, global_fleet_lower_bound FROM (SELECT slot_start, cluster_id, count(DISTINCT driver_id) AS fleet_lower_bound FROM seen GROUP BY ALL) JOIN (SELECT slot_start, count(DISTINCT driver_id) AS global_fleet_lower_bound FROM seen GROUP BY ALL) USING (slot_start))"""
 )
 OD = LABELS + """, od AS (SELECT time_bucket(INTERVAL 15 MINUTE, departure_time, TIMESTAMP '1970-01-01') AS slot_start, origin_cluster_id, destination_cluster_id, count(*) FILTER (service_type = 'exclusive') AS exclusive_count, count(*) FILTER (service_type = 'carpool') AS carpool_count, count(*) AS total_count FROM l GROUP BY ALL)"""
-ROADS = """seg0 AS (SELECT p_partkey AS seg_id, p_partkey // 3 AS u, ((p_partkey * 17) % 2003) // 3 AS v, p_brand AS name, p_partkey % 11 AS osmid, p_type AS highway, CAST(p_retailprice AS DOUBLE) AS length,
+ROADS = """seg0 AS (SELECT p_partkey AS seg_id, p_partkey // 3 AS u, CASE WHEN p_partkey % 7 = 0 THEN p_partkey // 6 ELSE p_partkey // 3 + 1 END AS v, p_brand AS name, p_partkey % 11 AS osmid, p_type AS highway, CAST(p_retailprice AS DOUBLE) AS length,
   CAST((p_partkey * 37) % 180 AS DOUBLE) AS bearing, p_partkey % 10 AS cluster_id, CAST((p_partkey * 7919) % 1000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 1000 AS DOUBLE) AS y, p_size <= 5 AS is_connector FROM part),
 seg AS (SELECT * FROM seg0 WHERE NOT is_connector), con AS (SELECT * FROM seg0 WHERE is_connector),
 inc AS (SELECT DISTINCT seg_id, unnest([u, v]) AS node FROM seg),
