@@ -28,7 +28,7 @@ from wayfare.llm.words import mixed, owners, slices, texts_of, words_of
 
 #: Alignment scores of an equal word, a different word and a skipped word.
 EQUAL, DIFFERENT, SKIPPED = 2, -1, -1
-SIMILARITY, LEAST_SCORE, LONG_SCORE = 0.45, 10, 40
+SIMILARITY, LEAST_SCORE, LONG_SCORE = 0.35, 8, 40
 #: Expected share of positions at which an n-gram is rare, and the longest n-gram tried for it.
 RARE, MAX_N = 1e-8, 8
 #: Bytes of item text broadcast at once; a larger benchmark is taken in blocks.
@@ -101,10 +101,10 @@ class Seeds:
                     before = at
         out = {}
         for n, rows in found.items():
-            key, item, place = (np.array(x) for x in zip(*rows, strict=True))
-            key = key.astype(np.uint64)
+            key = np.array([k for k, _, _ in rows], dtype=np.uint64)
+            item, place = np.array([r[1:] for r in rows], dtype=np.int64).T
             order = np.argsort(key, kind="stable")
-            out[n] = (key[order], item[order].astype(np.int64), place[order].astype(np.int64))
+            out[n] = (key[order], item[order], place[order])
         return cls(out)
 
     def hits(self, codes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
