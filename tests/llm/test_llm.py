@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wayfare.llm import bpe, chat_tools, decontamination, html_text, language_model, pii, quality, queries, simhash, token_ids, toxicity
+from wayfare.llm import bpe, chat_tools, decontamination, html_text, language_model, near_copies, pii, quality, queries, simhash, token_ids, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SP, RANKS, WORDS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -179,6 +179,40 @@ def test_forest_equals_all_pairs():
         assert all(got[i] == want[i] for i in at)
 
 
+def slow_shingles(text, n=5):
+    w = WORD.findall(lower(text))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def test_near_copies(spark, docs, odd, none):
+    r = np.random.default_rng(9)
+    words = ["".join(r.choice(list("abcdefgh"), 4)) for _ in range(2000)]
+    base = [r.choice(words, int(n)).tolist() for n in r.integers(30, 200, 30)]
+    rows = []
+    for i in range(150):
+        text = list(base[i % 30])
+        for at in r.integers(0, len(text), i // 30 if len(text) > 100 else min(1, i // 30)):
+            text[at] = str(r.choice(words))
+        rows.append((i, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "sig": F.lit(2), "rep": F.lit(3)})
+    for some in (df, docs):
+        sets = {i: slow_shingles(t) for i, t in texts(some).items()}
+        got = {x.doc_id: x.component_id for x in near_copies.near_copies(some).collect()}
+        assert set(got) == set(sets)
+        ids = sorted(sets)
+        for n, a in enumerate(ids):
+            for b in ids[:n]:
+                same = len(sets[a] & sets[b])
+                if same and same >= 0.8 * (len(sets[a]) + len(sets[b]) - same):
+                    assert got[a] == got[b]
+        for a in ids:  # nobody is joined without a like text
+            if got[a] != a:
+                assert max(len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for b in ids if b != a and got[b] == got[a]) > 0.5
+    assert near_copies.near_copies(odd).count() == len({i for i, _, _ in ODD if i is not None}) and near_copies.near_copies(none).count() == 0
+    left = near_copies.one_of_each_group(odd)
+    assert left.columns == odd.columns and left.where("doc_id is null").count() == 1
+
+
 # --- 6 token ids ---------------------------------------------------------------------------------------
 
 

@@ -219,15 +219,18 @@ def _shards(nodes: DataFrame, split_over: int) -> DataFrame:
     return spread.select(((F.col("i") * 65536 + F.col("v")) * 5 * 4096 + F.col("s.j") * 4096 + F.col("s.w")).cast("long").alias("shard"), "fp", "doc")
 
 
-def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
+def simhash_links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
+    """(a, b): each document of a shard's component with its first. ``nodes``: (fp, doc), one row for each fingerprint."""
     if radius > 3:
         raise ValueError("four blocks find pairs of at most three differing bits")
-    everyone = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    nodes = everyone.where("doc is not null")
     sharded = _shards(nodes, split_over).repartition("shard").sortWithinPartitions("shard", "fp")
-    links = sharded.mapInArrow(_shard_links(radius), "a long, b long")
-    heads = connected_components(links)
+    return sharded.mapInArrow(_shard_links(radius), "a long, b long")
+
+
+def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
+    everyone = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
+    heads = connected_components(simhash_links(everyone.where("doc is not null"), radius, split_over))
     named = everyone.join(heads, everyone["doc"] == heads["node"], "left")
     return named.select("fp", F.coalesce("component", "doc").alias("component_id"))
 
