@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfare.llm.bpe import bpe_round_trip
 from wayfare.llm.decontamination import without_contaminated
+from wayfare.llm.near_copies import one_of_each_group
 from wayfare.llm.pii import with_pseudonyms
 from wayfare.llm.quality import keep_good
 from wayfare.llm.queries import PII_KEY, table
-from wayfare.llm.simhash import one_of_each
 from wayfare.plans.shared import scratch_path
 
 
@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return one_of_each(docs)
+    return one_of_each_group(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
