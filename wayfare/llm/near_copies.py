@@ -7,10 +7,10 @@ pairs that min-hash bands propose and that their whole texts confirm.
 One pass gives each text a key, its SimHash and 64 min-hashes. Equal texts are one node. A band is four
 min-hashes; 16 bands miss a pair of similarity 0.8 once in five thousand. In each band's bucket every text meets
 the bucket's representatives, chosen by minimum and by hash, never all others; of the texts it meets in other
-components the likeliest by min-hash are compared in full. Rounds go on with other representatives, so texts
-whose match was not chosen meet further ones. What is compared is counted in texts, not in pairs of a bucket.
-A pair whose every meeting falls to other representatives in all rounds stays apart; in groups of up to dozens
-of different texts that is rare, in larger ones SimHash and chains of confirmed pairs join most.
+components the likeliest by min-hash are compared in full. What is compared is counted in texts, not in pairs of
+a bucket. A pair whose every meeting falls to other representatives stays apart; in groups of up to dozens of
+different texts that is rare, in larger ones SimHash and chains of confirmed pairs join most. More ``rounds``
+go on with other representatives, each at the cost of one more shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from wayfare.plans.shared import cut
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Estimated similarity from which a pair is compared in full, pairs compared for a text in a round, and rounds.
-LIKELY, COMPARED, ROUNDS = 0.65, 2, 3
+LIKELY, COMPARED, ROUNDS = 0.5, 3, 1
 _ODD = (mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -111,22 +111,16 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = R
     nodes = cut(sketch.groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     equal = sketch.select("doc_id", "key").join(nodes.select("key", "doc"), "key").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     edges = cut(equal.where("a <> b").union(simhash_links(nodes.groupBy("fp").agg(F.min("doc").alias("doc")), radius, split_over)).union(_same_print(nodes)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = nodes.select("doc", "sig")
-    buckets = nodes.select("doc", F.posexplode("bands").alias("band", "value"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).groupBy("doc").agg(F.min("text").alias("text"))
+    ids, crowded = nodes.select("doc", "sig"), _crowded(nodes)
     for turn in range(rounds):
-        heads = connected_components(edges)
-        found = _candidates(buckets, ids, heads, turn)
+        found = _candidates(crowded, ids, connected_components(edges), turn)
         best = Window.partitionBy("doc").orderBy(F.desc("likely"), "rep")
         chosen = cut(found.where(F.col("likely") >= LIKELY).withColumn("r", F.row_number().over(best)).where(F.col("r") <= COMPARED).select("doc", "rep"))
         if chosen.isEmpty():
             break
-        named = texts.join(chosen.select("doc").union(chosen.select("rep")).distinct(), "doc", "left_semi").groupBy("doc").agg(F.min("text").alias("text"))
-        pairs = chosen.join(named, "doc").join(named.select(F.col("doc").alias("rep"), F.col("text").alias("other_text")), "rep")
-        fresh = cut(pairs.select("doc", "rep", "text", "other_text").mapInArrow(_confirm(similarity), "a long, b long"))
-        if fresh.isEmpty() and turn:
-            break
-        edges = cut(edges.union(fresh))
+        pairs = chosen.join(texts, "doc").join(texts.select(F.col("doc").alias("rep"), F.col("text").alias("other_text")), "rep")
+        edges = cut(edges.union(pairs.select("doc", "rep", "text", "other_text").mapInArrow(_confirm(similarity), "a long, b long")))
     heads = connected_components(edges)
     return sketch.select("doc_id").distinct().join(heads, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -137,12 +131,18 @@ def _same_print(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.col("doc").alias("a")).join(first, "fp").where("a <> b").select("a", "b")
 
 
-def _candidates(buckets: DataFrame, ids: DataFrame, heads: DataFrame, turn: int) -> DataFrame:
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """(doc, value, r0): the bands of each text that other texts share, and the first of those that do."""
+    buckets = nodes.select("doc", F.explode("bands").alias("value"))
+    shared = buckets.groupBy("value").agg(F.count("*").alias("n"), F.min("doc").alias("r0")).where("n > 1").select("value", "r0")
+    return cut(buckets.join(shared, "value").select("doc", "value", "r0"))
+
+
+def _candidates(crowded: DataFrame, ids: DataFrame, heads: DataFrame, turn: int) -> DataFrame:
     """(doc, rep, likely): texts and representatives of their buckets that are not in one component yet."""
     order = lambda n: F.xxhash64("doc", F.lit(3 * turn + n))
-    reps = buckets.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("doc").alias("r0"), *(F.min_by("doc", F.struct(order(i), "doc")).alias(f"r{i}") for i in (1, 2, 3)))
-    crowded = reps.where("n > 1")
-    met = buckets.join(crowded, ["band", "value"]).select("doc", F.explode(F.array("r0", "r1", "r2", "r3")).alias("rep")).where("doc <> rep").distinct()
+    reps = crowded.groupBy("value").agg(*(F.min_by("doc", F.struct(order(i), "doc")).alias(f"r{i}") for i in (1, 2, 3)))
+    met = crowded.join(reps, "value").select("doc", F.explode(F.array("r0", "r1", "r2", "r3")).alias("rep")).where("doc <> rep").distinct()
     side = lambda c: heads.select(F.col("node").alias(c), F.col("component").alias(f"{c}_head"))
     apart = met.join(side("doc"), "doc", "left").join(side("rep"), "rep", "left").where(F.coalesce("doc_head", "doc") != F.coalesce("rep_head", "rep")).select("doc", "rep")
     signed = apart.join(ids, "doc").join(ids.select(F.col("doc").alias("rep"), F.col("sig").alias("other_sig")), "rep")
