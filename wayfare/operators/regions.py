@@ -7,6 +7,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from wayfare.functions.scalars import nonempty
 
 
+#: Query vectors sent to tasks at once.
+QUERY_BLOCK = 2000
+
+
 def cluster_road_edges(edges: DataFrame, partition: DataFrame, weight: str = "base_weight") -> DataFrame:
     """Weight and number of segment edges between clusters; inner edges and unknown segments fall out."""
     if weight not in edges.columns:
@@ -90,18 +94,17 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, vec_id, score, rank): the k rows of ``vectors`` most like each query by cosine.
 
     A stated set of queries against all rows. Each task keeps its own k best of every query, so what is shuffled
-    is k rows for each query and task. ``queries`` is collected in blocks of a checked size.
+    is k rows for each query and task. Queries reach the driver in blocks of about ``QUERY_BLOCK`` rows.
     """
     import numpy as np
     import pyarrow as pa
 
-    ids = [r[0] for r in queries.select("vec_id").orderBy("vec_id").collect()]
     spark, out = vectors.sparkSession, None
-    for at in range(0, max(1, len(ids)), 2000):
-        block = ids[at : at + 2000]
-        rows = queries.where(F.col("vec_id").isin(block)).orderBy("vec_id").toPandas() if block else None
-        if rows is None or not len(rows):
-            break
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for block in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).orderBy("vec_id").toPandas()
+        if not len(rows):
+            continue
         q = np.array(rows["embedding"].tolist(), dtype=np.float64)
         q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
         q_ids = rows["vec_id"].to_numpy()

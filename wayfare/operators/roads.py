@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayfare.functions.scalars import name_matches, road_name
+from wayfare.plans.shared import cut
 
 #: Tags that decide access, weakest first. Fixed values.
 ACCESS_COLUMNS = ("access", "vehicle", "motor_vehicle", "psv", "motorcar", "taxi")
@@ -56,10 +57,12 @@ def with_seg_ids(edges: DataFrame, order: list[str]) -> DataFrame:
 
     Positions need a total order, which range-partitioning with per-partition counts gives without one big task.
     """
-    cut = edges.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+    ranged = edges.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Range bounds come from a sample, so positions are written down before they are used twice.
+    placed = cut(ranged.withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
     by = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    base = cut.groupBy("_p").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
-    return cut.join(F.broadcast(base), "_p").withColumn("seg_id", F.format_string("seg_%07d", F.col("base") + F.col("_k"))).drop("_p", "_k", "base")
+    base = placed.groupBy("_p").agg(F.count("*").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(by), F.lit(0))).drop("n")
+    return placed.join(F.broadcast(base), "_p").withColumn("seg_id", F.format_string("seg_%07d", F.col("base") + F.col("_k"))).drop("_p", "_k", "base")
 
 
 def ring_candidates(edges: DataFrame, include: list[str], exclude: list[str] = ()) -> DataFrame:
