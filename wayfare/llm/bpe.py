@@ -29,7 +29,9 @@ from wayfare.llm.words import slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: Bounds of a worker's tables; beyond them a table is begun anew, which changes speed alone.
-MAX_STATES, MAX_MEMO = 300_000, 1_200_000
+MAX_STATES, MAX_MEMO = 300_000, 900_000
+#: Longer pieces seldom come again and are not kept.
+MEMO_CHARS = 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -324,7 +326,7 @@ class _Memo(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = struct.pack(f"<{len(found := self.codec.machine.encode(piece.encode()))}I", *found)
-        if len(piece) <= 64:
+        if len(piece) <= MEMO_CHARS:
             self[piece] = ids
         return ids
 
