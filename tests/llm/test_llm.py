@@ -213,6 +213,39 @@ def test_near_copies(spark, docs, odd, none):
     assert left.columns == odd.columns and left.where("doc_id is null").count() == 1
 
 
+def slow_near_components(texts):
+    """Components of texts (by id) whose SimHashes are close or whose shingles have a Jaccard similarity of 0.8."""
+    ids = sorted(texts)
+    sets, head = [slow_shingles(texts[i]) for i in ids], slow_components([slow_print(texts[i]) for i in ids], ids)
+    for n, a in enumerate(ids):
+        for m in range(n):
+            same = len(sets[n] & sets[m])
+            if head[a] != head[ids[m]] and same >= 0.8 * (len(sets[n]) + len(sets[m]) - same):
+                low, high = sorted((head[a], head[ids[m]]))
+                head = {i: low if h == high else h for i, h in head.items()}
+    return head
+
+
+def edited(r, words, text, n):
+    text = list(text)
+    for at in r.choice(len(text), n, replace=False):
+        text[at] = str(r.choice(words))
+    return text
+
+
+@pytest.mark.parametrize("block", [256, 50])
+def test_near_copies_of_one_original(spark, block):
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]
+    base = r.choice(words, 300).tolist()
+    found = {i: " ".join(base if i == 150 else edited(r, words, base, 6)) for i in range(300)}
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string")
+    want = slow_near_components(found)
+    assert len(set(want.values())) < 10
+    got = {x.doc_id: x.component_id for x in near_copies.near_copies(df, block=block).collect()}
+    assert got == want, (len(set(got.values())), len(set(want.values())))
+
+
 # --- 6 token ids ---------------------------------------------------------------------------------------
 
 

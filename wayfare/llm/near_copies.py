@@ -5,12 +5,12 @@ similarity of 0.8 it finds about a third. This module starts from the SimHash co
 pairs that min-hash bands propose and that their whole texts confirm.
 
 One pass gives each text a key, its SimHash and 64 min-hashes. Equal texts are one node. A band is four
-min-hashes; 16 bands miss a pair of similarity 0.8 once in five thousand. In each band's bucket every text meets
-the bucket's representatives, chosen by minimum and by hash, never all others; of the texts it meets in other
-components the likeliest by min-hash are compared in full. What is compared is counted in texts, not in pairs of
-a bucket. A pair whose every meeting falls to other representatives stays apart; in groups of up to dozens of
-different texts that is rare, in larger ones SimHash and chains of confirmed pairs join most. More ``rounds``
-go on with other representatives, each at the cost of one more shuffle of the texts.
+min-hashes; 16 bands miss a pair of similarity 0.8 once in five thousand. All members of a band's bucket that are
+in different components meet: first by min-hash, in the first band that a pair shares, then those that are likely
+by their whole texts. No pair that shares a band and is likely is left out, whatever the size of its bucket. A text
+goes once to each bucket it has a likely partner in, not once for each pair, and pairs that have become one component
+are not compared again. A bucket of over ``block`` members is dealt out as pairs of blocks, which is exact too: each
+member goes to as many cells as there are blocks, and no task has more than two blocks of one bucket at once.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from wayfare.llm.simhash import RADIUS, SEED, SPLIT_OVER, fingerprints, simhash_links
 from wayfare.llm.words import hashes_of, mixed, slices, texts_of, words_of
@@ -28,8 +28,8 @@ from wayfare.plans.shared import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
-#: Estimated similarity from which a pair is compared in full, pairs compared for a text in a round, and rounds.
-LIKELY, COMPARED, ROUNDS = 0.5, 3, 1
+#: Estimated similarity from which a pair is compared in full, and members of a bucket that are compared in one cell.
+LIKELY, BLOCK = 0.5, 256
 _ODD = (mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)).astype(np.uint64)
 
 
@@ -80,28 +80,88 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig", "other_sig"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rep"), pa.array((a == b).mean(axis=1))], names=["doc", "rep", "likely"])
+def _whole_cells(batches: Iterator[pa.RecordBatch], column: str, size: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole cells, of about ``size`` bytes or one cell, and the cells' offsets; input is sorted by cell."""
+    held, have = [], 0
+    for batch in slices(batches, column, size):
+        held.append(batch)
+        have += batch.nbytes
+        if have < size:
+            continue
+        table = pa.Table.from_batches(held)
+        cell = table.column("cell").to_numpy()
+        last = int(np.searchsorted(cell, cell[-1], "left"))  # the last cell may go on in the next batch
+        if last:
+            yield table.slice(0, last), _offsets(cell[:last])
+        held = table.slice(last).combine_chunks().to_batches()
+        have = sum(x.nbytes for x in held)
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, _offsets(table.column("cell").to_numpy())
+
+
+def _offsets(sorted_: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)]))
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each cell that have a likely partner in it, in another component, with no shared band before."""
+    for table, ends in _whole_cells(batches, "sig", 1 << 20):
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), "<u2").reshape(-1, BANDS * ROWS)
+        head, part, band = (table.column(c).to_numpy() for c in ("head", "part", "band"))
+        inner = table.column("inner").to_numpy()
+        keep = np.zeros(len(sig), dtype=bool)
+        for begin, end in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            some = slice(begin, end)
+            apart = head[some, None] != head[None, some]
+            if not inner[begin]:
+                apart &= part[some, None] != part[None, some]
+            x, y = np.nonzero(np.triu(apart))
+            for at in range(0, len(x), 1 << 15):
+                i, j = x[at : at + (1 << 15)] + begin, y[at : at + (1 << 15)] + begin
+                same = sig[i] == sig[j]
+                good = same.mean(axis=1) >= LIKELY
+                good[good] = same[good].reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1) == band[begin]
+                keep[i[good]] = keep[j[good]] = True
+        yield from table.select(["cell", "doc", "head"]).filter(pa.array(keep)).combine_chunks().to_batches()
+
+
+def _links(head: np.ndarray, key: np.ndarray, ends: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of a cell's texts of at least ``similarity`` that join its components; pairs within one are skipped."""
+    sets = [np.unique(key[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+    size = np.array([len(x) for x in sets])
+    ends = np.concatenate(([0], np.cumsum(size)))
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    label, out = head.copy(), []
+    for i in range(len(sets) - 1):
+        others = np.flatnonzero(label != label[i])
+        others = others[others > i]
+        if not len(others):
+            continue
+        mine = np.zeros(len(values), dtype=bool)
+        mine[codes[ends[i] : ends[i + 1]]] = True
+        total = np.concatenate(([0], np.cumsum(mine[codes])))
+        same = (total[ends[1:]] - total[ends[:-1]])[others]
+        for j in others[same >= similarity * (size[i] + size[others] - same)].tolist():
+            if label[j] != label[i]:
+                out.append((i, j))
+                label[label == label[j]] = label[i]
+    return out
 
 
 def _confirm(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=4 << 20):
-            (ka, ea), (kb, eb) = shingles(texts_of(batch)), shingles(texts_of(batch, "other_text"))
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = np.unique(ka[ea[i] : ea[i + 1]]), np.unique(kb[eb[i] : eb[i + 1]])
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(same >= similarity * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("rep")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for table, cells in _whole_cells(batches, "text", 4 << 20):
+            doc, head = table.column("doc").to_numpy(), table.column("head").to_numpy()
+            key, ends = shingles(texts_of(table.combine_chunks().to_batches()[0]))
+            pairs = [(begin + i, begin + j) for begin, end in zip(cells[:-1].tolist(), cells[1:].tolist(), strict=True) for i, j in _links(head[begin:end], key, ends[begin : end + 1], similarity)]
+            a, b = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(doc[a]), pa.array(doc[b])], names=["a", "b"])
 
     return run
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS, split_over: int = SPLIT_OVER, block: int = BLOCK) -> DataFrame:
     """(doc_id, component_id) of each row of ``docs`` (doc_id, text) with an id; the id of a component is its smallest.
 
     Equal texts, texts within ``radius`` bits of SimHash, and confirmed pairs are joined. Null texts count as
@@ -112,15 +172,9 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = R
     equal = sketch.select("doc_id", "key").join(nodes.select("key", "doc"), "key").select(F.col("doc_id").alias("a"), F.col("doc").alias("b"))
     edges = cut(equal.where("a <> b").union(simhash_links(nodes.groupBy("fp").agg(F.min("doc").alias("doc")), radius, split_over)).union(_same_print(nodes)))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.coalesce("text", F.lit("")).alias("text")).groupBy("doc").agg(F.min("text").alias("text"))
-    ids, crowded = nodes.select("doc", "sig"), _crowded(nodes)
-    for turn in range(rounds):
-        found = _candidates(crowded, ids, connected_components(edges), turn)
-        best = Window.partitionBy("doc").orderBy(F.desc("likely"), "rep")
-        chosen = cut(found.where(F.col("likely") >= LIKELY).withColumn("r", F.row_number().over(best)).where(F.col("r") <= COMPARED).select("doc", "rep"))
-        if chosen.isEmpty():
-            break
-        pairs = chosen.join(texts, "doc").join(texts.select(F.col("doc").alias("rep"), F.col("text").alias("other_text")), "rep")
-        edges = cut(edges.union(pairs.select("doc", "rep", "text", "other_text").mapInArrow(_confirm(similarity), "a long, b long")))
+    met = cut(_cells(nodes, connected_components(edges), block).mapInArrow(_likely, "cell long, doc long, head long"))
+    pairs = met.join(texts, "doc").repartition("cell").sortWithinPartitions("cell", "doc")
+    edges = cut(edges.union(pairs.select("cell", "doc", "head", "text").mapInArrow(_confirm(similarity), "a long, b long")))
     heads = connected_components(edges)
     return sketch.select("doc_id").distinct().join(heads, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -131,22 +185,19 @@ def _same_print(nodes: DataFrame) -> DataFrame:
     return nodes.select("fp", F.col("doc").alias("a")).join(first, "fp").where("a <> b").select("a", "b")
 
 
-def _crowded(nodes: DataFrame) -> DataFrame:
-    """(doc, value, r0): the bands of each text that other texts share, and the first of those that do."""
-    buckets = nodes.select("doc", F.explode("bands").alias("value"))
-    shared = buckets.groupBy("value").agg(F.count("*").alias("n"), F.min("doc").alias("r0")).where("n > 1").select("value", "r0")
-    return cut(buckets.join(shared, "value").select("doc", "value", "r0"))
-
+def _cells(nodes: DataFrame, heads: DataFrame, block: int) -> DataFrame:
+    """(cell, inner, band, part, doc, head, sig), sorted by cell: buckets of texts in more than one component.
 
-def _candidates(crowded: DataFrame, ids: DataFrame, heads: DataFrame, turn: int) -> DataFrame:
-    """(doc, rep, likely): texts and representatives of their buckets that are not in one component yet."""
-    order = lambda n: F.xxhash64("doc", F.lit(3 * turn + n))
-    reps = crowded.groupBy("value").agg(*(F.min_by("doc", F.struct(order(i), "doc")).alias(f"r{i}") for i in (1, 2, 3)))
-    met = crowded.join(reps, "value").select("doc", F.explode(F.array("r0", "r1", "r2", "r3")).alias("rep")).where("doc <> rep").distinct()
-    side = lambda c: heads.select(F.col("node").alias(c), F.col("component").alias(f"{c}_head"))
-    apart = met.join(side("doc"), "doc", "left").join(side("rep"), "rep", "left").where(F.coalesce("doc_head", "doc") != F.coalesce("rep_head", "rep")).select("doc", "rep")
-    signed = apart.join(ids, "doc").join(ids.select(F.col("doc").alias("rep"), F.col("sig").alias("other_sig")), "rep")
-    return signed.select("doc", "rep", "sig", "other_sig").mapInArrow(_estimate, "doc long, rep long, likely double")
+    A bucket has a cell for each pair of its blocks; in those that are not ``inner`` only texts of different ``part`` meet.
+    """
+    named = nodes.join(heads, F.col("doc") == F.col("node"), "left").select("doc", F.coalesce("component", "doc").alias("head"), "bands")
+    buckets = named.select("doc", "head", F.posexplode("bands").alias("band", "value"))
+    open_ = buckets.groupBy("value").agg(F.count("*").alias("n"), F.min("head").alias("low"), F.max("head").alias("high")).where("low <> high").select("value", F.ceil(F.col("n") / block).alias("blocks"))
+    parted = buckets.join(open_, "value").withColumn("part", F.pmod(F.xxhash64("doc"), "blocks")).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    cell = F.xxhash64("value", F.least("part", "other"), F.greatest("part", "other")).alias("cell")
+    # A member's row for its own block meets that block; its others meet the members of one other block.
+    dealt = parted.select(cell, (F.col("part") == F.col("other")).alias("inner"), "band", "part", "doc", "head")
+    return dealt.join(nodes.select("doc", "sig"), "doc").select("cell", "inner", "band", "part", "doc", "head", "sig").repartition("cell").sortWithinPartitions("cell", "doc")
 
 
 def one_of_each_group(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
