@@ -246,6 +246,19 @@ def test_near_copies_of_one_original(spark, block):
     assert got == want, (len(set(got.values())), len(set(want.values())))
 
 
+def test_near_copies_whose_partner_is_not_among_the_likeliest(spark):
+    r = np.random.default_rng(6)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]
+    found = {}
+    for g in range(30):  # the fourth text of each group is 0.84 to five others and about 0.81 to three
+        base = r.choice(words, 300).tolist()
+        group = [edited(r, words, base, 5 if i < 6 else 6) for i in range(8)]
+        group.insert(3, base)
+        found |= {9 * g + i: " ".join(t) for i, t in enumerate(group)}
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_copies.near_copies(df).collect()} == slow_near_components(found)
+
+
 # --- 6 token ids ---------------------------------------------------------------------------------------
 
 
