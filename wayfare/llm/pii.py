@@ -3,7 +3,8 @@
 Finders give candidates; each is validated (Luhn and mod-97 check digits, calendar dates, octet ranges,
 number plans) and turned into a number below the size of its format. A keyed Feistel network permutes that
 number; steps that fall outside the format are walked on until they are inside again, so the result is a
-permutation of the format itself. Check digits are made anew, separators and paddings stay. Equal values
+permutation of the format itself. Where a finder's longest candidate is not valid, its shorter ends at token edges
+and the finders after it are tried, so a value is found beside other tokens. Check digits are made anew, separators and paddings stay. Equal values
 give equal pseudonyms in all documents, whatever their separators, and the key gives the values back.
 
 Formats: e-mail addresses (letters and digits of all labels but the last), telephone numbers (the country
@@ -43,6 +44,11 @@ FINDERS = {
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<c>[ .-])[0-9]{3}(?P=c)[0-9]{4})(?![\w]|-[0-9])",
 }
 PATTERN = re.compile("|".join(f"(?P<{kind}>{finder})" for kind, finder in FINDERS.items()))
+#: Each finder alone, and what may not come after its match.
+ONE = {kind: re.compile(finder) for kind, finder in FINDERS.items()}
+AFTER = {kind: re.compile(FINDERS[kind][FINDERS[kind].rindex("(?!"):]) for kind in ("iban", "card", "phone")}
+RUN = re.compile(r"[A-Za-z0-9]*")
+DOMAIN_END = re.compile(r"\.[A-Za-z]{2,}+(?![A-Za-z0-9])")
 _EPOCH, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
@@ -222,6 +228,18 @@ def _secret(value: str, permute: Permute) -> str | None:
 MAKERS = {"email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date, "access_key": _access_key, "secret": _secret}
 
 
+def _shorter(kind: str, value: str, text: str, start: int) -> Iterator[int]:
+    """Ends of the shorter candidates of a finder's match ``value`` at ``start``, the longest first."""
+    if kind == "email":
+        ends = [m.end() for m in DOMAIN_END.finditer(value, value.index("@"))]
+        if ends and ends[-1] < len(value):
+            yield start + ends[-1]
+    elif kind in AFTER:  # matches of bounded length; the others have one length or one edge
+        for end in range(start + len(value) - 1, start, -1):
+            if text[end] in " .-" and text[end - 1].isalnum() and AFTER[kind].match(text, end) and ONE[kind].fullmatch(text, start, end):
+                yield end
+
+
 class Pseudonyms:
     def __init__(self, key: bytes, back: bool = False):
         network = Feistel(key)
@@ -237,21 +255,33 @@ class Pseudonyms:
             self.memo[at] = MAKERS[kind](value, self.permute)
         return self.memo[at]
 
+    def at(self, text: str, match: re.Match) -> tuple[str, int, str] | None:
+        """(kind, end, pseudonym) of the first valid candidate where ``match`` starts: its finder's and those after it, each longest first."""
+        start, kinds = match.start(), list(FINDERS)
+        for kind in kinds[kinds.index(match.lastgroup) :]:
+            if found := ONE[kind].match(text, start):
+                for end in (found.end(), *_shorter(kind, found[0], text, start)):
+                    fresh = self.one(kind, text[start:end])
+                    if fresh is not None:
+                        return kind, end, fresh
+        return None
+
     def text(self, text: str, counts: dict[str, int]) -> str:
         out, at, begin = [], 0, 0
         while match := PATTERN.search(text, begin):
-            kind = match.lastgroup
-            fresh = self.one(kind, match[kind])
-            if fresh is None:
-                # What one finder took but did not validate may hold a value of another: go on after its first run.
-                begin = match.start() + max(1, len(re.match(r"[\w+(]*", match[kind])[0]))
+            found = self.at(text, match)
+            if found is None:
+                # No finder has a valid value here; the next may begin after the first run.
+                begin = match.start() + max(1, len(RUN.match(text, match.start())[0]))
                 continue
+            kind, begin, fresh = found
             counts[kind] = counts.get(kind, 0) + 1
             out += (text[at : match.start()], fresh)
-            at = begin = match.end()
+            at = begin
         out.append(text[at:])
         return "".join(out)
 
+
 def _rewrite(key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Pseudonyms(key)
