@@ -455,6 +455,14 @@ def test_html_on_pages_not_trained_on():
     assert wrong <= 0.02 * n
 
 
+@pytest.mark.parametrize("size", [3_999, 4_001, 100_000])
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_html_long_attribute_values(size, quote):
+    value = "data:" + "x>y" * (size // 3) + "x" * (size % 3)
+    page = f"<div><img src={quote}{value}{quote}></div><p class='x'>Lost \"one\".</p><p class=\"x\">It's lost.</p><p \" title=a'b>Lost three.</p>"
+    assert [b.text for b in html_text.blocks_of(page)] == ['Lost "one".', "It's lost.", "Lost three."]
+
+
 def test_html_rows(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     for r in queries.op5_html(spark, data).join(pages, ["page_id", "url"]).collect():

@@ -47,14 +47,17 @@ CLOSES = {
     "th": ({"td", "th", "p"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "optgroup"}),
 }
+#: Quoted values are whole and come after "=" alone; any other quote is an ordinary character.
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'|[\"'])*+)>",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)|[=\"'])*+)>",
     re.DOTALL | re.IGNORECASE,
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[0-9]+")
 DEPTH = 8
+#: Attributes from this length on are not kept in memory.
+LONG = 2_000
 
 PATH_ROWS, PATH_DIM = 2048, 16
 WORD_ROWS, WORD_DIM = 1024, 8
@@ -150,7 +153,8 @@ def blocks_of(page: str) -> list[Block]:
                     if tag not in ("tr", "td", "th"):
                         break
             if tag not in VOID:
-                stack.append((tag, _marks(tag, match[4])))
+                marks = _marks if len(match[4]) < LONG else _marks.__wrapped__
+                stack.append((tag, marks(tag, match[4])))
     if at < len(page):
         pieces.append(page[at:])
     flush()
