@@ -5,6 +5,7 @@ import math
 import pytest
 
 import __spark_entry__
+from wayfare.operators import partitioning
 from wayfare.queries import CATALOG
 from wayfare.sql import ORACLES
 
@@ -34,6 +35,14 @@ def test_query(spark, duck, data, name):
     assert _sorted(got) == _sorted(want)
 
 
+def test_regularized_search_has_five_passes(spark, data, monkeypatch):
+    got = CATALOG["regularized_search"](spark, data).collect()
+    search = partitioning.search
+    monkeypatch.setattr(partitioning, "search", lambda *a, **_: search(*a, passes=5))
+    want = CATALOG["regularized_search"](spark, data).collect()
+    assert _sorted(map(tuple, got)) == _sorted(map(tuple, want)) and len(got) > 23  # two passes end at 23 rows
+
+
 def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(ORACLES) <= set(CATALOG) <= set(__spark_entry__.queries())

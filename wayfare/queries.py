@@ -531,7 +531,7 @@ def regularized_search(spark, d):
     nodes, edges = _graph(spark, d)
     initial = partitioning.partition(nodes, edges, ["skater"], K)
     settings = selection.setting_grid(spark, lambda_c=[0.2, 1.0], lambda_r=[1.0])
-    return partitioning.search(nodes, edges, initial, settings, None, passes=2)
+    return partitioning.search(nodes, edges, initial, settings, None)
 
 
 @query
