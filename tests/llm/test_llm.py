@@ -455,6 +455,13 @@ def test_html_on_pages_not_trained_on():
     assert wrong <= 0.02 * n
 
 
+@pytest.mark.parametrize("depth", [7, 15, 40])
+def test_html_path_has_all_enclosing_tags(depth):
+    inner, bare = "<div>" * depth, "</div>" * depth
+    inside, outside = html_text.blocks_of(f"<aside class='sidebar'>{inner}Text{bare}</aside>{inner}Text{bare}")
+    assert set(inside.path) - set(outside.path) == set(html_text._marks("aside", "class='sidebar'"))
+
+
 @pytest.mark.parametrize("size", [3_999, 4_001, 100_000])
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_html_long_attribute_values(size, quote):

@@ -55,7 +55,6 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|style|hidden|aria-label)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 WORD = re.compile(r"[a-z]+|[0-9]+")
-DEPTH = 8
 #: Attributes from this length on are not kept in memory.
 LONG = 2_000
 
@@ -97,7 +96,7 @@ def _marks(tag: str, attributes: str) -> tuple[int, ...]:
 def blocks_of(page: str) -> list[Block]:
     """The leaf blocks of a page in page order, blank ones left out."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[int, ...]]] = []
+    stack: list[tuple[str, frozenset[int]]] = []  # open tags, each with the features of all that encloses it and its own
     pieces: list[str] = []
     linked, links, in_link = 0, 0, 0
 
@@ -106,9 +105,7 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                path: set[int] = set()
-                for _, marks in stack[-DEPTH:]:
-                    path.update(marks)
+                path = stack[-1][1] if stack else ()
                 n = len(text)
                 shape = (np.log1p(n) / 6, min(1.0, linked / n), links / 4 if links < 8 else 2.0, float(text[-1] in ".!?:;»”\""), len(stack) / 10, float(bool(stack) and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")), float(bool(stack) and stack[-1][0] == "p"), 1.0)
                 out.append(Block(text, tuple(sorted(path)), shape))
@@ -154,7 +151,8 @@ def blocks_of(page: str) -> list[Block]:
                         break
             if tag not in VOID:
                 marks = _marks if len(match[4]) < LONG else _marks.__wrapped__
-                stack.append((tag, marks(tag, match[4])))
+                above, own = stack[-1][1] if stack else frozenset(), marks(tag, match[4])
+                stack.append((tag, above if above.issuperset(own) else above.union(own)))
     if at < len(page):
         pieces.append(page[at:])
     flush()
