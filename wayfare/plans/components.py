@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame, functions as F
 from wayfare.plans.shared import cut
 
 
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node, as a join side of its own.
+
+    The key is computed anew, so the planner does not reuse the partitioning of the aggregate: both sides of the
+    join then have an exchange that adaptive execution can split where a centre has very many neighbours.
+    """
+    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not(F.bitwise_not("a")).alias("a"), "m")
+
+
 def _star(edges: DataFrame) -> DataFrame:
     """One large-star then one small-star step over (a, b) with a > b."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    low = _least(both).select("a", F.least("a", "m").alias("m"))
     large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-    floor = large.groupBy("a").agg(F.min("b").alias("m"))
-    joined = large.join(floor, "a")
+    joined = large.join(_least(large), "a")
     small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b")))
     return small.where("a <> b").distinct()
 
