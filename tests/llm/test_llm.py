@@ -138,6 +138,7 @@ def slow_print(text, n=3):
 
 
 def slow_components(prints, ids, radius=3):
+    """The smallest id that each row reaches; rows are named by their id, or by (row, id) where ids may be null or repeat."""
     root = list(range(len(ids)))
 
     def find(i):
@@ -153,21 +154,39 @@ def slow_components(prints, ids, radius=3):
     groups = collections.defaultdict(list)
     for i in range(len(ids)):
         groups[find(i)].append(ids[i])
-    return {i: min((x for x in g if x is not None), default=None) for g in groups.values() for i in g}
+    return {x[0] if isinstance(x, tuple) else x: min((y[1] if isinstance(y, tuple) else y for y in g if not isinstance(y, tuple) or y[1] is not None), default=None) for g in groups.values() for x in g}
 
 
 @pytest.mark.parametrize("split_over", [200_000, 5])
 def test_simhash(docs, odd, none, split_over):
     for df in (docs, odd):
-        rows = df.select("doc_id", "text").distinct().collect()
-        prints = [slow_print((r.text or "")[:400_000]) for r in rows]
-        want = slow_components(prints, [r.doc_id for r in rows])
+        rows = df.select("doc_id", "text").collect()
+        prints = [slow_print(r.text or "") for r in rows]
+        want = slow_components(prints, list(enumerate(r.doc_id for r in rows)))
         got = simhash.simhash_duplicates(df, split_over=split_over).collect()
-        assert len(got) == df.count() and all(r.component_id == want[r.doc_id] for r in got if r.doc_id is not None)
-        assert {(r.doc_id, r.fingerprint) for r in got} == {(r.doc_id, f"{p:016x}") for r, p in zip(rows, prints)}
+        assert by_row((r.doc_id, r.fingerprint, r.component_id) for r in got) == by_row((r.doc_id, f"{p:016x}", want[i]) for i, (r, p) in enumerate(zip(rows, prints)))
     assert simhash.simhash_duplicates(none).count() == 0
 
 
+def by_row(rows):
+    return sorted(map(str, rows))
+
+
+@pytest.mark.parametrize("split_over", [200_000, 0])
+def test_simhash_nodes_are_fingerprints(spark, split_over):
+    """A row without an id links others; two texts are not linked by an id that both have."""
+    rows = [(1, 0), (None, 7), (2, 63), (5, 0xFFFF_0000_0000), (5, 0xFF_FFFF_FFFF_0000), (None, 1 << 63 | 0x3333 << 20), (9, 0xFFFF_0000_0003)]
+    prints = spark.createDataFrame([(i, x - (1 << 64) if x >> 63 else x) for i, x in rows], "doc_id long, fp long")
+    want = slow_components([x for _, x in rows], list(enumerate(i for i, _ in rows)))
+    got = {r.fp % (1 << 64): r.component_id for r in simhash.simhash_components(prints, split_over=split_over).collect()}
+    assert [got[x] for _, x in rows] == [want[i] for i in range(len(rows))] == [1, 1, 1, 5, 5, None, 5]
+    same = spark.createDataFrame([(5, "one two three four five six seven"), (5, "quite another text stands here today"), (8, "quite another text stands here today"), (None, "one two three four five six seven")], "doc_id long, text string")
+    found = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.simhash_duplicates(same).collect()}
+    assert sorted(found.values()) == [5, 5, 5, 5] and len({f for _, f in found}) == 2
+    apart = same.where("doc_id = 8 or doc_id is null")
+    assert by_row((r.doc_id, r.component_id) for r in simhash.simhash_duplicates(apart).collect()) == by_row([(8, 8), (None, None)])
+
+
 def test_forest_equals_all_pairs():
     r = np.random.default_rng(1)
     base = r.integers(0, 1 << 63, 30, dtype=np.uint64)
@@ -234,7 +253,48 @@ def edited(r, words, text, n):
     return text
 
 
-@pytest.mark.parametrize("block", [256, 50])
+def lost_pairs(found, got):
+    """Pairs of texts (by id) of a Jaccard similarity of 0.8 on five-word shingles, and those in different components."""
+    ids, column = list(found), {}
+    where = [(n, column.setdefault(x, len(column))) for n, i in enumerate(ids) for x in slow_shingles(found[i])]
+    has = np.zeros((len(ids), len(column)), np.float32)
+    has[tuple(np.array(where).T)] = 1
+    both, size = has @ has.T, has.sum(axis=1)
+    a, b = np.nonzero(np.triu(both >= 0.8 * (size[:, None] + size - both) - 1e-3, 1))
+    head = np.array([got[i] for i in ids])
+    return len(a), int((head[a] != head[b]).sum())
+
+
+@pytest.mark.parametrize("size, block", [(30, 512), (300, 40), (3000, 512)])
+def test_near_copies_of_groups(spark, size, block):
+    """Different copies with 1 to 4 edits, of which many pairs are too far apart: every like pair is in one component."""
+    r = np.random.default_rng(size)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]
+    base = r.choice(words, 120).tolist()
+    found = {i: " ".join(edited(r, words, base, int(n))) for i, n in enumerate(r.integers(1, 5, size))}
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string").repartition(4)
+    pairs, lost = lost_pairs(found, {x.doc_id: x.component_id for x in near_copies.near_copies(df, block=block).collect()})
+    assert pairs >= size and lost <= 0.01 * pairs
+
+
+def test_near_copies_of_rows_with_one_id_or_none(spark):
+    """Each text of an id links, and a row without an id links others."""
+    r = np.random.default_rng(11)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]
+    one, two, three = (r.choice(words, 300).tolist() for _ in range(3))
+    far = one[:]
+    far[40:70] = r.choice(words, 30).tolist()  # to `one` 0.79, to the text between them more
+    between = one[:]
+    between[40:56] = far[40:56]
+    rows = [(1, one), (7, two), (7, three), (8, edited(r, words, two, 2)), (9, edited(r, words, three, 2)), (None, between), (3, far), (20, r.choice(words, 50).tolist())]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows] + [(7, " ".join(two))], "doc_id long, text string")
+    got = by_row((x.doc_id, x.component_id) for x in near_copies.near_copies(df).collect())
+    assert got == by_row([(1, 1), (3, 1), (7, 7), (8, 7), (9, 7), (20, 20)])
+    kept = near_copies.one_of_each_group(df)
+    assert by_row(x.doc_id for x in kept.collect()) == by_row([1, 7, 7, 7, 20, None])
+
+
+@pytest.mark.parametrize("block", [512, 50])
 def test_near_copies_of_one_original(spark, block):
     r = np.random.default_rng(4)
     words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]

@@ -12,9 +12,10 @@ Subtrees that already belong to the query's component are not searched again, wh
 near copies from costing the square of its size; no connection is lost by that. A shard of more than
 ``split_over`` fingerprints is dealt out again by four blocks of the other 48 bits, which is exact too.
 
-Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Rows
-with a null id are returned; the component is the smallest id that is not null, null if there is none.
-Repeated ids are rows of their own.
+Null and empty texts, and texts without words, have fingerprint zero and are linked like any other. Nodes are
+fingerprints, so rows with a null id are returned and link others like any row; the component is the smallest
+id that is not null, null if there is none. Repeated ids are rows of their own: two texts are not linked
+by having one id.
 """
 
 from __future__ import annotations
@@ -172,12 +173,12 @@ def _hook(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _shard_links(radius: int, gather: int = 150_000):
-    """Arrow function over rows sorted by shard (shard, fp, doc): (a, b) joins documents of one component of a shard."""
+    """Arrow function over rows sorted by shard (shard, fp): (a, b) joins fingerprints of one component of a shard."""
 
-    def solve(shard: np.ndarray, fp: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    def solve(shard: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         head = Forest(shard, fp).components(radius)
         far = np.flatnonzero(head != np.arange(len(head)))
-        return pa.RecordBatch.from_arrays([pa.array(doc[far]), pa.array(doc[head[far]])], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(fp[far].view(np.int64)), pa.array(fp[head[far]].view(np.int64))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, ...]] = []
@@ -185,15 +186,15 @@ def _shard_links(radius: int, gather: int = 150_000):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            kept.append((batch.column("shard").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("doc").to_numpy()))
+            kept.append((batch.column("shard").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
             held += batch.num_rows
             if held < gather:
                 continue
-            shard, fp, doc = (np.concatenate(x) for x in zip(*kept, strict=True))
+            shard, fp = (np.concatenate(x) for x in zip(*kept, strict=True))
             last = int(np.searchsorted(shard, shard[-1], "left"))  # the last shard may go on in the next batch
             if last:
-                yield solve(shard[:last], fp[:last], doc[:last])
-            kept, held = [(shard[last:], fp[last:], doc[last:])], len(shard) - last
+                yield solve(shard[:last], fp[:last])
+            kept, held = [(shard[last:], fp[last:])], len(shard) - last
         if kept:
             yield solve(*(np.concatenate(x) for x in zip(*kept, strict=True)))
 
@@ -205,9 +206,9 @@ def simhash_fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SE
     return docs.select("doc_id", "text").mapInArrow(_fingerprint_batches(shingle, seed), "doc_id long, fp long")
 
 
-def _shards(nodes: DataFrame, split_over: int) -> DataFrame:
+def _shards(prints: DataFrame, split_over: int) -> DataFrame:
     block = lambda i: F.struct(F.lit(i).alias("i"), F.shiftrightunsigned("fp", 16 * i).bitwiseAND(0xFFFF).alias("v"))
-    first = nodes.select("fp", "doc", F.explode(F.array(*map(block, range(4)))).alias("s")).select("fp", "doc", "s.i", "s.v")
+    first = prints.select("fp", F.explode(F.array(*map(block, range(4)))).alias("s")).select("fp", "s.i", "s.v")
     # A hot shard agrees on 16 bits; at most four times the fingerprints over the bound are so: few rows to broadcast.
     hot = first.groupBy("i", "v").count().where(F.col("count") > split_over).select("i", "v", F.lit(True).alias("hot"))
     marked = first.join(F.broadcast(hot), ["i", "v"], "left")
@@ -215,24 +216,25 @@ def _shards(nodes: DataFrame, split_over: int) -> DataFrame:
     other = F.expr("CASE i WHEN 0 THEN shiftrightunsigned(fp, 16) WHEN 1 THEN (fp & 65535) | shiftleft(shiftrightunsigned(fp, 32), 16) WHEN 2 THEN (fp & 4294967295) | shiftleft(shiftrightunsigned(fp, 48), 32) ELSE fp & 281474976710655 END")
     part = lambda j: F.struct(F.lit(j + 1).alias("j"), F.shiftrightunsigned(F.col("rest"), 12 * j).bitwiseAND(0xFFF).alias("w"))
     whole = F.array(F.struct(F.lit(0).alias("j"), F.lit(0).cast("long").alias("w")))
-    spread = marked.withColumn("rest", other).select("fp", "doc", "i", "v", F.explode(F.when(F.col("hot"), F.array(*map(part, range(4)))).otherwise(whole)).alias("s"))
-    return spread.select(((F.col("i") * 65536 + F.col("v")) * 5 * 4096 + F.col("s.j") * 4096 + F.col("s.w")).cast("long").alias("shard"), "fp", "doc")
+    spread = marked.withColumn("rest", other).select("fp", "i", "v", F.explode(F.when(F.col("hot"), F.array(*map(part, range(4)))).otherwise(whole)).alias("s"))
+    return spread.select(((F.col("i") * 65536 + F.col("v")) * 5 * 4096 + F.col("s.j") * 4096 + F.col("s.w")).cast("long").alias("shard"), "fp")
 
 
-def simhash_links(nodes: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
-    """(a, b): each document of a shard's component with its first. ``nodes``: (fp, doc), one row for each fingerprint."""
+def simhash_links(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
+    """(a, b): each fingerprint of a shard's component with its first. ``prints``: (fp), each once."""
     if radius > 3:
         raise ValueError("four blocks find pairs of at most three differing bits")
-    sharded = _shards(nodes, split_over).repartition("shard").sortWithinPartitions("shard", "fp")
+    sharded = _shards(prints, split_over).repartition("shard").sortWithinPartitions("shard", "fp")
     return sharded.mapInArrow(_shard_links(radius), "a long, b long")
 
 
 def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
-    everyone = prints.groupBy("fp").agg(F.min("doc_id").alias("doc"))
-    heads = connected_components(simhash_links(everyone.where("doc is not null"), radius, split_over))
-    named = everyone.join(heads, everyone["doc"] == heads["node"], "left")
-    return named.select("fp", F.coalesce("component", "doc").alias("component_id"))
+    everyone = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
+    heads = connected_components(simhash_links(everyone.select("fp"), radius, split_over))
+    named = everyone.join(heads, everyone["fp"] == heads["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("head"))
+    least = named.groupBy("head").agg(F.min("doc").alias("component_id"))
+    return named.join(least, "head").select("fp", "component_id")
 
 
 def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, split_over: int = SPLIT_OVER) -> DataFrame:
