@@ -123,6 +123,13 @@ def test_bpe_streams():
     for data in (b"a\xe4", b"\xb8", b"\xad\xff", b"\xc3"):
         out += machine.feed(data)
     assert out + machine.finish() == b"a\xe4\xb8\xad\xff\xc3".decode(errors="replace") and not machine.valid
+    long = (" ".join("".join(map(chr, np.random.default_rng(3).integers(97, 123, 9))) for _ in range(300)) + " 中é").replace(" ", "")
+    whole = codec.machine.encode(long.encode())
+    bpe.MAX_STATES, kept = 20, bpe.MAX_STATES
+    try:
+        assert bpe.Codec(RANKS, P.PATTERN).machine.encode(long.encode()) == whole and b"".join(map(codec.token_bytes.__getitem__, whole)) == long.encode()
+    finally:
+        bpe.MAX_STATES = kept
     pieces = [b"entranceway", b" thntblere", "éèêau".encode(), b"aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa"]
     assert all(codec.machine.encode(p) == bpe.merge(p, codec.ranks)[0] for p in pieces)
 
@@ -411,8 +418,10 @@ def test_decontamination(spark, odd, none):
     df, tests = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(99, None), (98, "")], "item_id long, text string")
     for block in (1 << 20, 600):
         assert {(x.doc_id, x.item_id) for x in decontamination.contaminated(df, tests, block).collect()} == want
-    left = decontamination.without_contaminated(df, tests)
-    assert {x.doc_id for x in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    for block in (1 << 20, 600):
+        left = decontamination.without_contaminated(df.withColumn("item_id", F.lit(1)), tests, block)
+        assert left.columns == ["doc_id", "text", "item_id"] and {x.doc_id for x in left.collect()} == {i for i, _ in rows} - {i for i, _ in want}
+    assert decontamination.without_contaminated(odd, tests).count() == len(ODD)
     assert decontamination.contaminated(odd, tests).count() == 0 and decontamination.contaminated(none, tests).count() == 0
     assert decontamination.contaminated(df, tests.where("false")).count() == 0
 

@@ -83,7 +83,7 @@ def test_pipeline_equals_the_slow_version(spark, data, result):
         text = hide.text(docs[i].text, {})
         assert not re.search(r"\S+@\S+", docs[i].text) or text != docs[i].text
         coded = codec.encode(text)
-        assert result[i].ids_sha256 == hashlib.sha256(coded).hexdigest() and result[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert result[i].ids == np.frombuffer(coded, "<u4").tolist() and result[i].ids_sha256 == hashlib.sha256(coded).hexdigest() and result[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_odd_rows(spark, data, tmp_path, result):

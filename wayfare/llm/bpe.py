@@ -29,9 +29,11 @@ from wayfare.llm.words import slices, texts_of
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, valid_utf8 boolean"
 #: Bounds of a worker's tables; beyond them a table is begun anew, which changes speed alone.
-MAX_STATES, MAX_MEMO = 300_000, 900_000
+MAX_STATES, MAX_MEMO = 200_000, 500_000
 #: Longer pieces seldom come again and are not kept.
 MEMO_CHARS = 16
+#: Bytes of text whose ids are held at once.
+SLICE_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,6 +59,8 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[int], int]:
 class Transducer:
     """Bytes in, token ids out; :meth:`encode` for one piece, :meth:`feed` and :meth:`finish` for a stream.
 
+    One stream at a time: :meth:`feed` may begin the tables anew, after which older state numbers mean nothing.
+
     A state is (last emitted token, ((trie node, tokens), ...)): for each position where a token may have
     begun, the node its bytes lead to in the trie of all tokens and the tokens not yet emitted before it. The
     last entry is the end of what was read, at the trie's root.
@@ -191,6 +195,11 @@ class Transducer:
             key = state << 8 | byte
             step = get(key)
             if step is None:
+                if len(self.configs) > MAX_STATES:  # within a piece too, so that its length does not count
+                    config = self.configs[state]
+                    self.clear()
+                    get, emits, state = self.moves.get, self.emits, self._intern(config)
+                    key = state << 8 | byte
                 step = self._move(state, byte)
             if step < 0:
                 out.extend(emits[key])
@@ -206,8 +215,6 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token is that token, as in the public library
             return [whole]
-        if len(self.configs) > MAX_STATES:
-            self.clear()
         out: list[int] = []
         self.finish(self.feed(self.start, piece, out), out)
         return out
@@ -341,22 +348,24 @@ def stream_decode(codec: Codec, ids: Iterable[int]) -> Iterator[str]:
         yield text
 
 
-def _digest(ranks_file: str, pattern: str):
+def _digest(ranks_file: str, pattern: str, with_ids: bool):
     tool: list[Codec] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             tool or tool.append(Codec(ranks_file, pattern))
-            codec, rows = tool[0], ([], [], [], [])
+            codec, rows = tool[0], ([], [], [], [], [])
             for text in texts_of(batch).to_pylist():
                 coded = codec.encode(text)
-                data, valid = codec.decode(np.frombuffer(coded, dtype="<u4"))
-                for column, x in zip(rows, (len(coded) // 4, hashlib.sha256(coded).hexdigest(), hashlib.sha256(data).hexdigest(), valid), strict=True):
+                ids = np.frombuffer(coded, dtype="<u4")
+                data, valid = codec.decode(ids)
+                for column, x in zip(rows, (len(ids), hashlib.sha256(coded).hexdigest(), hashlib.sha256(data).hexdigest(), valid, ids.view("<i4") if with_ids else None), strict=True):
                     column.append(x)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), *(pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.string(), pa.string(), pa.bool_()), strict=True))],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8"],
-            )
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()))
+            columns = {"doc_id": batch.column("doc_id").cast(pa.int64())} | {n: pa.array(x, t) for n, x, t in zip(("n_tokens", "ids_sha256", "decoded_sha256", "valid_utf8", "ids"), rows, kinds, strict=True)}
+            if not with_ids:
+                del columns["ids"]
+            yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
@@ -365,7 +374,7 @@ def _tokens(ranks_file: str, pattern: str):
     tool: list[Codec] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SLICE_BYTES):
             tool or tool.append(Codec(ranks_file, pattern))
             ids = [np.frombuffer(tool[0].encode(x), dtype="<u4").astype(np.int32) for x in texts_of(batch).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -378,6 +387,7 @@ def bpe_encode(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_tokens(ranks_file, pattern), "doc_id long, ids array<int>")
 
 
-def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
-    """Digests of the ids and of the bytes decoded from them, one row for each row of ``docs``. One pass, no shuffle."""
-    return docs.select("doc_id", "text").mapInArrow(_digest(ranks_file, pattern), SCHEMA)
+def bpe_round_trip(docs: DataFrame, ranks_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """Digests of the ids and of the bytes decoded from them, one row for each row of ``docs``, and the ids if asked. One pass, no shuffle."""
+    schema = SCHEMA + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(_digest(ranks_file, pattern, with_ids), schema)
