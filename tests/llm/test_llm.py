@@ -330,20 +330,58 @@ def test_near_copies_whose_partner_is_not_among_the_likeliest(spark):
 # --- 6 token ids ---------------------------------------------------------------------------------------
 
 
-def test_token_ids(docs, none, odd):
+def id_digest(tool, text):
+    ids = tool.encode(text or "", add_special_tokens=False).ids + [2]
+    return len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.fixture(scope="module")
+def word_tool():
     from tokenizers import Tokenizer
 
-    tool = Tokenizer.from_file(WORDS)
+    return Tokenizer.from_file(WORDS)
+
+
+def test_token_ids(docs, none, odd, word_tool):
     for df in (docs, odd.where("doc_id is not null")):
         got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_ids.token_id_round_trip(df, WORDS, 2, 50).collect())
         at, want = 0, []
         for r in sorted(df.collect(), key=lambda r: r.doc_id):
-            ids = tool.encode(r.text or "", add_special_tokens=False).ids + [2]
-            want.append((at, r.doc_id, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
-            at += len(ids)
+            n, crc = id_digest(word_tool, r.text)
+            want.append((at, r.doc_id, n, crc))
+            at += n
         assert got == want
     assert token_ids.token_id_round_trip(none, WORDS, 2).count() == 0
-    assert token_ids.token_id_round_trip(odd, WORDS, 2).count() == len(ODD)
+    got = token_ids.token_id_round_trip(odd, WORDS, 2).collect()
+    assert by_row((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == by_row((i, *id_digest(word_tool, t)) for i, t, _ in ODD)
+
+
+def test_token_ids_of_hot_and_missing_keys(spark, word_tool, monkeypatch):
+    """A key with many rows, and rows without one, go to several ranges and files; every record is whole and in order of keys."""
+    monkeypatch.setattr(token_ids, "FILE_BYTES", 400)
+    words = "a cat sat on the mat and looked".split()
+    rows = [(None if i % 4 == 0 else 50 if i % 4 < 3 else i, " ".join(words[: 1 + i % 8])) for i in range(400)]
+    got = token_ids.token_id_round_trip(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, 2, 20).collect()
+    got.sort(key=lambda r: r.start)
+    assert by_row((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == by_row((i, *id_digest(word_tool, t)) for i, t in rows)
+    assert [r.start for r in got] == np.cumsum([0] + [r.n_tokens for r in got])[:-1].tolist()
+    keys = [-math.inf if r.doc_id is None else r.doc_id for r in got]
+    assert keys == sorted(keys)
+    ranges = token_ids.Ranges(np.array([5, 9, 9, 9, 14]), 2)
+    found = ranges.of(pa.array([5, 6, 9, 9, 9, 9, 10, 14, 15, None, None], pa.int64()), np.arange(11))
+    assert found[[0, 1, 6, 7, 8]].tolist() == [2, 3, 6, 6, 7] and set(found[2:6].tolist()) <= {3, 4, 5} and set(found[9:].tolist()) <= {0, 1} and ranges.size == 8
+
+
+#: Characters that change their kind or number in lower case or composed form, special tokens, and what may stand beside them.
+ODD_PIECES = ["İ", "İ.", "ſ", "K", "ß", "ẞ", "ŉ", "ΐ", "é", "e\u0301", "\u0307", "\u200d", "\xa0", "\x1c", "\x85", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "'s", "'S", "don't", "A", "b", "Z", "1", "٣", "½", "Ⅷ", "中", "한", "\u1112\u1161\u11ab", ".", ",", "-", "_", "\n", " ", " ", " ", "\U0001f600", "ﬁ", "Σ", "ΑΣ", "word", "Ǆ", "Ა", "\u0345"]
+
+
+def test_word_encoder_equals_the_public_library(word_tool):
+    r = np.random.default_rng(1)
+    said = ["".join(r.choice(ODD_PIECES, int(n))) for n in r.integers(0, 12, 8000)]
+    tool = token_ids.WordEncoder(WORDS)
+    for text, ids, want in zip(said, tool.encode([t.encode() for t in said]), word_tool.encode_batch(said, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, tool.dtype).tolist() == want.ids, text
 
 
 def test_perfect_hash():
@@ -590,6 +628,93 @@ def test_language_model(spark, docs, odd, none):
     assert language_model.score_texts(none, SP, F.lit(False)).count() == 0
 
 
+def slow_score(scorer, vocabulary, counts, text):
+    """The log10 probability of a text, one token and one word at a time, from the formulas of the module's text."""
+    p, classes, width, stride = scorer.network.p, scorer.network.classes, language_model.WINDOW, language_model.STRIDE
+    words = WORD.findall(lower(text))
+    pieces = [vocabulary.model.encode(w) for w in words]
+    tokens = [vocabulary.begin, *(i for x in pieces for i in x), vocabulary.end]
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    def shares(at):
+        """Probabilities of the classes of tokens[at], by what its window has before it."""
+        start = 0 if at <= width else stride * -(-(at - width) // stride)
+        x = np.array([p["class_in"][classes[t]] + p["token_in"][t] + p["place"][k] for k, t in enumerate(tokens[start:at])], float)
+        q, k, v = np.split(x @ p["qkv"], 3, axis=1)
+        h = x[-1] + softmax(k @ q[-1] / np.sqrt(len(q[-1]))) @ v
+        return softmax((h + np.maximum(h @ p["up"] + p["up_b"], 0) @ p["down"]) @ p["out"] + p["out_b"])
+
+    class_words = collections.Counter()
+    for w, c in counts.items():
+        class_words[classes[vocabulary.model.encode(w)[0]]] += c
+    in_class = np.exp(scorer.log_in_class)
+    opens = lambda share: share[: language_model.STARTS].sum()
+    total, at = 0.0, 1
+    for w, own in zip(words, pieces):
+        share = shares(at)
+        first = share[classes[own[0]]] / opens(share)
+        whole = first * counts[w] / class_words[classes[own[0]]] if counts[w] else 0.0
+        spelled = first * in_class[own[0]]
+        for k, piece in enumerate(own[1:], 1):
+            spelled *= shares(at + k)[classes[piece]] * in_class[piece]
+        spelled *= opens(shares(at + len(own)))
+        total += math.log10(scorer.known * whole + (1 - scorer.known) * spelled)
+        at += len(own)
+    share = shares(at)
+    return total + math.log10(share[classes[vocabulary.end]] / opens(share))
+
+
+def test_language_model_score_equals_the_slow_one(spark, docs):
+    held = toxicity.remainder("doc_id", 7) == 2
+    small = docs.where("length(text) < 1500").select("doc_id", "text")
+    *_, scorer = language_model.learn(small, SP, held)
+    vocabulary, counts = language_model.Vocabulary(SP), collections.Counter()
+    said = texts(small)
+    for i, text in said.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(WORD.findall(lower(text)))
+    got = {r.doc_id: r for r in language_model.score_texts(small, SP, held).collect()}
+    some = sorted(said, key=lambda i: (not got[i].held_out, i))[:12] + sorted(said, key=lambda i: -len(said[i]))[:4]
+    for i in some:
+        assert math.isclose(got[i].score, slow_score(scorer, vocabulary, counts, said[i]), rel_tol=1e-3), i
+    # Probabilities: a class's subwords sum to one, and so do the training words of each class.
+    sums = np.bincount(scorer.network.classes, weights=np.exp(scorer.log_in_class), minlength=language_model.CLASSES)
+    mixed_with_end = scorer.network.classes[vocabulary.end]
+    assert all(math.isclose(x, 1, rel_tol=1e-6) for c, x in enumerate(sums) if c != mixed_with_end and c in scorer.network.classes)
+    first = np.bincount([scorer.network.classes[vocabulary.model.encode(w)[0]] for w in counts], weights=list(counts.values()), minlength=language_model.CLASSES)
+    assert np.allclose(np.exp(scorer.log_class_words), first)
+
+
+@pytest.mark.parametrize("rows, held", [([(1, "the cat sat"), (2, "a dog")], "true"), ([(1, "the cat sat"), (2, "the cat sat"), (3, "zebra quixotic words unseen")], "doc_id = 3"), ([(1, ""), (2, None)], "false")])
+def test_language_model_of_few_texts(spark, rows, held):
+    """Scores are numbers where no text, or none with a word of some class, is learned from."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score_texts(df, SP, F.expr(held)).collect()}
+    assert set(got) == {i for i, _ in rows} and all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    if held == "true":
+        assert {r.train_tokens for r in got.values()} == {0}
+
+
+def test_training_goes_on_over_all_chunks(spark):
+    """A turn moves the weights by the mean of the tasks' changes, whatever the order, and lowers the loss on what the first chunks lack."""
+    r = np.random.default_rng(1)
+    order = r.permutation(40)
+    sample = np.array([[order[(s + t) % 40] for t in range(language_model.WINDOW + 1)] for s in r.integers(0, 40, 512)])
+    classes = np.where(np.arange(600) < 300, np.arange(600) % 30, language_model.STARTS + np.arange(600) % 28)
+    frame = spark.createDataFrame([(sample[i : i + 64].astype("<u2").tobytes(),) for i in range(0, 512, 64)], "sample binary").repartition(4)
+    moved = []
+    for _ in range(2):
+        net = language_model.Attention(600, classes)
+        net.begin()
+        net.fit(sample[:64], np.ones((64, language_model.WINDOW), bool), epochs=1)
+        before = net.gradients(sample[:, :-1], sample[:, 1:], np.ones((512, language_model.WINDOW), np.float32))[1]
+        net.begin()
+        language_model.train_on_all(net, frame, 599, 0.01)
+        moved.append((net.p, net.gradients(sample[:, :-1], sample[:, 1:], np.ones((512, language_model.WINDOW), np.float32))[1]))
+    assert moved[0][1] < before and all((moved[0][0][k] == moved[1][0][k]).all() for k in net.p)
+    assert (moved[0][0]["token_in"][40:] == 0).all()
+
+
 def test_attention_is_causal_and_scores_each_token_once():
     r = np.random.default_rng(0)
     classes = np.where(np.arange(50) < 20, np.arange(50) % language_model.STARTS, language_model.STARTS + np.arange(50) % language_model.INSIDES)

@@ -7,13 +7,15 @@ sets", 2017) gives each of n keys one of n slots; the slot holds a 32-bit finger
 turns away most keys that the shard lacks, and the record's number. Ids are unsigned 16-bit integers where
 the vocabulary allows it, else 32-bit.
 
-Documents are dealt to shards by ascending key, so the shards in order hold all ids in order of the keys.
-Where a shard's ids begin among all ids is the sum over the shards before it, which is one small row for
-each shard. Shard files are written whole under their final name's temporary sibling and then renamed, so
-a task that is run again writes the same file again.
-
-Null texts count as empty and have the end id alone. Rows with a repeated key are records of their own, in
-the order of their ids; the index leads to the first. Rows without a key come first and are not indexed.
+Documents are dealt to ranges of ascending keys, one task each, and a range to files of a bounded size; so the files
+in order hold all ids in order of the keys. A file says how many ids of its range come before it, so where a file's
+ids begin among all ids needs one small row for each range, and the number of ranges is bounded. A key with more
+rows than a range holds gets further ranges, and so have the rows without a key. Files are written whole under
+their final name's temporary sibling and then renamed, so a task that is run again writes the same file again.
+
+Null texts count as empty and have the end id alone. Rows with a repeated key are records of their own; their order
+among themselves is by range, then by ids; the index leads to the first in the file. Rows without a key come first
+and are not indexed.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,12 +34,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wayfare.llm.words import mixed, slices, texts_of
 from wayfare.plans.shared import cut, scratch_path
 
-MAGIC = b"WFIDS\x01\0\0"
-#: magic, bytes of an id, records, keyed records, ids, and where the five parts after the ids begin.
-HEADER = struct.Struct("<8sQQQQ5Q")
-#: Rows of a run of keys, about, and bytes of ids in one file; a run with more goes on in further files.
-SHARD_ROWS, FILE_BYTES = 4096, 16 << 20
+MAGIC = b"WFIDS\x02\0\0"
+#: magic, bytes of an id, records, keyed records, ids, ids of the range before, and where the five parts after the ids begin.
+HEADER = struct.Struct("<8sQQQQQ5Q")
+#: Rows of a range, about, the most ranges there are (beyond that they get longer), and bytes of ids in one file.
+SHARD_ROWS, MAX_RANGES, FILE_BYTES = 4096, 16_384, 16 << 20
 _FILES = 1 << 20
+#: Stores that pyarrow knows by another scheme.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 MAX_MEMO = 600_000
 
 
@@ -109,8 +114,11 @@ class PerfectHash:
 # --- files ---------------------------------------------------------------------------------------------
 
 
-def pack_shard(keys: np.ndarray, no_key: np.ndarray, ends: np.ndarray, payload: bytes, width: int) -> bytes:
-    """A shard's bytes. ``ends[i]`` ids belong to the records up to i; records without a key come first."""
+def pack_shard(keys: np.ndarray, no_key: np.ndarray, ends: np.ndarray, payload: bytes, width: int, before: int = 0) -> bytes:
+    """A shard's bytes. ``ends[i]`` ids belong to the records up to i; records without a key come first.
+
+    ``before``: ids of the shard's range in the files before it.
+    """
     keyed = np.flatnonzero(~no_key)
     first = keyed[np.concatenate(([True], keys[keyed][1:] != keys[keyed][:-1]))] if len(keyed) else keyed
     index = PerfectHash.build(keys[first])
@@ -120,14 +128,14 @@ def pack_shard(keys: np.ndarray, no_key: np.ndarray, ends: np.ndarray, payload:
     starts = np.concatenate(([0], ends)).astype("<u8")
     parts = [starts.tobytes(), keys.astype("<i8").tobytes(), prints.tobytes(), records.tobytes(), index.to_bytes()]
     at = HEADER.size + len(payload) + np.concatenate(([0], np.cumsum([len(p) for p in parts])[:-1]))
-    return HEADER.pack(MAGIC, width, len(keys), len(keyed), int(ends[-1]) if len(ends) else 0, *map(int, at)) + payload + b"".join(parts)
+    return HEADER.pack(MAGIC, width, len(keys), len(keyed), int(ends[-1]) if len(ends) else 0, before, *map(int, at)) + payload + b"".join(parts)
 
 
 class Shard:
     """A shard opened from its bytes."""
 
     def __init__(self, data: bytes):
-        magic, width, n, keyed, self.n_ids, starts, keys, prints, records, index = HEADER.unpack_from(data)
+        magic, width, n, keyed, self.n_ids, self.before, starts, keys, prints, records, index = HEADER.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, HEADER.size)
@@ -154,7 +162,8 @@ class Shard:
 
 def write_file(path: str, data: bytes) -> None:
     """Write by rename, in any store that pyarrow knows by its scheme."""
-    fs, at = pa.fs.FileSystem.from_uri(path)
+    scheme, colon, rest = path.partition(":")
+    fs, at = pa.fs.FileSystem.from_uri(_SCHEMES.get(scheme, scheme) + colon + rest)
     part = f"{at}.{zlib.crc32(data):08x}.part"
     fs.create_dir(at.rpartition("/")[0], recursive=True)
     with fs.open_output_stream(part) as out:
@@ -209,7 +218,8 @@ class WordEncoder:
         for word in words:
             if word[-1] in b".,":
                 base = word[:-1]
-                if base and (base[-1:].isalnum() or not base.isascii() and base.decode()[-1].isalpha()):
+                # Lower case may end in a mark where the letter does not, and a mark goes on with what follows.
+                if base and (base[-1:].isalnum() or not base.isascii() and base.decode().lower()[-1].isalpha()):
                     tails[word] = base
         need = (words.difference(tails) | set(tails.values()) | {b".", b","}).difference(memo)
         plain = [w for w in need if w.decode().isalpha()]
@@ -221,7 +231,8 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         if len(self.memo) > MAX_MEMO:
             self.memo.clear()
-        lists = [text.lower().split() for text in texts]  # bytes: changes A-Z alone, splits on ASCII white space alone
+        # Bytes: lower() changes A-Z alone, split() splits on ASCII white space alone. Special tokens are seen before case is.
+        lists = [(text if b"<|" in text else text.lower()).split() for text in texts]
         new: set[bytes] = set()
         for words in lists:
             new.update(set(words).difference(self.memo))
@@ -230,72 +241,100 @@ class WordEncoder:
             yield b"".join(map(self.memo.__getitem__, words))
 
 
-def _encode_batches(vocabulary: str, end_id: int, bounds: list[int]):
-    """Arrow function over (doc_id, text): each row's shard by its key, and its ids."""
+@dataclass
+class Ranges:
+    """Ranges of ascending keys, after ``nameless`` ranges for rows without a key.
+
+    Range i has the keys over ``bounds[i - 1]`` up to ``bounds[i]``. A bound that is there more than once is a key with
+    several ranges, to which its rows are dealt in turn.
+    """
+
+    bounds: np.ndarray
+    nameless: int
+
+    @property
+    def size(self) -> int:
+        return self.nameless + len(self.bounds) + 1
+
+    def of(self, keys: pa.Array, place: np.ndarray) -> np.ndarray:
+        """The range of each row; ``place`` numbers the rows of a task."""
+        none = keys.is_null().to_numpy(zero_copy_only=False)
+        values = keys.fill_null(0).to_numpy()
+        low = np.searchsorted(self.bounds, values, "left")
+        wide = np.maximum(np.searchsorted(self.bounds, values, "right") - low, 1)
+        turn = mixed(place.astype(np.uint64))
+        return np.where(none, (turn % np.uint64(max(1, self.nameless))).astype(np.int64), self.nameless + low + (turn % wide.astype(np.uint64)).astype(np.int64))
+
+
+def _encode_batches(vocabulary: str, end_id: int, ranges: Ranges):
+    """Arrow function over (doc_id, text): each row's range by its key, and its ids."""
     tool: list[WordEncoder] = []
-    limits = np.array(bounds, dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        place = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in slices(batches, size=4 << 20):
             tool or tool.append(WordEncoder(vocabulary))
             end = np.array([end_id], dtype=tool[0].dtype).tobytes()
             ids = [x + end for x in tool[0].encode(texts_of(batch).cast(pa.binary()).to_pylist())]
             keys = batch.column("doc_id")
-            shard = np.searchsorted(limits, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), "left")
-            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), keys, pa.array(ids, pa.binary())], names=["shard", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(keys, place + np.arange(len(keys))).astype(np.int32)), keys, pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+            place += len(keys)
 
     return run
 
 
 def _write_shards(folder: str, width: int):
-    """Arrow function over rows sorted by (shard, doc_id, ids): writes each shard's file, gives (shard, n_ids, n_rows)."""
-
-    def close(shard: int, rows: list) -> tuple[int, int, int]:
-        keys = np.array([0 if k is None else k for k, _ in rows], dtype=np.int64)
-        ends = np.cumsum([len(x) // width for _, x in rows])
-        write_file(f"{folder}/shard-{shard:016d}.ids", pack_shard(keys, np.array([k is None for k, _ in rows]), ends, b"".join(x for _, x in rows), width))
-        return shard, int(ends[-1]), len(rows)
+    """Arrow function over a range's rows sorted by (doc_id, ids): writes its files, gives (shard, range, n_ids, n_rows) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: list[tuple[int, int, int]] = []
-        at, rows, held, file = None, [], 0, 0
+        done: list[tuple[int, int, int, int]] = []
+        at, rows, held, before = None, [], 0, 0
+
+        def close() -> None:
+            keys = np.array([0 if k is None else k for k, _ in rows], dtype=np.int64)
+            ends = np.cumsum([len(x) // width for _, x in rows])
+            shard = at * _FILES + sum(r == at for _, r, _, _ in done)
+            write_file(f"{folder}/shard-{shard:016d}.ids", pack_shard(keys, np.array([k is None for k, _ in rows]), ends, b"".join(x for _, x in rows), width, before))
+            done.append((shard, at, int(ends[-1]), len(rows)))
+
         for batch in batches:
-            for shard, key, ids in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
-                if shard != at or held > FILE_BYTES:
+            for range_, key, ids in zip(batch.column("range").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if range_ != at or held > FILE_BYTES:
                     if rows:
-                        done.append(close(at * _FILES + file, rows))
-                    file = file + 1 if shard == at else 0
-                    at, rows, held = shard, [], 0
+                        close()
+                    before = before + done[-1][2] if range_ == at else 0
+                    at, rows, held = range_, [], 0
                 rows.append((key, ids))
                 held += len(ids)
         if rows:
-            done.append(close(at * _FILES + file, rows))
-        yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["shard", "n_ids", "n_rows"]).astype("int64"), preserve_index=False)
+            close()
+        yield pa.RecordBatch.from_pandas(pd.DataFrame(done, columns=["shard", "range", "n_ids", "n_rows"]).astype("int64"), preserve_index=False)
 
     return run
 
 
-def _ranges(docs: DataFrame, rows: int) -> list[int]:
-    """Bounds that cut the keys into runs of about ``rows`` rows; from the key column alone."""
-    n = docs.select(F.count("*")).first()[0]
+def _ranges(docs: DataFrame, rows: int) -> Ranges:
+    """Ranges of about ``rows`` rows, at most ``MAX_RANGES`` and as many again without a key; from the key column alone."""
+    n, nameless = docs.select(F.count("doc_id"), F.count_if(F.isnull("doc_id"))).first()
+    rows = max(rows, -(-n // MAX_RANGES), -(-nameless // MAX_RANGES))
     parts = max(1, -(-n // rows))
-    if parts == 1:
-        return []
-    cuts = docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.001, 0.2 / parts))
-    return sorted({int(x) for x in cuts})
+    cuts = docs.where("doc_id is not null").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], min(0.001, 0.2 / parts)) if parts > 1 else []
+    return Ranges(np.sort(np.array(cuts, dtype=np.float64).astype(np.int64)), -(-nameless // rows))
 
 
 def write_token_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Encode ``docs`` (doc_id, text) into shard files below ``folder``; (shard, n_ids, n_rows) of each.
+    """Encode ``docs`` (doc_id, text) into shard files below ``folder``; (shard, range, n_ids, n_rows) of each.
 
-    Texts are encoded where they are read; what is shuffled, once, is their ids. The bounds of shards are one
-    number for each ``shard_rows`` documents.
+    Texts are encoded where they are read; what is shuffled, once, is their ids. Each range is a task, by its number.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = keyed.mapInArrow(_encode_batches(vocabulary, end_id, _ranges(keyed, shard_rows)), "shard long, doc_id long, ids binary")
-    dealt = coded.repartition("shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
+    ranges = _ranges(keyed, shard_rows)
+    coded = keyed.mapInArrow(_encode_batches(vocabulary, end_id, ranges), "range int, doc_id long, ids binary")
+    dealt = coded.repartitionById(ranges.size, "range").sortWithinPartitions("range", F.col("doc_id").asc_nulls_first(), "ids")
     width = WordEncoder(vocabulary).width
-    return cut(dealt.mapInArrow(_write_shards(folder, width), "shard long, n_ids long, n_rows long"))
+    return cut(dealt.mapInArrow(_write_shards(folder, width), "shard long, range long, n_ids long, n_rows long"))
 
 
 def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,26 +349,27 @@ def _read_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             record[shard.no_key :] = found + np.arange(len(found)) - begin[run] if len(found) else found
             crc = [zlib.crc32(shard.record(i).astype("<u4").tobytes()) for i in record]
             keys = pa.array(shard.keys, mask=np.arange(len(shard.keys)) < shard.no_key)
+            range_ = int(name.rpartition("shard-")[2].partition(".")[0]) // _FILES
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(name.rpartition("shard-")[2].partition(".")[0])] * len(crc), pa.int64()), keys, pa.array(shard.starts[record]), pa.array(shard.starts[record + 1] - shard.starts[record]), pa.array(crc, pa.int64())],
-                names=["shard", "doc_id", "at", "n_tokens", "ids_crc32"],
+                [pa.array([range_] * len(crc), pa.int64()), keys, pa.array(shard.before + shard.starts[record]), pa.array(shard.starts[record + 1] - shard.starts[record]), pa.array(crc, pa.int64())],
+                names=["range", "doc_id", "at", "n_tokens", "ids_crc32"],
             )
 
 
 def read_token_ids(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each record, looked up through each shard's index.
 
-    ``shards`` is what :func:`write_token_ids` gave. Its rows, one for each shard file, are summed in order on
-    the driver; the files are read by Spark, whatever store they are in.
+    ``shards`` is what :func:`write_token_ids` gave. The sums of its ranges, of which there are a bounded number, are
+    added up in order on the driver; the files are read by Spark, whatever store they are in.
     """
-    sizes = shards.select("shard", "n_ids").orderBy("shard").toPandas()
+    sizes = shards.groupBy("range").agg(F.sum("n_ids").alias("n_ids")).orderBy("range").toPandas()
     if not len(sizes):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     sizes["base"] = sizes["n_ids"].cumsum() - sizes["n_ids"]
-    base = spark.createDataFrame(sizes[["shard", "base"]])
+    base = spark.createDataFrame(sizes[["range", "base"]])
     files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.ids").load(folder).select("path", "content")
-    rows = files.mapInArrow(_read_shards, "shard long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    return rows.join(F.broadcast(base), "shard").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    rows = files.mapInArrow(_read_shards, "range long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return rows.join(F.broadcast(base), "range").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def token_id_round_trip(docs: DataFrame, vocabulary: str, end_id: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
