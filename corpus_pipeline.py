@@ -14,7 +14,7 @@ from wayfare.llm.decontamination import without_contaminated
 from wayfare.llm.near_copies import one_of_each_group
 from wayfare.llm.pii import with_pseudonyms
 from wayfare.llm.quality import keep_good
-from wayfare.llm.queries import PII_KEY, table
+from wayfare.llm.queries import pii_key, table
 from wayfare.plans.shared import scratch_path
 
 
@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return with_pseudonyms(docs, PII_KEY)
+    return with_pseudonyms(docs, pii_key(spark))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

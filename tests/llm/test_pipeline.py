@@ -78,7 +78,7 @@ def test_pipeline_equals_the_slow_version(spark, data, result):
     single = [i for i in kept if head[i] == i]
     clean = [i for i in single if not slow_leak(docs[i].text, items)]
     assert sorted(result) == clean and 0 < len(clean) < len(docs)
-    hide, codec = pii.Pseudonyms(PII_KEY), bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    hide, codec = pii.Pseudonyms(PII_KEY.encode()), bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
     for i in clean:
         text = hide.text(docs[i].text, {})
         assert not re.search(r"\S+@\S+", docs[i].text) or text != docs[i].text

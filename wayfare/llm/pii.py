@@ -5,11 +5,14 @@ number plans) and turned into a number below the size of its format. A keyed Fei
 number; steps that fall outside the format are walked on until they are inside again, so the result is a
 permutation of the format itself. Where a finder's longest candidate is not valid, its shorter ends at token edges
 and the finders after it are tried, so a value is found beside other tokens. Check digits are made anew, separators and paddings stay. Equal values
-give equal pseudonyms in all documents, whatever their separators, and the key gives the values back.
-
-Formats: e-mail addresses (letters and digits of all labels but the last), telephone numbers (the country
-code stays), payment cards (the first digit stays), IBANs (the country stays), US social security numbers,
-IPv4 addresses, dates from 1900 to 2099, cloud access keys, and long hexadecimal secrets. A pseudonym may
+give equal pseudonyms in all documents, whatever their separators, case (of e-mail addresses) or way of writing a
+date, and the key gives the values back.
+
+Formats: e-mail addresses (letters and digits of all labels but the last), telephone numbers (the country code
+stays, by the table of codes, and so do a trunk 0 and a leading digit other than 0; a number with a country code and
+the same one without are linked in the North American plan alone), payment cards (the first digit stays), IBANs (the
+country stays), US social security numbers, IPv4 addresses, dates from 1900 to 2099 in figures, before a time of
+day, or with the month in words (four languages), cloud access keys, and long hexadecimal secrets. A pseudonym may
 equal its value by chance, once in the size of its format.
 
 Null texts stay null, empty ones empty; whole texts are searched, and rows with equal ids are rows of their own.
@@ -31,6 +34,22 @@ from wayfare.llm.words import slices
 ROUNDS = 10
 KINDS = ("email", "iban", "phone", "card", "ssn", "ip", "date", "access_key", "secret")
 
+# Telephone country codes of one and two digits (ITU-T E.164); all others have three.
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+# Names of months. German ones are read after a day with a full stop, the others without.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "en_short": "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "fr": "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+    "de": "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+}
+
+
+def _names(*languages: str) -> str:
+    return "(?i:" + "|".join(sorted({m for x in languages for m in MONTHS[x]}, key=lambda m: (-len(m), m))) + ")"
+
+
 # Quantifiers are possessive and matches begin at an edge, so time is linear in the text.
 FINDERS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
@@ -38,15 +57,19 @@ FINDERS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "secret": r"(?<![A-Za-z0-9])(?=[0-9]*[a-f])(?=[a-f]*[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])",
     "ip": r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\w]|\.[0-9])",
-    "date": r"(?<![\w/.-])(?:[0-9]{4}(?P<a>[-/.])[0-9]{1,2}(?P=a)[0-9]{1,2}|[0-9]{1,2}(?P<b>[-/.])[0-9]{1,2}(?P=b)[0-9]{4})(?![\w/-]|\.[0-9])",
+    "date": r"(?<![\w/.-])(?:[0-9]{4}(?P<a>[-/.])[0-9]{1,2}(?P=a)[0-9]{1,2}|[0-9]{1,2}(?P<b>[-/.])[0-9]{1,2}(?P=b)[0-9]{4})(?!(?!T[0-9]{2}:)[\w/-]|\.[0-9])",
+    "date_in_words": rf"(?<![\w/.-])(?:[0-9]{{1,2}}(?:\. {_names('de')}|(?:st|nd|rd|th)?(?: of)? {_names('en', 'en_short', 'fr')}|(?: de)? {_names('es')}(?: de)?),? [0-9]{{4}}|{_names('en', 'en_short')} [0-9]{{1,2}}(?:st|nd|rd|th)?,? [0-9]{{4}})(?![\w/-]|\.[0-9])",
     "ssn": r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])",
     "card": r"(?<![\w.-])[0-9](?:[ -]?[0-9]){12,18}(?![\w]|-[0-9])",
     "phone": r"(?<![\w.])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}(?P<c>[ .-])[0-9]{3}(?P=c)[0-9]{4})(?![\w]|-[0-9])",
+    "national_phone": r"(?<![\w.-])0[1-9][0-9]{0,3}(?:[ .-][0-9]{2,8}){1,4}(?![\w]|[.-][0-9])",
 }
+#: Finders that are counted as another kind.
+COUNTED = {"date_in_words": "date", "national_phone": "phone"}
 PATTERN = re.compile("|".join(f"(?P<{kind}>{finder})" for kind, finder in FINDERS.items()))
 #: Each finder alone, and what may not come after its match.
 ONE = {kind: re.compile(finder) for kind, finder in FINDERS.items()}
-AFTER = {kind: re.compile(FINDERS[kind][FINDERS[kind].rindex("(?!"):]) for kind in ("iban", "card", "phone")}
+AFTER = {kind: re.compile(FINDERS[kind][FINDERS[kind].rindex("(?!"):]) for kind in ("iban", "card", "phone", "national_phone")}
 RUN = re.compile(r"[A-Za-z0-9]*")
 DOMAIN_END = re.compile(r"\.[A-Za-z]{2,}+(?![A-Za-z0-9])")
 _EPOCH, _DAYS = datetime.date(1900, 1, 1), (datetime.date(2100, 1, 1) - datetime.date(1900, 1, 1)).days
@@ -131,7 +154,10 @@ def _mod97(country: str, bban: str) -> int:
 
 def _email(value: str, permute: Permute) -> str | None:
     head, dot, last = value.rpartition(".")
-    return _by_class(head, permute, b"email") + dot + last if last.isalpha() and len(last) > 1 else None
+    if not last.isalpha() or len(last) < 2:
+        return None
+    fresh = _by_class(head.lower(), permute, b"email")
+    return "".join(x.upper() if y.isupper() else x for x, y in zip(fresh, head, strict=True)) + dot + last
 
 
 def _card(value: str, permute: Permute) -> str | None:
@@ -182,21 +208,47 @@ def _date(value: str, permute: Permute) -> str | None:
             continue
         if not 0 <= day < _DAYS:
             return None
-        fresh = _EPOCH + datetime.timedelta(permute(day, _DAYS, b"date"))
+        fresh = _day(permute, day)
         short = min(len(parts[order.index(x)]) for x in "md") == 1
         made = {"y": f"{fresh.year:04d}", "m": str(fresh.month) if short else f"{fresh.month:02d}", "d": str(fresh.day) if short else f"{fresh.day:02d}"}
         return sep.join(made[x] for x in order)
     return None
 
 
+def _day(permute: Permute, day: int) -> datetime.date:
+    return _EPOCH + datetime.timedelta(permute(day, _DAYS, b"date"))
+
+
+def _date_in_words(value: str, permute: Permute) -> str | None:
+    (day, year), word = re.findall("[0-9]+", value), re.search(r"[^\W\d_]{3,}", re.sub("[0-9](?:st|nd|rd|th)", "", value))[0]
+    languages = ("de",) if f"{day}." in value else ("en", "en_short", "fr", "es")
+    language = next((x for x in languages if word.lower() in map(str.lower, MONTHS[x])), None)
+    if language is None:  # a letter that only equals one of the name's when case is ignored
+        return None
+    month = [m.lower() for m in MONTHS[language]].index(word.lower())
+    try:
+        at = (datetime.date(int(year), month + 1, int(day)) - _EPOCH).days
+    except ValueError:
+        return None
+    if not 0 <= at < _DAYS:
+        return None
+    fresh = _day(permute, at)
+    name = MONTHS[language][fresh.month - 1]
+    name = name.lower() if word.islower() else name.upper() if word.isupper() else name.capitalize()
+    made = {day: f"{fresh.day:02d}" if day[0] == "0" else str(fresh.day), word: name, year: f"{fresh.year:04d}"}
+    suffix = {1: "st", 2: "nd", 3: "rd"}.get(fresh.day % 10 if fresh.day // 10 != 1 else 0, "th")
+    return re.sub("(?<=[0-9])(?:st|nd|rd|th)", suffix, re.sub("|".join(map(re.escape, sorted(made, key=len, reverse=True))), lambda m: made[m[0]], value))
+
+
 def _phone(value: str, permute: Permute) -> str | None:
-    digits = _digits(value)
+    trunk = value.find("(0)")  # said for callers at home, no part of the number
+    shape = value.replace("(0)", "(*)", 1) if trunk >= 0 else value
+    digits = _digits(shape)
     if not 7 <= len(digits) <= 15:
         return None
-    code = re.match(r"\+([0-9]{1,3})(?=[ .(-])", value)
-    code = code[1] if code else "" if value[0] != "+" else digits[:1]
-    rest = digits[len(code):]
-    if not rest:
+    code = next((digits[:n] for n in (1, 2) if digits[:n] in SHORT_CODES), digits[:3]) if value[0] == "+" else ""
+    rest = digits[len(code) :]
+    if len(rest) < 4 or code[:1] == "0":
         return None
     plan = len(rest) == 10 and code in ("", "1") and rest[0] in "23456789" and rest[3] in "23456789"
     if plan:  # the North American plan: area and exchange begin with 2 to 9
@@ -205,8 +257,20 @@ def _phone(value: str, permute: Permute) -> str | None:
         area, number = divmod(at, 8_000_000)
         rest = f"{area + 200}{number + 2_000_000}"
     else:
-        rest = str(permute(int(rest), 10 ** len(rest), b"phone" + code.encode())).zfill(len(rest))
-    return _refill(value, code + rest)
+        rest = _number(rest, permute, b"phone" + code.encode())
+    return _refill(shape, code + rest).replace("(*)", "(0)", 1)
+
+
+def _number(digits: str, permute: Permute, tweak: bytes) -> str:
+    """Digits for digits; those before the first that is not 0 stay, and that one does not become 0."""
+    head = digits[: len(digits) - len(digits.lstrip("0"))]
+    least = 10 ** (len(digits) - len(head) - 1) if len(head) < len(digits) else 0
+    return head + str(least + permute(int(digits) - least, 9 * least, tweak + b"+%d" % len(head))) if least else digits
+
+
+def _national_phone(value: str, permute: Permute) -> str | None:
+    digits = _digits(value)
+    return _refill(value, _number(digits, permute, b"phone0")) if 9 <= len(digits) <= 12 else None
 
 
 def _access_key(value: str, permute: Permute) -> str | None:
@@ -225,7 +289,7 @@ def _secret(value: str, permute: Permute) -> str | None:
     return f"{permute(int(value, 16), 16 ** len(value), b'secret'):0{len(value)}x}"
 
 
-MAKERS = {"email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date, "access_key": _access_key, "secret": _secret}
+MAKERS = {"email": _email, "iban": _iban, "phone": _phone, "card": _card, "ssn": _ssn, "ip": _ip, "date": _date, "date_in_words": _date_in_words, "national_phone": _national_phone, "access_key": _access_key, "secret": _secret}
 
 
 def _shorter(kind: str, value: str, text: str, start: int) -> Iterator[int]:
@@ -275,6 +339,7 @@ class Pseudonyms:
                 begin = match.start() + max(1, len(RUN.match(text, match.start())[0]))
                 continue
             kind, begin, fresh = found
+            kind = COUNTED.get(kind, kind)
             counts[kind] = counts.get(kind, 0) + 1
             out += (text[at : match.start()], fresh)
             at = begin

@@ -19,8 +19,12 @@ from wayfare.llm.token_ids import token_id_round_trip
 from wayfare.llm.toxicity import remainder, toxicity_held_out
 
 
-#: The key of these queries' pseudonyms. Real data take a secret one from their own store.
-PII_KEY = b"wayfare-public-demonstration-key"
+#: The setting that holds the key of pseudonyms, and the key where it is unset. Real data take a secret one.
+PII_KEY_SETTING, PII_KEY = "spark.wayfare.pseudonyms.key", "wayfare-public-demonstration-key"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get(PII_KEY_SETTING, PII_KEY).encode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +56,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
