@@ -416,6 +416,53 @@ def test_toxicity(spark, odd, none):
     assert len({x.score for x in flat.collect()}) == 1
 
 
+def slow_toxicity(train, texts_):
+    """Scores from counts, ratios and a dense regression, written apart from the library's."""
+    grams = lambda t: {m[i : i + n] for w in WORD.findall(lower(t)) for m in [f"\x02{w}\x03"] for n in (3, 4, 5, 6) for i in range(len(m) - n + 1)}
+    sets, y = [grams(t) for t, _ in train], np.array([x for _, x in train])
+    count = [collections.Counter(g for s, x in zip(sets, y) if x == label for g in s) for label in (0, 1)]
+    n = [(y == 0).sum(), (y == 1).sum()]
+    ratio = {g: math.log((count[1][g] + 0.5) / (n[1] + 1)) - math.log((count[0][g] + 0.5) / (n[0] + 1)) for g in {*count[0], *count[1]} if count[0][g] + count[1][g] >= 3}
+    names = sorted(g for g, r in ratio.items() if abs(r) >= 0.7)
+    x = np.array([[ratio[g] if g in s else 0.0 for g in names] for s in sets])
+    w, b, sw, sb = np.zeros(len(names)), math.log(n[1] / n[0]), np.zeros(len(names)), 0.0
+    weight = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    for _ in range(400):  # AdaGrad on the weighted, regularised logistic loss
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * weight
+        gw, gb = x.T @ error + 2e-4 * w, error.sum()
+        sw, sb = sw + gw**2, sb + gb**2
+        w, b = w - 0.1 * gw / (np.sqrt(sw) + 1e-8), b - 0.1 * gb / (math.sqrt(sb) + 1e-8)
+    return [1 / (1 + math.exp(-(b + sum(w[i] * ratio[g] for i, g in enumerate(names) if g in s)))) for s in map(grams, texts_)]
+
+
+def test_toxicity_equals_the_slow_version(spark):
+    """Ties, null, repeated and contradicting labels, repeated texts and a bound below the number of labels included."""
+    r = np.random.default_rng(14)
+    words, bad = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(60)], ["zork", "Blimp", "quaxxes"]
+    rows, labels = [], []
+    for i in range(90):
+        toxic = i % 3 == 0
+        said = r.choice(words, 12).tolist() + ([str(r.choice(bad))] if toxic or i % 7 == 0 else [])
+        rows.append((i, None if i == 5 else " ".join(said)))
+        labels.append((i, None if i % 11 == 1 else int(toxic)))
+    labels += [(4, 0), (4, 1), (8, None), (None, 1), (500, 1)]
+    rows += [(9, rows[9][1]), (None, "zork zork")]
+    df, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    of = {}
+    for i, y in labels:
+        if i is not None and y is not None and zlib.crc32(str(i).encode()) % 5:
+            of[i] = max(of.get(i, 0), y)
+    train = [(dict(rows)[i] or "", y) for i, y in sorted(of.items()) if i in dict(rows)]
+    want = dict(zip(rows, slow_toxicity(train, [t or "" for _, t in rows])))
+    got = toxicity.toxicity_held_out(df, marks).collect()
+    assert by_row((x.doc_id, round(x.score, 6), x.predicted, x.held_out) for x in got) == by_row((i, round(want[i, t], 6), int(want[i, t] >= 0.5), i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, t in rows)
+    few = toxicity.train(df, marks.where(toxicity.remainder("doc_id", 5) != 0), 10, 15)
+    chosen = spark.createDataFrame([(i, y) for i, y in of.items()], "doc_id long, y int").withColumn("h", F.xxhash64("doc_id")).collect()
+    some = {r.doc_id for y, n in ((1, 10), (0, 15)) for r in sorted((c for c in chosen if c.y == y), key=lambda c: c.h)[:n]}
+    kept = [(dict(rows)[i] or "", y) for i, y in sorted(of.items()) if i in some and i in dict(rows)]
+    assert np.allclose([x.score for x in toxicity.toxicity(df.where("doc_id < 40 and doc_id <> 9"), few).orderBy("doc_id").collect()], slow_toxicity(kept, [t or "" for i, t in rows if i is not None and i < 40 and i != 9]), atol=1e-6)
+
+
 # --- 2 decontamination ---------------------------------------------------------------------------------
 
 
@@ -430,6 +477,29 @@ def slow_alignment(a, b):
     return best
 
 
+def stripped(text):
+    """Lower-case words without punctuation at their edges; written apart from the library's."""
+    return [w for w in (re.sub(r"^[!-/:-@\[-`{-~«»“”„‘’…–—¿¡•·]+|[!-/:-@\[-`{-~«»“”„‘’…–—¿¡•·]+$", "", w).lower() for w in WORD.findall(text)) if w]
+
+
+def slow_leak(text, item):
+    """The score of the item's best alignment with the whole text if it is reported, else 0."""
+    words, best = stripped(text), 2 * len(item)
+    least = min(max(0.35 * best, min(best, 8)), 40)
+    have = collections.Counter(words)
+    if not item or 2 * sum(min(n, have[w]) for w, n in collections.Counter(item).items()) < least:
+        return 0  # more than the words both have cannot match
+    score = slow_alignment(item, words)
+    return score if score >= least else 0
+
+
+def test_decontamination_query_equals_all_pairs(spark, docs, data):
+    items = {r.item_id: stripped(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    want = {(i, k): s for i, text in texts(docs).items() for k, item in items.items() if (s := slow_leak(text, item))}
+    got = {(r.doc_id, r.item_id): r.score for r in queries.op2_decontamination(spark, data).collect()}
+    assert set(got) == set(want) and want and all(got[k] <= want[k] for k in got) and sum(got[k] == want[k] for k in got) >= 0.95 * len(got)
+
+
 def test_smith_waterman():
     r = np.random.default_rng(5)
     a, b = r.integers(0, 4, (40, 9)), r.integers(0, 4, (40, 15))

@@ -1,18 +1,23 @@
 """The pipeline against a version that looks at one text, or one pair, at a time."""
 
+import base64
 import hashlib
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
+import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from wayfare.llm import bpe, decontamination, pii, quality
+from wayfare.llm import pii, quality
 from wayfare.llm.queries import PII_KEY
 
-from .test_llm import WORD, base_figures, slow_components, slow_print, slow_shingles
+from .test_llm import WORD, base_figures, slow_components, slow_leak, slow_print, slow_shingles, stripped
 
 
 def test_stages_and_contract(spark, data):
@@ -22,34 +27,16 @@ def test_stages_and_contract(spark, data):
         assert stage(spark, docs, data).dtypes == docs.dtypes
 
 
-def slow_quality(text, lang, tool):
+def slow_quality(text, lang, model):
     n_words, _, _, _, repeat = base_figures(text)
     if n_words < 20 or 100 * repeat > 30 * n_words:
         return False
     words = WORD.findall(text)
-    ids = [i for w in words for i in tool.model.encode(w)]
+    ids = [i for w in words for i in model.encode(w)]
     low, high, most_bytes, entropy_floor, least_floor = quality.BANDS[lang]
-    share = np.unique(ids, return_counts=True)[1] / len(ids)
-    fine = low <= sum(map(len, words)) / len(ids) <= high and sum(map(tool.model.is_byte, ids)) / len(ids) <= most_bytes
-    return fine and (len(ids) < quality.ENTROPY_TOKENS or (-(share * np.log2(share)).sum() >= entropy_floor and -np.log2(share.max()) >= least_floor))
-
-
-def strip(text):
-    return [w for w in (w.strip(decontamination.PUNCTUATION).lower() for w in WORD.findall(text)) if w]
-
-
-def slow_leak(text, items):
-    words = strip(text)
-    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    b = np.array([[number[w] for w in words]])
-    for item in items:
-        if len(set(item) & set(words)) < 3:
-            continue
-        score = decontamination.smith_waterman(np.array([[number.get(w, -1) for w in item]]), b)[0][0]
-        best = 2 * len(item)
-        if score >= max(decontamination.SIMILARITY * best, min(best, decontamination.LEAST_SCORE)) or score >= decontamination.LONG_SCORE:
-            return True
-    return False
+    shares, bits = [c / len(ids) for c in Counter(ids).values()], math.log2(len(ids))
+    fine = low <= sum(map(len, words)) / len(ids) <= high and sum(map(model.is_byte, ids)) / len(ids) <= most_bytes
+    return fine and -sum(x * math.log2(x) for x in shares) >= min(entropy_floor, 0.70 * bits) and -math.log2(max(shares)) >= min(least_floor, 0.45 * bits)
 
 
 @pytest.fixture(scope="module")
@@ -59,9 +46,9 @@ def result(spark, data):
 
 def test_pipeline_equals_the_slow_version(spark, data, result):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
-    items = [strip(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
-    tool = quality.Fertility(P.path("piece_bpe_32k.model"))
-    kept = sorted(i for i, r in docs.items() if slow_quality(r.text, r.lang, tool))
+    items = [stripped(r.text) for r in spark.read.parquet(f"{data}/benchmark.parquet").collect()]
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    kept = sorted(i for i, r in docs.items() if slow_quality(r.text, r.lang, model))
     sets, prints = [slow_shingles(docs[i].text) for i in kept], [slow_print(docs[i].text) for i in kept]
     head = slow_components(prints, kept)
     changed = True
@@ -76,14 +63,17 @@ def test_pipeline_equals_the_slow_version(spark, data, result):
                     head = {i: low if h == high else h for i, h in head.items()}
                     changed = True
     single = [i for i in kept if head[i] == i]
-    clean = [i for i in single if not slow_leak(docs[i].text, items)]
+    clean = [i for i in single if not any(slow_leak(docs[i].text, x) for x in items)]
     assert sorted(result) == clean and 0 < len(clean) < len(docs)
-    hide, codec = pii.Pseudonyms(PII_KEY.encode()), bpe.Codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    with open(P.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    hide, public = pii.Pseudonyms(PII_KEY.encode()), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     for i in clean:
         text = hide.text(docs[i].text, {})
         assert not re.search(r"\S+@\S+", docs[i].text) or text != docs[i].text
-        coded = codec.encode(text)
-        assert result[i].ids == np.frombuffer(coded, "<u4").tolist() and result[i].ids_sha256 == hashlib.sha256(coded).hexdigest() and result[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        ids = public.encode_ordinary(text)
+        coded = np.array(ids, "<u4").tobytes()
+        assert result[i].ids == ids and result[i].ids_sha256 == hashlib.sha256(coded).hexdigest() and result[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_odd_rows(spark, data, tmp_path, result):
