@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; memory of a worker is a small multiple of it. One text may be longer.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 
 @dataclass
