@@ -204,53 +204,78 @@ def _count(items: Items):
     return run
 
 
+def _aligned(batch: pa.RecordBatch, items: Items, seeds: Seeds) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, item, score, first word) of the pairs of a batch's texts and items that reach the bounds."""
+    codes, offsets, dictionary = clean_words(texts_of(batch))
+    numbers = items.lookup(dictionary)[codes] if len(codes) else codes
+    text, item, score, where = align(items, numbers, offsets, seeds.hits(numbers, offsets))
+    best = EQUAL * np.diff(items.offsets)[item]
+    need = np.maximum(SIMILARITY * best, np.minimum(best, LEAST_SCORE))
+    good = np.flatnonzero((score >= need) | (score >= LONG_SCORE))
+    text, item, score, where = text[good], item[good], score[good], where[good]
+    return text, item, score, where - offsets[text]
+
+
 def _search(items: Items, seeds: Seeds):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = EQUAL * np.diff(items.offsets)
         for batch in slices(batches):
-            codes, offsets, dictionary = clean_words(texts_of(batch))
-            numbers = items.lookup(dictionary)[codes] if len(codes) else codes
-            text, item, score, where = align(items, numbers, offsets, seeds.hits(numbers, offsets))
-            need = np.maximum(SIMILARITY * best[item], np.minimum(best[item], LEAST_SCORE))
-            good = np.flatnonzero((score >= need) | (score >= LONG_SCORE))
-            if not len(good):
-                continue
-            text, item, score, where = text[good], item[good], score[good], where[good]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()).take(pa.array(text)), pa.array(items.ids[item]), pa.array(score.astype(np.int32)), pa.array(score / best[item]), pa.array((where - offsets[text]).astype(np.int32))],
-                names=["doc_id", "item_id", "score", "similarity", "first_word"],
-            )
+            text, item, score, first = _aligned(batch, items, seeds)
+            if len(text):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").cast(pa.int64()).take(pa.array(text)), pa.array(items.ids[item]), pa.array(score.astype(np.int32)), pa.array(score / best[item]), pa.array(first.astype(np.int32))],
+                    names=["doc_id", "item_id", "score", "similarity", "first_word"],
+                )
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, item_id, score, similarity, first_word) of each pair of text and benchmark item that aligns.
+def _clean(items: Items, seeds: Seeds):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            keep = np.ones(batch.num_rows, dtype=bool)
+            keep[_aligned(batch, items, seeds)[0]] = False
+            yield batch.filter(pa.array(keep))
 
-    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). No shuffle but that of word counts of the items'
-    vocabulary. The size of the benchmark is checked first: up to ``block_bytes`` it is broadcast at once, beyond
-    that in as many blocks as keep to the bound, each in a pass of its own. ``first_word`` is where the best
-    alignment ends, counted in words of the text.
-    """
-    spark = docs.sparkSession
+    return run
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Iterator[tuple[Items, Seeds]]:
+    """The benchmark in blocks of a checked size, each with its seeds under the corpus's word counts."""
     tests = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = tests.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    texts = docs.select("doc_id", "text")
-    out = None
     for block in range(blocks):
         rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
         items = Items.of([r.item_id for r in rows], [r.text for r in rows])
         if not len(items.codes):
             continue
-        counts = {r.word: r.n for r in texts.mapInArrow(_count(items), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
+        counts = {r.word: r.n for r in docs.select("text").mapInArrow(_count(items), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()}
         share = np.array([counts.get(w, 0) for w in range(len(items.words))]) / max(1, counts.get(-1, 0))
-        found = texts.mapInArrow(_search(items, Seeds.of(items, share)), SCHEMA)
+        yield items, Seeds.of(items, share)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, item_id, score, similarity, first_word) of each pair of text and benchmark item that aligns.
+
+    ``docs`` (doc_id, text), ``benchmark`` (item_id, text). No shuffle but that of word counts of the items'
+    vocabulary. The size of the benchmark is checked first: up to ``block_bytes`` it is broadcast at once, beyond
+    that in as many blocks as keep to the bound, each in a pass of its own. ``first_word`` is where the best
+    alignment ends, counted in words of the text.
+    """
+    texts, out = docs.select("doc_id", "text"), None
+    for items, seeds in _blocks(docs, benchmark, block_bytes):
+        found = texts.mapInArrow(_search(items, seeds), SCHEMA)
         out = found if out is None else out.union(found)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else docs.sparkSession.createDataFrame([], SCHEMA)
+
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that align with a benchmark item; every row is judged by its own text.
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that align with a benchmark item. Rows of one id stay or go together."""
-    found = contaminated(docs, benchmark).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    Rows are judged where they are read and nothing but word counts is shuffled; blocks of a large benchmark follow one another in one pass.
+    """
+    left = docs
+    for items, seeds in _blocks(docs, benchmark, block_bytes):
+        left = left.mapInArrow(_clean(items, seeds), docs.schema)
+    return left
