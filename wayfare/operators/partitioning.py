@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from wayfare.operators import kernels as k
+from wayfare.operators.geometry import shapes
 
 NODE_COLUMNS = ("seg_id", "demand", "length", "x", "y")
 EDGE_COLUMNS = ("seg_id_a", "seg_id_b", "weight", "continuity_weight", "connector_weight", "poi_similarity", "order_similarity")
@@ -94,16 +95,6 @@ def diameter_metrics(edges: DataFrame, clusters: DataFrame, large_m: float = 30_
     return diameters(edges, clusters).agg(F.avg("diameter").alias("diameter_mean"), F.max("diameter").alias("diameter_max"), F.avg((F.col("diameter") > large_m).cast("double")).alias("large_diameter_ratio"))
 
 
-def shapes(lines: DataFrame, radius: float = 50.0) -> DataFrame:
-    """Shape figures of each cluster. ``lines``: (cluster_id, x0, y0, x1, y1)."""
-
-    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"cluster_id": key[0]} | k.shape(list(own[["x0", "y0", "x1", "y1"]].itertuples(index=False, name=None)), radius)])
-
-    schema = f"cluster_id {dict(lines.dtypes)['cluster_id']}, area double, perimeter double, compactness double, hull_ratio double, elongation double, perimeter_to_root_area double"
-    return lines.select("cluster_id", "x0", "y0", "x1", "y1").groupBy("cluster_id").applyInPandas(run, schema)
-
-
 def shape_metrics(lines: DataFrame, radius: float = 50.0, long: float = 10.0) -> DataFrame:
     """Mean, median, least and most of each figure, and the share of elongated clusters."""
     figures = ("compactness", "hull_ratio", "elongation", "perimeter_to_root_area")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wayfare.functions.scalars import name_matches, road_name
+from wayfare.operators.geometry import inside_ratio, legs
+from wayfare.operators.spatial import lines_within
 from wayfare.plans.shared import cut
 
 #: Tags that decide access, weakest first. Fixed values.
@@ -108,3 +110,26 @@ def safe_names(df: DataFrame) -> DataFrame:
             value = F.to_json(value)
         out.append(value.alias(name))
     return df.select(*out)
+
+
+def highway_filter(edges: DataFrame, keep: list[str], exclude: list[str] = ()) -> DataFrame:
+    """Edges of the highway classes to keep that are not among those to leave out."""
+    kept = edges.where(F.col("highway").isin(*keep))
+    return kept.where(~F.col("highway").isin(*exclude)) if exclude else kept
+
+
+def scope_mask(edges: DataFrame, ring: DataFrame, boundary: list[tuple[float, float]], include: list[str], exclude: list[str] = (), threshold: float = 0.98, tolerance: float = 0.0, corridor: float = 0.0, keep_ring: bool = True) -> DataFrame:
+    """``edges`` (seg_id, name, geom) with inside_ratio, ``inside``, ``on_ring`` and ``in_scope``.
+
+    ``inside``: at least ``threshold`` of the length is inside the boundary widened by ``tolerance``. ``on_ring``: the
+    name marks the ring road and some part is within ``corridor`` of the ``ring`` lines. Edges and ring meet by cells.
+    """
+    share = inside_ratio(edges, "seg_id", boundary, tolerance)
+    out = edges.join(share, "seg_id", "left").withColumn("inside", F.coalesce(F.col("inside_ratio") >= threshold, F.lit(False)))
+    if keep_ring:
+        named = edges.where(name_matches(road_name("name"), [x.replace(" ", "") for x in include], [x.replace(" ", "") for x in exclude]))
+        near = lines_within(legs(named), legs(ring.select("geom")), corridor).select("seg_id").distinct().withColumn("on_ring", F.lit(True))
+        out = out.join(near, "seg_id", "left").withColumn("on_ring", F.coalesce("on_ring", F.lit(False)))
+    else:
+        out = out.withColumn("on_ring", F.lit(False))
+    return out.withColumn("in_scope", F.col("inside") | F.col("on_ring"))

@@ -1,7 +1,7 @@
 """Spatial joins on a grid: no index, no cross join.
 
 A segment goes to every cell its box, padded by the radius, touches; a point to its own cell. Candidates meet by
-an equi-join on the cell, and the exact distance decides.
+an equi-join on the cell, and the exact distance decides. A segment may have several rows, one for each straight leg.
 """
 
 from __future__ import annotations
@@ -36,7 +36,8 @@ def _candidates(points: DataFrame, segments: DataFrame, radius: float, cell: flo
 
 def within_distance(points: DataFrame, segments: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
     """(point_id, seg_id, distance) of every pair nearer than the radius. ``points``: (point_id, px, py); ``segments``: (seg_id, x0, y0, x1, y1)."""
-    return _candidates(points, segments, radius, cell).where(F.col("distance") < radius).select("point_id", "seg_id", "distance")
+    near = _candidates(points, segments, radius, cell).where(F.col("distance") < radius)
+    return near.groupBy("point_id", "seg_id").agg(F.min("distance").alias("distance"))
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, radius: float, cell: float | None = None) -> DataFrame:
@@ -47,3 +48,21 @@ def nearest_segment(points: DataFrame, segments: DataFrame, radius: float, cell:
     near = _candidates(points, segments, radius, cell).where(F.col("distance") <= radius)
     best = near.groupBy("point_id").agg(F.min(F.struct("distance", "seg_id")).alias("b"))
     return points.join(best, "point_id", "left").select("point_id", "b.seg_id", "b.distance")
+
+
+def lines_within(left: DataFrame, right: DataFrame, distance: float, cell: float | None = None) -> DataFrame:
+    """Rows of ``left`` with a leg of ``right`` at most ``distance`` away; both have x0, y0, x1, y1. They meet by cells."""
+    size = cell or max(4 * distance, 200.0)
+
+    def placed(df: DataFrame, pad: float) -> DataFrame:
+        span = lambda a, b: F.explode(F.sequence(_cell(F.least(a, b) - pad, size), _cell(F.greatest(a, b) + pad, size)))
+        return df.withColumn("cx", span(F.col("x0"), F.col("x1"))).withColumn("cy", span(F.col("y0"), F.col("y1")))
+
+    other = placed(right.select("x0", "y0", "x1", "y1"), 0.0).select("cx", "cy", *(F.col(c).alias(f"r{c}") for c in ("x0", "y0", "x1", "y1")))
+    joined = placed(left, distance).join(other, ["cx", "cy"])
+    a, b = [F.col(c) for c in ("x0", "y0", "x1", "y1")], [F.col(f"r{c}") for c in ("x0", "y0", "x1", "y1")]
+    turn = lambda p, q, x, y: (q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0])
+    apart = lambda s, t: turn(s[:2], s[2:], t[0], t[1]) * turn(s[:2], s[2:], t[2], t[3])
+    crossing = (apart(a, b) < 0) & (apart(b, a) < 0)
+    gap = F.least(*(point_segment_distance(x, y, *s) for s, (x, y) in ((b, a[:2]), (b, a[2:]), (a, b[:2]), (a, b[2:]))))
+    return joined.where(crossing | (gap <= distance)).drop("cx", "cy", "rx0", "ry0", "rx1", "ry1")

@@ -12,13 +12,18 @@ from pyspark.sql import DataFrame, functions as F
 from wayfare.plans.shared import cut
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """(a, m): the least neighbour of each node, as a join side of its own.
+def apart(df: DataFrame, key: str) -> DataFrame:
+    """``df``, grouped by a whole-number ``key``, as a join side of its own.
 
-    The key is computed anew, so the planner does not reuse the partitioning of the aggregate: both sides of the
-    join then have an exchange that adaptive execution can split where a centre has very many neighbours.
+    The key is computed anew, so the planner does not reuse the partitioning of the aggregate: both sides of a join on
+    it then have an exchange, and adaptive execution can split the other side where a key has very many rows.
     """
-    return edges.groupBy("a").agg(F.min("b").alias("m")).select(F.bitwise_not(F.bitwise_not("a")).alias("a"), "m")
+    return df.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(a, m): the least neighbour of each node."""
+    return apart(edges.groupBy("a").agg(F.min("b").alias("m")), "a")
 
 
 def _star(edges: DataFrame) -> DataFrame:
