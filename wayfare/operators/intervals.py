@@ -35,25 +35,35 @@ def service_labels(trips: DataFrame, keys: tuple[str, ...] = ("driver_id",)) ->
     return found.withColumn("service_type", F.when(together > 1, "carpool").otherwise("exclusive")).drop("island")
 
 
-def carpool_groups(trips: DataFrame, gap_s: float = 0.0, keys: tuple[str, ...] = ("driver_id",)) -> DataFrame:
-    """One trip segment for each group of overlapping carpool trips.
+#: The order of a driver's trips.
+ORDER = ["departure_time", "finish_time", "order_id"]
 
-    It begins with its first trip, ends with the latest end, leaves from the first trip's origin and arrives at the
-    destination of the trip that ends last (the first such). Groups are numbered from 1 for each driver.
-    """
-    order = ["departure_time", "finish_time", "order_id"]
-    found = with_islands(trips.where("service_type = 'carpool'"), list(keys), "departure_time", "finish_time", order, gap_s)
-    first = F.struct(*order)
-    last = F.struct("finish_time", *(_descending(c) for c in order))
-    grouped = found.groupBy(*keys, "island").agg(
+
+def _grouped(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """One trip segment for each ``island`` of a key and service type; daily keys are part of its name."""
+    first = F.struct(*ORDER)
+    last = F.struct("finish_time", *(_descending(c) for c in ORDER))
+    grouped = placed.groupBy(*keys, "service_type", "island").agg(
         F.min("departure_time").alias("trip_start"),
         F.max("finish_time").alias("trip_end"),
         F.min_by("origin_cluster_id", first).alias("origin_cluster_id"),
         F.max_by("destination_cluster_id", last).alias("destination_cluster_id"),
         F.transform(F.array_sort(F.collect_list(first)), lambda x: x["order_id"]).alias("order_ids"),
     )
-    label = F.concat(F.lit("carpool_"), F.col("driver_id").cast("string"), F.lit("_"), F.col("island").cast("string"))
-    return grouped.select(label.alias("segment_id"), *keys, "trip_start", "trip_end", "origin_cluster_id", "destination_cluster_id", F.lit("carpool").alias("service_type"), "order_ids")
+    day = [F.date_format("proc_date", "yyyy-MM-dd")] if "proc_date" in keys else []
+    together = F.concat_ws("_", F.lit("carpool"), F.col("driver_id").cast("string"), *day, F.col("island").cast("string"))
+    label = F.when(F.col("service_type") == "carpool", together).otherwise(F.concat(F.lit("order_"), F.get("order_ids", F.lit(0)).cast("string")))
+    return grouped.select(label.alias("segment_id"), *keys, "trip_start", "trip_end", "origin_cluster_id", "destination_cluster_id", "service_type", "order_ids")
+
+
+def carpool_groups(trips: DataFrame, gap_s: float = 0.0, keys: tuple[str, ...] = ("driver_id",)) -> DataFrame:
+    """One trip segment for each group of overlapping carpool trips.
+
+    It begins with its first trip, ends with the latest end, leaves from the first trip's origin and arrives at the
+    destination of the trip that ends last (the first such). Groups are numbered from 1 for each driver, or for each
+    driver and day, which is then part of the name.
+    """
+    return _grouped(with_islands(trips.where("service_type = 'carpool'"), list(keys), "departure_time", "finish_time", ORDER, gap_s), list(keys))
 
 
 def _descending(c: str) -> Column:
@@ -77,13 +87,24 @@ def exclusive_segments(trips: DataFrame, keys: tuple[str, ...] = ("driver_id",))
 
 
 def trip_segments(trips: DataFrame, gap_s: float = 0.0, mode: str = "global") -> DataFrame:
-    """Exclusive and carpool segments. In ``daily`` mode each departure date is a world of its own (``proc_date``)."""
+    """Exclusive and carpool segments. In ``daily`` mode each departure date is a world of its own (``proc_date``).
+
+    Both kinds are grouped in one pass, each exclusive trip alone, so rows stay where the driver's other windows put them.
+    """
     if mode not in ("global", "daily"):
         raise ValueError(f"unknown mode {mode}")
     if mode == "daily":
         trips = trips.withColumn("proc_date", F.to_date("departure_time"))
-    keys = ("driver_id",) if mode == "global" else ("proc_date", "driver_id")
-    return exclusive_segments(trips, keys).unionByName(carpool_groups(trips, gap_s, keys))
+    keys = ["driver_id"] if mode == "global" else ["proc_date", "driver_id"]
+    kinds = [*keys, "service_type"]
+    found = with_islands(trips.where("service_type in ('carpool', 'exclusive')"), kinds, "departure_time", "finish_time", ORDER, gap_s)
+    number = F.row_number().over(Window.partitionBy(*kinds).orderBy(*ORDER))
+    return _grouped(found.withColumn("island", F.when(F.col("service_type") == "exclusive", number).otherwise(F.col("island"))), keys)
+
+
+def days_of(df: DataFrame) -> list[str]:
+    """The key that parts days, where there is one."""
+    return ["proc_date"] if "proc_date" in df.columns else []
 
 
 def chain_segments(segments: DataFrame, max_gap_min: float = 60.0, keys: tuple[str, ...] = ("driver_id",)) -> DataFrame:
@@ -102,7 +123,7 @@ def chain_segments(segments: DataFrame, max_gap_min: float = 60.0, keys: tuple[s
 def driver_chains(chained: DataFrame) -> DataFrame:
     """One row for each chain; it ends where its last segment ends, which need not be the latest end."""
     order = F.struct("trip_start", "trip_end", "segment_id")
-    return chained.groupBy("chain_id", "driver_id", "date_", "chain_seq").agg(
+    return chained.groupBy(*days_of(chained), "chain_id", "driver_id", "date_", "chain_seq").agg(
         F.min("trip_start").alias("chain_start"),
         F.max_by("trip_end", order).alias("chain_end"),
         F.min_by("origin_cluster_id", order).alias("start_cluster_id"),
@@ -114,13 +135,13 @@ def driver_chains(chained: DataFrame) -> DataFrame:
 
 def idle_windows(chained: DataFrame, max_gap_min: float = 60.0) -> DataFrame:
     """Waiting times between segments of a chain, at the place where the earlier one arrived. A negative gap is an error."""
-    by = Window.partitionBy("chain_id").orderBy("trip_start", "trip_end", "segment_id")
+    by = Window.partitionBy(*days_of(chained), "driver_id", "chain_id").orderBy("trip_start", "trip_end", "segment_id")
     after = chained.withColumn("idle_end", F.lead("trip_start").over(by)).where("idle_end is not null")
     minutes = seconds_between("trip_end", "idle_end") / 60
     timed = after.withColumn("idle_minutes", minutes)
     sure = timed.withColumn("idle_minutes", F.when(F.col("idle_minutes") < 0, F.raise_error("segments of a chain overlap").cast("double")).otherwise(F.col("idle_minutes")))
     return sure.where((F.col("idle_minutes") > 0) & (F.col("idle_minutes") <= max_gap_min)).select(
-        "chain_id", "driver_id", F.col("destination_cluster_id").alias("cluster_id"), F.col("trip_end").alias("idle_start"), "idle_end", "idle_minutes"
+        *days_of(chained), "chain_id", "driver_id", F.col("destination_cluster_id").alias("cluster_id"), F.col("trip_end").alias("idle_start"), "idle_end", "idle_minutes"
     )
 
 
@@ -132,13 +153,14 @@ def expand_slots(df: DataFrame, start: str, end: str, minutes: int = 15) -> Data
 
 
 def calendar(bounds: DataFrame, low: str, high: str, minutes: int = 15, closed: bool = True) -> DataFrame:
-    """All slots from the one that holds ``low`` to the one that holds ``high`` (or ends at it); ``bounds`` has one row."""
+    """All slots from the one that holds ``low`` to the one that holds ``high`` (or ends at it); ``bounds`` has one row, or one for each day."""
     step = F.expr(f"INTERVAL '{minutes}' MINUTE")
     to = F.col(high) if closed else F.timestamp_add("MICROSECOND", F.lit(-1), F.col(high))
-    return bounds.where(F.col(low).isNotNull()).select(F.explode(F.sequence(slot_floor(low, minutes), slot_floor(to, minutes), step)).alias("slot_start"))
+    return bounds.where(F.col(low).isNotNull()).select(*days_of(bounds), F.explode(F.sequence(slot_floor(low, minutes), slot_floor(to, minutes), step)).alias("slot_start"))
 
 
 def cover_all(df: DataFrame, slots: DataFrame, places: DataFrame, values: list[str], keys: tuple[str, ...] = ("slot_start", "cluster_id")) -> DataFrame:
-    """Every slot with every place; missing values are 0. The two axes are the wanted grid, so they are crossed."""
-    grid = slots.crossJoin(places)
-    return grid.join(df, list(keys), "left").select(*keys, *(F.coalesce(col(v), F.lit(0)).alias(v) for v in values))
+    """Every slot with every place, of one day where there are days; missing values are 0. The two axes are the wanted grid."""
+    days = days_of(slots)
+    grid = slots.join(places, days) if days else slots.crossJoin(places)
+    return grid.join(df, [*days, *keys], "left").select(*days, *keys, *(F.coalesce(col(v), F.lit(0)).alias(v) for v in values))

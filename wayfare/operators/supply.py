@@ -2,57 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from wayfare.operators.intervals import calendar, chain_segments, cover_all, driver_chains, expand_slots, idle_windows, trip_segments
+from wayfare.functions.scalars import seconds_between
+from wayfare.operators.intervals import calendar, chain_segments, cover_all, days_of, driver_chains, expand_slots, idle_windows, trip_segments
 
 
 def available(idle: DataFrame, minutes: int = 15) -> DataFrame:
     """Distinct idle drivers by slot and cluster."""
-    return expand_slots(idle, "idle_start", "idle_end", minutes).groupBy("slot_start", "cluster_id").agg(F.count_distinct("driver_id").alias("available_vehicles"))
+    return expand_slots(idle, "idle_start", "idle_end", minutes).groupBy(*days_of(idle), "slot_start", "cluster_id").agg(F.count_distinct("driver_id").alias("available_vehicles"))
 
 
 def in_service(segments: DataFrame, minutes: int = 15) -> DataFrame:
     """Distinct driving drivers by slot, origin and destination."""
-    return expand_slots(segments, "trip_start", "trip_end", minutes).groupBy("slot_start", "origin_cluster_id", "destination_cluster_id").agg(F.count_distinct("driver_id").alias("in_service_vehicles"))
+    return expand_slots(segments, "trip_start", "trip_end", minutes).groupBy(*days_of(segments), "slot_start", "origin_cluster_id", "destination_cluster_id").agg(F.count_distinct("driver_id").alias("in_service_vehicles"))
 
 
-def fleet_bound(idle: DataFrame, segments: DataFrame, minutes: int = 15) -> DataFrame:
-    """Distinct drivers seen idle in a cluster, leaving it or arriving at it, by slot; and by slot alone."""
-    waiting = expand_slots(idle, "idle_start", "idle_end", minutes).select("slot_start", "cluster_id", "driver_id")
-    moving = expand_slots(segments, "trip_start", "trip_end", minutes)
-    seen = moving.select("slot_start", F.explode(F.array("origin_cluster_id", "destination_cluster_id")).alias("cluster_id"), "driver_id").unionByName(waiting)
-    local = seen.groupBy("slot_start", "cluster_id").agg(F.count_distinct("driver_id").alias("fleet_lower_bound"))
-    everywhere = seen.groupBy("slot_start").agg(F.count_distinct("driver_id").alias("global_fleet_lower_bound"))
-    return local.join(everywhere, "slot_start")
+def activity(chained: DataFrame, max_gap_min: float = 60.0, minutes: int = 15) -> DataFrame:
+    """(slot_start, cluster_id, driver_id) once each: where drivers leave, arrive or wait. One pass over the chained segments."""
+    days = days_of(chained)
+    by = Window.partitionBy(*days, "driver_id", "chain_id").orderBy("trip_start", "trip_end", "segment_id")
+    span = lambda a, b, c: F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(c).alias("cluster_id"))
+    waits = (F.col("_next") > F.col("trip_end")) & (seconds_between("trip_end", "_next") <= 60 * max_gap_min)
+    spans = F.array(span("trip_start", "trip_end", "origin_cluster_id"), span("trip_start", "trip_end", "destination_cluster_id"), F.when(waits, span("trip_end", "_next", "destination_cluster_id")))
+    each = chained.withColumn("_next", F.lead("trip_start").over(by)).select(*days, "driver_id", F.explode(spans).alias("x")).where("x is not null").select(*days, "driver_id", "x.*")
+    return expand_slots(each.where("cluster_id is not null"), "a", "b", minutes).select(*days, "slot_start", "cluster_id", "driver_id").distinct()
+
+
+def fleet(seen: DataFrame) -> DataFrame:
+    """Distinct drivers seen in a cluster by slot, and by slot alone; ``seen`` as :func:`activity` gives it."""
+    key = [*days_of(seen), "slot_start"]
+    local = seen.groupBy(*key, "cluster_id").agg(F.count("driver_id").alias("fleet_lower_bound"))
+    return local.join(fleet_anywhere(seen), key)
+
 
+def fleet_anywhere(seen: DataFrame) -> DataFrame:
+    return seen.groupBy(*days_of(seen), "slot_start").agg(F.count_distinct("driver_id").alias("global_fleet_lower_bound"))
 
-def clusters_seen(segments: DataFrame, idle: DataFrame) -> DataFrame:
-    """The distinct clusters of either."""
-    ends = segments.select(F.explode(F.array("origin_cluster_id", "destination_cluster_id")).alias("cluster_id"))
-    return ends.union(idle.select("cluster_id")).where("cluster_id is not null").distinct()
+
+def fleet_bound(idle: DataFrame, segments: DataFrame, minutes: int = 15) -> DataFrame:
+    """:func:`fleet` of idle windows and segments given apart."""
+    days = days_of(segments)
+    waiting = expand_slots(idle, "idle_start", "idle_end", minutes).select(*days, "slot_start", "cluster_id", "driver_id")
+    moving = expand_slots(segments, "trip_start", "trip_end", minutes)
+    seen = moving.select(*days, "slot_start", F.explode(F.array("origin_cluster_id", "destination_cluster_id")).alias("cluster_id"), "driver_id").unionByName(waiting)
+    return fleet(seen.where("cluster_id is not null").distinct())
 
 
-def activity_slots(segments: DataFrame, idle: DataFrame, minutes: int = 15) -> DataFrame:
-    """Every slot from the first activity to the last."""
-    both = segments.select(F.col("trip_start").alias("a"), F.col("trip_end").alias("b")).union(idle.select("idle_start", "idle_end"))
-    return calendar(both.agg(F.min("a").alias("a"), F.max("b").alias("b")), "a", "b", minutes, closed=False)
+def axes(segments: DataFrame, minutes: int = 15) -> tuple[DataFrame, DataFrame]:
+    """The slots from the first trip to the last, and the clusters where trips end; idle windows are between trips, so they add none."""
+    days = days_of(segments)
+    ends = segments.select(*days, F.explode(F.array("origin_cluster_id", "destination_cluster_id")).alias("cluster_id"))
+    bounds = segments.groupBy(*days).agg(F.min("trip_start").alias("a"), F.max("trip_end").alias("b"))
+    return calendar(bounds, "a", "b", minutes, closed=False), ends.where("cluster_id is not null").distinct()
 
 
 def supply_tables(labelled: DataFrame, max_gap_min: float = 60.0, gap_s: float = 0.0, minutes: int = 15, mode: str = "global") -> dict[str, DataFrame]:
-    """All supply tables of labelled trips, each lazy. In daily mode every table is made for each ``proc_date`` apart."""
+    """All supply tables of labelled trips, each lazy. In daily mode every table is made for each ``proc_date`` apart and has that column."""
     segments = trip_segments(labelled, gap_s, mode)
-    keys = ("driver_id",) if mode == "global" else ("proc_date", "driver_id")
-    chained = chain_segments(segments, max_gap_min, keys)
+    chained = chain_segments(segments, max_gap_min, ("driver_id",) if mode == "global" else ("proc_date", "driver_id"))
     idle = idle_windows(chained, max_gap_min)
-    out = {"segments": segments, "chains": driver_chains(chained), "idle": idle, "available": available(idle, minutes), "in_service": in_service(segments, minutes), "fleet": fleet_bound(idle, segments, minutes)}
-    return out
+    return {"segments": segments, "chains": driver_chains(chained), "idle": idle, "available": available(idle, minutes), "in_service": in_service(segments, minutes), "fleet": fleet(activity(chained, max_gap_min, minutes))}
+
+
+def whole_grid(tables: dict[str, DataFrame], minutes: int = 15) -> dict[str, DataFrame]:
+    """``tables`` with available and fleet for every slot and cluster, 0 where there are none; a slot's whole fleet in each of its rows."""
+    slots, places = axes(tables["segments"], minutes)
+    key = [*days_of(slots), "slot_start"]
+    spread = cover_all(tables["fleet"], slots, places, ["fleet_lower_bound", "global_fleet_lower_bound"])
+    top = spread.groupBy(*key).agg(F.max("global_fleet_lower_bound").alias("global_fleet_lower_bound"))
+    return tables | {"available": cover_all(tables["available"], slots, places, ["available_vehicles"]), "fleet": spread.drop("global_fleet_lower_bound").join(top, key)}
 
 
-def available_grid(labelled: DataFrame, minutes: int = 15) -> DataFrame:
+def available_grid(labelled: DataFrame, minutes: int = 15, mode: str = "global") -> DataFrame:
     """Available vehicles for every slot and cluster, 0 where there are none."""
-    t = supply_tables(labelled, minutes=minutes)
-    return cover_all(t["available"], activity_slots(t["segments"], t["idle"], minutes), clusters_seen(t["segments"], t["idle"]), ["available_vehicles"])
+    return whole_grid(supply_tables(labelled, minutes=minutes, mode=mode), minutes)["available"]
 
 
 def with_demand(demand: DataFrame, free: DataFrame, fleet: DataFrame) -> DataFrame:

@@ -149,6 +149,31 @@ def supply_daily_mode(spark, d):
     return _flat(_tables(spark, d, "daily")["segments"], "order_ids")
 
 
+@query
+def supply_daily_chains(spark, d):
+    return _flat(_tables(spark, d, "daily")["chains"], "segment_ids")
+
+
+@query
+def supply_daily_idle(spark, d):
+    return rounded(_tables(spark, d, "daily")["idle"])
+
+
+@query
+def supply_daily_available(spark, d):
+    return supply.available_grid(src.labelled(spark, d), mode="daily")
+
+
+@query
+def supply_daily_in_service(spark, d):
+    return _tables(spark, d, "daily")["in_service"]
+
+
+@query
+def supply_daily_fleet(spark, d):
+    return supply.whole_grid(_tables(spark, d, "daily"))["fleet"]
+
+
 @query
 def departure_dates(spark, d):
     return supply.departure_dates(src.trips(spark, d))

@@ -17,12 +17,14 @@ l AS (SELECT order_id, driver_id, departure_time, finish_time, origin_cluster_id
 
 def _segments(daily: bool) -> str:
     key = "proc_date, driver_id" if daily else "driver_id"
+    day = "proc_date, " if daily else ""
+    name = "'carpool_' || driver_id || '_' || strftime(proc_date, '%Y-%m-%d') || '_' || CAST(g AS BIGINT)" if daily else "'carpool_' || driver_id || '_' || CAST(g AS BIGINT)"
     return (
         LABELS
         + f""", ld AS (SELECT *, CAST(departure_time AS DATE) AS proc_date FROM l),
 cm AS (SELECT *, max(finish_time) OVER (PARTITION BY {key} ORDER BY departure_time, finish_time, order_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM ld WHERE service_type = 'carpool'),
 ci AS (SELECT *, sum(CASE WHEN pm IS NULL OR departure_time >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY departure_time, finish_time, order_id ROWS UNBOUNDED PRECEDING) AS g FROM cm),
-cg AS (SELECT {key}, 'carpool_' || driver_id || '_' || CAST(g AS BIGINT) AS segment_id, min(departure_time) AS trip_start, max(finish_time) AS trip_end,
+cg AS (SELECT {key}, {name} AS segment_id, min(departure_time) AS trip_start, max(finish_time) AS trip_end,
   first(origin_cluster_id ORDER BY departure_time, finish_time, order_id) AS origin_cluster_id, first(destination_cluster_id ORDER BY finish_time DESC, departure_time, order_id) AS destination_cluster_id,
   'carpool' AS service_type, string_agg(CAST(order_id AS VARCHAR), ',' ORDER BY departure_time, finish_time, order_id) AS order_ids FROM ci GROUP BY {key}, g),
 ex AS (SELECT {key}, 'order_' || order_id AS segment_id, departure_time AS trip_start, finish_time AS trip_end, origin_cluster_id, destination_cluster_id, service_type, CAST(order_id AS VARCHAR) AS order_ids FROM ld WHERE service_type = 'exclusive'),
@@ -30,8 +32,8 @@ s AS (SELECT {key}, segment_id, trip_start, trip_end, origin_cluster_id, destina
 sd AS (SELECT *, strftime(trip_start, '%Y-%m-%d') AS date_, lag(trip_end) OVER w AS pe, lag(strftime(trip_start, '%Y-%m-%d')) OVER w AS pd FROM s WINDOW w AS (PARTITION BY {key} ORDER BY trip_start, trip_end, segment_id)),
 ss AS (SELECT *, sum(CASE WHEN pd IS NULL OR epoch_us(trip_start) - epoch_us(pe) > 3600000000 OR pd <> date_ THEN 1 ELSE 0 END) OVER (PARTITION BY {key}, date_ ORDER BY trip_start, trip_end, segment_id ROWS UNBOUNDED PRECEDING) AS chain_seq FROM sd),
 sc AS (SELECT *, driver_id || '_' || date_ || '_' || CAST(chain_seq AS BIGINT) AS chain_id FROM ss),
-sl AS (SELECT *, lead(trip_start) OVER (PARTITION BY chain_id ORDER BY trip_start, trip_end, segment_id) AS idle_end FROM sc),
-idle AS (SELECT chain_id, driver_id, destination_cluster_id AS cluster_id, trip_end AS idle_start, idle_end, (epoch_us(idle_end) - epoch_us(trip_end)) / 60000000.0 AS idle_minutes FROM sl WHERE idle_end > trip_end AND epoch_us(idle_end) - epoch_us(trip_end) <= 3600000000)"""
+sl AS (SELECT *, lead(trip_start) OVER (PARTITION BY {day}chain_id ORDER BY trip_start, trip_end, segment_id) AS idle_end FROM sc),
+idle AS (SELECT {day}chain_id, driver_id, destination_cluster_id AS cluster_id, trip_end AS idle_start, idle_end, (epoch_us(idle_end) - epoch_us(trip_end)) / 60000000.0 AS idle_minutes FROM sl WHERE idle_end > trip_end AND epoch_us(idle_end) - epoch_us(trip_end) <= 3600000000)"""
     )
 
 
@@ -42,14 +44,20 @@ def _slots(source: str, a: str, b: str, columns: str) -> str:
     return f"SELECT {columns}, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, {a}, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 15 MINUTE, {b} - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), INTERVAL 15 MINUTE)) AS slot_start FROM {source}"
 
 
-SUPPLY = (
-    SEGMENTS
-    + f""", ix AS ({_slots("idle", "idle_start", "idle_end", "driver_id, cluster_id")}),
-sx AS ({_slots("s", "trip_start", "trip_end", "driver_id, origin_cluster_id, destination_cluster_id")}),
-av AS (SELECT slot_start, cluster_id, count(DISTINCT driver_id) AS available_vehicles FROM ix GROUP BY ALL),
-seen AS (SELECT slot_start, cluster_id, driver_id FROM ix UNION ALL SELECT slot_start, origin_cluster_id, driver_id FROM sx UNION ALL SELECT slot_start, destination_cluster_id, driver_id FROM sx),
-fl AS (SELECT slot_start, cluster_id, fleet_lower_bound, global_fleet_lower_bound FROM (SELECT slot_start, cluster_id, count(DISTINCT driver_id) AS fleet_lower_bound FROM seen GROUP BY ALL) JOIN (SELECT slot_start, count(DISTINCT driver_id) AS global_fleet_lower_bound FROM seen GROUP BY ALL) USING (slot_start))"""
-)
+def _supply(daily: bool) -> str:
+    day = "proc_date, " if daily else ""
+    return (
+        (DAILY if daily else SEGMENTS)
+        + f""", ix AS ({_slots("idle", "idle_start", "idle_end", day + "driver_id, cluster_id")}),
+sx AS ({_slots("s", "trip_start", "trip_end", day + "driver_id, origin_cluster_id, destination_cluster_id")}),
+av AS (SELECT {day}slot_start, cluster_id, count(DISTINCT driver_id) AS available_vehicles FROM ix GROUP BY ALL),
+seen AS (SELECT {day}slot_start, cluster_id, driver_id FROM ix UNION ALL SELECT {day}slot_start, origin_cluster_id, driver_id FROM sx UNION ALL SELECT {day}slot_start, destination_cluster_id, driver_id FROM sx),
+gl AS (SELECT {day}slot_start, count(DISTINCT driver_id) AS global_fleet_lower_bound FROM seen GROUP BY ALL),
+fl AS (SELECT {day}slot_start, cluster_id, fleet_lower_bound, global_fleet_lower_bound FROM (SELECT {day}slot_start, cluster_id, count(DISTINCT driver_id) AS fleet_lower_bound FROM seen GROUP BY ALL) JOIN gl USING ({day}slot_start))"""
+    )
+
+
+SUPPLY, DAILY_SUPPLY = _supply(False), _supply(True)
 OD = LABELS + """, od AS (SELECT time_bucket(INTERVAL 15 MINUTE, departure_time, TIMESTAMP '1970-01-01') AS slot_start, origin_cluster_id, destination_cluster_id, count(*) FILTER (service_type = 'exclusive') AS exclusive_count, count(*) FILTER (service_type = 'carpool') AS carpool_count, count(*) AS total_count FROM l GROUP BY ALL)"""
 ROADS = """seg0 AS (SELECT p_partkey AS seg_id, p_partkey // 3 AS u, CASE WHEN p_partkey % 7 = 0 THEN p_partkey // 6 ELSE p_partkey // 3 + 1 END AS v, p_brand AS name, p_partkey % 11 AS osmid, p_type AS highway, CAST(p_retailprice AS DOUBLE) AS length,
   CAST((p_partkey * 37) % 180 AS DOUBLE) AS bearing, p_partkey % 10 AS cluster_id, CAST((p_partkey * 7919) % 1000 AS DOUBLE) AS x, CAST((p_partkey * 104729) % 1000 AS DOUBLE) AS y, p_size <= 5 AS is_connector FROM part),
@@ -127,6 +135,9 @@ _CHAINS = """SELECT chain_id, driver_id, date_, CAST(chain_seq AS BIGINT) AS cha
 last(destination_cluster_id ORDER BY trip_start, trip_end, segment_id) AS end_cluster_id, count(*) AS num_segments, string_agg(segment_id, ',' ORDER BY trip_start, trip_end, segment_id) AS segment_ids FROM sc GROUP BY chain_id, driver_id, date_, chain_seq"""
 _GRID = """cal AS (SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, min(a), TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 15 MINUTE, max(b) - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), INTERVAL 15 MINUTE)) AS slot_start FROM (SELECT trip_start AS a, trip_end AS b FROM s UNION ALL SELECT idle_start, idle_end FROM idle)),
 uni AS (SELECT DISTINCT cluster_id FROM (SELECT origin_cluster_id AS cluster_id FROM s UNION ALL SELECT destination_cluster_id FROM s UNION ALL SELECT cluster_id FROM idle) WHERE cluster_id IS NOT NULL)"""
+#: The grid of each day, from its segments alone: idle windows are between them.
+_DAY_GRID = """cal AS (SELECT proc_date, unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, min(trip_start), TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 15 MINUTE, max(trip_end) - INTERVAL 1 MICROSECOND, TIMESTAMP '1970-01-01'), INTERVAL 15 MINUTE)) AS slot_start FROM s GROUP BY proc_date),
+uni AS (SELECT DISTINCT proc_date, cluster_id FROM (SELECT proc_date, origin_cluster_id AS cluster_id FROM s UNION ALL SELECT proc_date, destination_cluster_id FROM s UNION ALL SELECT proc_date, cluster_id FROM idle) WHERE cluster_id IS NOT NULL)"""
 _POISIM = """pv AS (SELECT pf.seg_id, poi_total, ln(1 + poi_density) AS ld, poi_entropy FROM pf),
 sp AS (SELECT greatest(max(ld) - min(ld), 1) AS d, greatest(max(poi_entropy) - min(poi_entropy), 1) AS en FROM pv),
 nrm AS (SELECT seg_id, sqrt(sum(n * n)) AS nn FROM pc GROUP BY seg_id),
@@ -178,6 +189,11 @@ SELECT cal.slot_start, o.id AS o, d.id AS d, coalesce(x, 0) AS y_exclusive, coal
     "fleet_lower_bound": f"WITH {SUPPLY} SELECT * FROM fl",
     "supply_demand_merge": f"WITH {SUPPLY}, dm AS (SELECT time_bucket(INTERVAL 15 MINUTE, departure_time, TIMESTAMP '1970-01-01') AS slot_start, origin_cluster_id AS cluster_id, count(*) AS demand FROM l GROUP BY ALL) SELECT slot_start, CAST(cluster_id AS VARCHAR) AS cluster_id, demand, available_vehicles, fleet_lower_bound, global_fleet_lower_bound FROM dm LEFT JOIN av USING (slot_start, cluster_id) LEFT JOIN fl USING (slot_start, cluster_id)",
     "supply_daily_mode": f"WITH {DAILY} SELECT proc_date, {_SEG_COLUMNS} FROM s",
+    "supply_daily_chains": f"WITH {DAILY} {_CHAINS}".replace("SELECT chain_id, driver_id, date_", "SELECT proc_date, chain_id, driver_id, date_").replace("GROUP BY chain_id", "GROUP BY proc_date, chain_id"),
+    "supply_daily_idle": f"WITH {DAILY} SELECT proc_date, chain_id, driver_id, cluster_id, idle_start, idle_end, round(idle_minutes, 6) AS idle_minutes FROM idle",
+    "supply_daily_available": f"WITH {DAILY_SUPPLY}, {_DAY_GRID} SELECT proc_date, slot_start, cluster_id, coalesce(available_vehicles, 0) AS available_vehicles FROM cal JOIN uni USING (proc_date) LEFT JOIN av USING (proc_date, slot_start, cluster_id)",
+    "supply_daily_in_service": f"WITH {DAILY_SUPPLY} SELECT proc_date, slot_start, origin_cluster_id, destination_cluster_id, count(DISTINCT driver_id) AS in_service_vehicles FROM sx GROUP BY ALL",
+    "supply_daily_fleet": f"WITH {DAILY_SUPPLY}, {_DAY_GRID} SELECT proc_date, slot_start, cluster_id, coalesce(fleet_lower_bound, 0) AS fleet_lower_bound, coalesce(gl.global_fleet_lower_bound, 0) AS global_fleet_lower_bound FROM cal JOIN uni USING (proc_date) LEFT JOIN (SELECT proc_date, slot_start, cluster_id, fleet_lower_bound FROM fl) USING (proc_date, slot_start, cluster_id) LEFT JOIN gl USING (proc_date, slot_start)",
     "departure_dates": f"WITH {TRIPS} SELECT DISTINCT CAST(departure_time AS DATE) AS date_ FROM t",
     "segment_order_features": f"WITH {FEATURES} SELECT * FROM f",
     "segment_od_pairs": f"WITH {TRIPS} SELECT origin_cluster_id, destination_cluster_id, count(*) AS order_count FROM t GROUP BY ALL",
