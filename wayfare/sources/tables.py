@@ -20,10 +20,13 @@ SUPPLY_COLUMNS = {
 }
 
 
-def read_orders_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Raw orders from (compressed) CSV: ids as text, times and coordinates that do not parse as null."""
+def read_orders_csv(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """Raw orders from (compressed) CSV: ids as text, times and coordinates that do not parse as null.
+
+    Columns are found by their names in the header, which ``columns`` may give where they differ.
+    """
     names = "order_id driver_id starting_lng starting_lat dest_lng dest_lat departure_time finish_time".split()
-    raw = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, header=True, enforceSchema=False)
+    raw = spark.read.csv(path, header=True, inferSchema=False).select(*(F.col(f"`{(columns or {}).get(n, n)}`").alias(n) for n in names))
     number = {c: F.expr(f"try_cast({c} AS DOUBLE)") for c in names[2:6]}
     time = {c: F.expr(f"try_cast({c} AS TIMESTAMP_NTZ)") for c in names[6:]}
     return raw.withColumns(number | time)
@@ -50,15 +53,18 @@ def write_csv_gz(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     as_text(df).write.mode(mode).option("header", True).option("compression", "gzip").csv(path)
 
 
-def write_supply(tables: dict[str, DataFrame], folder: str, by_day: bool = False) -> dict[str, str]:
-    """The supply tables as Parquet, partitioned by ``proc_date`` in daily mode; the path of each."""
+def write_supply(tables: dict[str, DataFrame], folder: str, by_day: bool = False, text: bool = False) -> dict[str, DataFrame]:
+    """The supply tables as Parquet below ``folder``, by ``proc_date`` in daily mode, and as compressed CSV if asked; each read again."""
     out = {}
     for name, columns in SUPPLY_COLUMNS.items():
         df = tables[name]
         days = ["proc_date"] if by_day and "proc_date" in df.columns else []
-        writer = df.select(*days, *columns).write.mode("overwrite")
+        wanted = df.select(*days, *columns)
+        writer = wanted.write.mode("overwrite")
         (writer.partitionBy(*days) if days else writer).parquet(f"{folder}/{name}")
-        out[name] = f"{folder}/{name}"
+        out[name] = df.sparkSession.read.schema(wanted.schema).parquet(f"{folder}/{name}")  # an empty table has no file to take it from
+        if text:
+            write_csv_gz(out[name], f"{folder}/{name}.csv.gz")
     return out
 
 
@@ -70,8 +76,8 @@ def cached(spark: SparkSession, path: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_json(data: dict, path: str) -> None:
-    """A small metadata file beside driver-side outputs; NaN and infinities become null."""
+def write_json(data: dict, path: str, spark: SparkSession | None = None) -> None:
+    """A small metadata file; NaN and infinities become null. With a session it goes to the store that the path names."""
 
     def plain(x):
         if isinstance(x, dict):
@@ -82,4 +88,31 @@ def write_json(data: dict, path: str) -> None:
             x = x.item()
         return None if isinstance(x, float) and (x != x or x in (float("inf"), float("-inf"))) else x if isinstance(x, (str, int, float, bool, type(None))) else str(x)
 
-    Path(path).write_text(json.dumps(plain(data), ensure_ascii=False, indent=2))
+    text = json.dumps(plain(data), ensure_ascii=False, indent=2)
+    if spark is None:
+        Path(path).write_text(text)
+        return
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def append_manifest(spark: SparkSession, path: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Add ``rows`` to a Parquet manifest, each with the next ``ordinal``, and give the last row of each key.
+
+    Runs that are done need not be made again: see :func:`unfinished`. One writer at a time.
+    """
+    from wayfare.operators.selection import keep_last
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in rows.dtypes) + ", ordinal long"
+    last = try_read(spark, path, schema).agg(F.coalesce(F.max("ordinal"), F.lit(-1))).first()[0]
+    rows.withColumn("ordinal", F.lit(last + 1).cast("long")).write.mode("append").parquet(path)
+    return keep_last(spark.read.schema(schema).parquet(path), keys, "ordinal")
+
+
+def unfinished(wanted: DataFrame, manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of ``wanted`` whose keys the manifest lacks, for a run that goes on where one stopped."""
+    return wanted.join(manifest.select(*keys), keys, "left_anti")
