@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wayfare.llm.simhash import RADIUS, SEED, SPLIT_OVER, fingerprints, simhash_components
 from wayfare.llm.words import hashes_of, mixed, slices, texts_of, words_of
-from wayfare.plans.components import connected_components
+from wayfare.plans.components import apart, connected_components
 from wayfare.plans.shared import cut
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -213,7 +213,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     if not crowded.isEmpty():
         heads = _after(heads, _met(texts, _pairs_of_blocks(nodes, heads, crowded), similarity))
     least = heads.groupBy("head").agg(F.min("id").alias("component_id"))
-    named = heads.join(least, "head").select("key", "component_id")
+    named = heads.join(apart(least, "head"), "head").select("key", "component_id")
     return sketch.where("doc_id is not null").select("doc_id", "key").join(named, "key").select("doc_id", "component_id").distinct()
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wayfare.llm.words import slices, texts_of, words_of
-from wayfare.plans.components import connected_components
+from wayfare.plans.components import apart, connected_components
 from wayfare.plans.shared import cut
 
 RADIUS = 3
@@ -234,7 +234,7 @@ def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int
     heads = connected_components(simhash_links(everyone.select("fp"), radius, split_over))
     named = everyone.join(heads, everyone["fp"] == heads["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("head"))
     least = named.groupBy("head").agg(F.min("doc").alias("component_id"))
-    return named.join(least, "head").select("fp", "component_id")
+    return named.join(apart(least, "head"), "head").select("fp", "component_id")
 
 
 def simhash_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, seed: int = SEED, split_over: int = SPLIT_OVER) -> DataFrame:
