@@ -55,6 +55,8 @@ def test_road_edges_and_adjacency(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (5, 4), (7, 7), (None, 1), (3, 2)], "a long, b long")
     assert {(r.node, r.component) for r in connected_components(edges).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)}
+    text = edges.select(*(F.col(c).cast("string").alias(c) for c in "ab"))
+    assert {(r.node, r.component) for r in connected_components(text).collect()} == {("1", "1"), ("2", "1"), ("3", "1"), ("4", "4"), ("5", "4")}
     chain = spark.range(300).select("id", (F.col("id") + 1).alias("b"))
     assert connected_components(chain, "id", "b").select("component").distinct().count() == 1
     assert connected_components(edges.limit(0)).count() == 0

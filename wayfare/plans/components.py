@@ -13,12 +13,15 @@ from wayfare.plans.shared import cut
 
 
 def apart(df: DataFrame, key: str) -> DataFrame:
-    """``df``, grouped by a whole-number ``key``, as a join side of its own.
+    """``df``, grouped by a ``key``, as a join side of its own.
 
     The key is computed anew, so the planner does not reuse the partitioning of the aggregate: both sides of a join on
     it then have an exchange, and adaptive execution can split the other side where a key has very many rows.
     """
-    return df.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
+    kind = dict(df.dtypes)[key]
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return df.withColumn(key, F.bitwise_not(F.bitwise_not(key)))
+    return df.withColumn(key, F.reverse(F.reverse(key))) if kind == "string" else df
 
 
 def _least(edges: DataFrame) -> DataFrame:
