@@ -195,3 +195,62 @@ def move_delta(edges: DataFrame, clusters: DataFrame, demand: DataFrame, node, t
     before, after = objective_components(edges, clusters, demand, k), objective_components(edges, moved, demand, k)
     names = before.columns
     return before.toDF(*(f"old_{c}" for c in names)).crossJoin(after).select(*((F.col(c) - F.col(f"old_{c}")).alias(f"delta_{c}") for c in names))
+
+
+def together(parts: dict[str, DataFrame]) -> DataFrame:
+    """One row of several one-row metrics; a metric that has no row leaves nulls."""
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.join(F.broadcast(part), F.lit(True), "full")  # one row each
+    return out
+
+
+def metric_parts(segments: DataFrame, edges: DataFrame, features: DataFrame, poi: DataFrame, od: DataFrame, n_clusters: int, t: Thresholds = Thresholds()) -> dict[str, DataFrame]:
+    """The parts of a partition's whole row of metrics, each of one row, over shared inputs; see :func:`together`.
+
+    ``segments``: (seg_id, cluster_id, length, name); ``edges``: relation edges with similarities; ``features``: order
+    features of segments; ``poi``: (seg_id, category, n); ``od``: (slot_start, origin_cluster_id, destination_cluster_id,
+    order_count), hourly. Edges and the clusters' table are used by several parts, so they should be written down before.
+    """
+    from wayfare.operators.partitioning import diameter_metrics
+
+    table, cut = cluster_table(segments, features.select("seg_id", "order_total")), with_cut(edges, segments)
+    low = F.col("order_total") < t.small_orders
+    return {
+        "sizes": table.agg(*(f(c).alias(f"{how}_{what}") for how, f in (("mean", F.avg), ("min", F.min), ("max", F.max)) for what, c in (("segments_per_cluster", "num_segments"), ("cluster_length_m", "total_length"))), F.count_if(low).alias("clusters_below_min_order"), F.avg(low.cast("double")).alias("ratio_clusters_below_min_order"), F.avg("order_total").alias("target_order_capacity")),
+        "balance": balance(table),
+        "small": small_clusters(table, t),
+        "capacity": capacity(table, t),
+        "cut": cut_metrics(cut, {p: (f"has_{p}", f"{p}_weight") for p in ("direct", "connector", "continuity")}),
+        "road": road_integrity(segments, cut),
+        "similarity": cut.where("not is_cut").agg(*(F.avg(c).alias(f"intra_{c}") for c in ("poi_similarity", "order_similarity") if c in cut.columns)),
+        "orders": within_squares(features, segments, ["pickup_count", "dropoff_count"], "order"),
+        "poi": poi_cluster_metrics(poi, segments),
+        "imbalance": imbalance(features, segments),
+        "od": od_metrics(od, n_clusters, t),
+        "pairs": od_pair_sparsity(od, n_clusters),
+        "forecast": historical_average(od, n_clusters),
+        "connectivity": connectivity(edges, segments),
+        "diameter": diameter_metrics(edges, segments, t.large_diameter_m),
+    }
+
+
+def evaluation_row(segments: DataFrame, edges: DataFrame, od: DataFrame, n_clusters: int) -> DataFrame:
+    """The short row by which partitions of one graph are compared when they are made."""
+    cut = with_cut(edges, segments)
+    table = segments.groupBy("cluster_id").agg(F.count("*").alias("n"), F.sum("length").alias("total_length"))
+    roads = segments.where(nonempty("name")).groupBy("name").agg(F.count("*").alias("n"), F.count_distinct("cluster_id").alias("k")).where("n > 1")
+    share = lambda flag: F.coalesce(F.avg(F.when(F.col(flag), F.col("is_cut").cast("double"))), F.lit(0.0))
+    return together({
+        "sizes": table.agg(F.count("*").alias("num_clusters"), F.sum("n").alias("num_segments"), F.avg("total_length").alias("mean_cluster_length_m"), F.coalesce(variation("total_length"), F.lit(0.0)).alias("size_balance_cv")),
+        "connected": connectivity(edges, segments).select("connected_cluster_ratio", F.col("mean_components").alias("mean_components_per_cluster")),
+        "cut": cut.agg(share("has_connector").alias("connector_edge_cut_ratio"), share("has_continuity").alias("continuity_edge_cut_ratio"), *(F.avg(F.when(~F.col("is_cut"), F.col(c))).alias(f"{c.split('_')[0]}_intra_edge_homogeneity") for c in ("poi_similarity", "order_similarity"))),
+        "roads": roads.agg(F.coalesce(F.avg("k"), F.lit(0.0)).alias("mean_clusters_per_named_road"), F.coalesce(F.max("k"), F.lit(0).cast("long")).alias("max_clusters_per_named_road")),
+        "od": od_pair_sparsity(od, n_clusters).select(F.col("od_pair_sparsity").alias("cluster_od_sparsity")),
+    })
+
+
+def heatmaps(runs: DataFrame, metrics: list[str], row: str = "lambda_c", column: str = "lambda_r", group: str = "initialization") -> DataFrame:
+    """(group, metric, row, column, value): the means of regularised runs over a grid of two parameters, in long form."""
+    long = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics))).alias("x")
+    return runs.where("is_regularized").select(group, row, column, long).groupBy(group, "x.metric", row, column).agg(F.avg("x.v").alias("value"))

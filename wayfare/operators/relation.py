@@ -90,8 +90,13 @@ def order_similarity(edges: DataFrame, features: DataFrame) -> DataFrame:
     return both.select("seg_id_a", "seg_id_b", F.when(F.col("a_v").isNotNull() & F.col("b_v").isNotNull(), cosine("a_v", "b_v")).otherwise(0.0).alias("order_similarity"))
 
 
-def edge_variants(edges: DataFrame, variants: dict[str, tuple[float, float]]) -> DataFrame:
-    """Each edge under each variant: base + w_poi * poi similarity + w_order * order similarity."""
+def edge_variants(edges: DataFrame, variants: dict[str, tuple[float, float]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each edge under each variant: base + w_poi * poi similarity + w_order * order similarity.
+
+    ``keep``: further columns; a similarity among them is 0 where its variant does not count it.
+    """
     rows = F.array(*(F.struct(F.lit(n).alias("variant"), F.lit(float(p)).alias("p"), F.lit(float(o)).alias("o")) for n, (p, o) in variants.items()))
     each = edges.withColumn("x", F.explode(rows))
-    return each.select("x.variant", "seg_id_a", "seg_id_b", (F.col("base_weight") + F.col("x.p") * F.col("poi_similarity") + F.col("x.o") * F.col("order_similarity")).alias("weight"))
+    used = {"poi_similarity": F.col("x.p") > 0, "order_similarity": F.col("x.o") > 0}
+    others = [F.when(used[c], F.col(c)).otherwise(0.0).alias(c) if c in used else F.col(c) for c in keep]
+    return each.select("x.variant", "seg_id_a", "seg_id_b", (F.col("base_weight") + F.col("x.p") * F.col("poi_similarity") + F.col("x.o") * F.col("order_similarity")).alias("weight"), *others)

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from wayfare.functions.scalars import bearing, name_matches, road_name, slot_floor
-from wayfare.operators import demand, features, intervals, metrics, partitioning, regions, relation, roads, selection, spatial, supply
+from wayfare.operators import demand, features, geometry, intervals, metrics, partitioning, regions, relation, roads, selection, spatial, supply
 from wayfare.plans.components import connected_components
+from wayfare.plans.shared import cut
 from wayfare.sources import adapters as src
 from wayfare.sql import RADIUS
 
@@ -291,9 +292,7 @@ def order_similarity(spark, d):
 
 @query
 def edge_variants(spark, d):
-    edges = src.edges(spark, d)
-    full = edges.join(_poi_similarity(spark, d), ["seg_id_a", "seg_id_b"]).join(relation.order_similarity(edges, src.segment_features(spark, d)), ["seg_id_a", "seg_id_b"])
-    return rounded(relation.edge_variants(full, {"road": (0.0, 0.0), "road_poi": (1.0, 0.0), "road_poi_order": (1.0, 1.0)}))
+    return rounded(relation.edge_variants(_full_edges(spark, d), VARIANTS))
 
 
 # --- regions -------------------------------------------------------------------------------------------
@@ -348,6 +347,23 @@ def nearest_segment(spark, d):
     return rounded(spatial.nearest_segment(src.points(spark, d), src.lines(spark, d), RADIUS))
 
 
+@query
+def nearest_polyline(spark, d):
+    legs = geometry.legs(src.polylines(spark, d)).select("seg_id", "x0", "y0", "x1", "y1")
+    return rounded(spatial.nearest_segment(src.points(spark, d), legs, RADIUS))
+
+
+@query
+def polyline_centroids(spark, d):
+    lines = src.polylines(spark, d)
+    return rounded(geometry.centroids(lines, ["seg_id"]).join(lines.select("seg_id", geometry.length_of().alias("length")), "seg_id"))
+
+
+@query
+def inside_ratio(spark, d):
+    return rounded(geometry.inside_ratio(src.polylines(spark, d), "seg_id", src.BOUNDARY))
+
+
 @query
 def point_in_buffer(spark, d):
     return rounded(spatial.within_distance(src.points(spark, d), src.lines(spark, d), RADIUS))
@@ -460,6 +476,31 @@ def components(spark, d):
     return connected_components(inner, "seg_id_a", "seg_id_b")
 
 
+def _whole_row(spark, d):
+    segments, edges, features_, hourly = map(cut, (src.segments(spark, d), _full_edges(spark, d), src.segment_features(spark, d), demand.hourly_od(src.trips(spark, d))))
+    return segments, edges, features_, hourly, features.poi_counts(src.poi(spark, d))
+
+
+@query
+def metric_row(spark, d):
+    """Every metric of the partition that has no geometry, in one row."""
+    segments, edges, features_, hourly, poi = _whole_row(spark, d)
+    parts = metrics.metric_parts(segments, edges, features_, poi, hourly, src.CLUSTERS)
+    digits = {"order_wss": 4, "od_hhi": 9}
+    return metrics.together({name: part.withColumns({c: F.round(c, digits.get(c, 6)) for c, kind in part.dtypes if kind == "double"}) for name, part in parts.items()})
+
+
+@query
+def evaluation_row(spark, d):
+    segments, edges, _, hourly, _ = _whole_row(spark, d)
+    return rounded(metrics.evaluation_row(segments, edges, hourly, src.CLUSTERS))
+
+
+@query
+def heatmap_lambda(spark, d):
+    return rounded(metrics.heatmaps(src.grid_runs(spark, d), ["od_sparsity", "order_count_cv"]))
+
+
 @query
 def connectivity(spark, d):
     return rounded(metrics.connectivity(src.edges(spark, d), src.segments(spark, d)))
@@ -529,14 +570,21 @@ def coverage_gaps(spark, d):
 K = 10
 
 
-def _graph(spark, d):
-    """The nodes and edges of the road variant."""
-    road = F.lit("road").alias("variant")
+VARIANTS = {"road": (0.0, 0.0), "road_poi": (1.0, 0.0), "road_poi_order": (1.0, 1.0)}
+
+
+def _full_edges(spark, d):
+    """Relation edges with both similarities."""
+    edges = src.edges(spark, d)
+    return edges.join(_poi_similarity(spark, d).select("seg_id_a", "seg_id_b", "poi_similarity"), ["seg_id_a", "seg_id_b"]).join(relation.order_similarity(edges, src.segment_features(spark, d)).select("seg_id_a", "seg_id_b", "order_similarity"), ["seg_id_a", "seg_id_b"])
+
+
+def _graph(spark, d, variants=tuple(VARIANTS)):
+    """The nodes and edges of the variants; each counts the similarities of its own, and region growing sees those alone."""
+    names = F.explode(F.array(*map(F.lit, variants))).alias("variant")
     demand_of = src.segment_features(spark, d).select("seg_id", F.col("order_total").alias("demand"))
-    nodes = src.segments(spark, d).join(demand_of, "seg_id", "left").select(road, "seg_id", "demand", "length", "x", "y")
-    zero = F.lit(0.0)
-    edges = src.edges(spark, d).select(road, "seg_id_a", "seg_id_b", F.col("base_weight").alias("weight"), "continuity_weight", "connector_weight", zero.alias("poi_similarity"), zero.alias("order_similarity"))
-    return nodes, edges
+    nodes = src.segments(spark, d).join(demand_of, "seg_id", "left").select(names, "seg_id", "demand", "length", "x", "y")
+    return nodes, relation.edge_variants(_full_edges(spark, d), {v: VARIANTS[v] for v in variants}, ("continuity_weight", "connector_weight", "poi_similarity", "order_similarity"))
 
 
 def _partition_query(name: str) -> Query:
@@ -551,12 +599,21 @@ for _name in partitioning.ALGORITHMS:
     _partition_query(_name)
 
 
+def _search(spark, d, lambda_c, lambda_r, algorithms):
+    nodes, edges = map(cut, _graph(spark, d, ("road_poi_order",)))  # for the first partitions and for the search
+    initial = partitioning.partition(nodes, edges, list(algorithms), K)
+    return partitioning.search(nodes, edges, initial, selection.setting_grid(spark, lambda_c=lambda_c, lambda_r=lambda_r), None)
+
+
 @query
 def regularized_search(spark, d):
-    nodes, edges = _graph(spark, d)
-    initial = partitioning.partition(nodes, edges, ["skater"], K)
-    settings = selection.setting_grid(spark, lambda_c=[0.2, 1.0], lambda_r=[1.0])
-    return partitioning.search(nodes, edges, initial, settings, None)
+    """All settings of the grid from three initial partitions."""
+    return _search(spark, d, [0.2, 0.5, 1.0, 2.0], [0.5, 1.0, 2.0, 4.0], ("demand_region_growing", "louvain", "leiden"))
+
+
+def regularized_search_run(spark, d):
+    """One run, which is what the published time is of."""
+    return _search(spark, d, [1.0], [1.0], ("demand_region_growing",))
 
 
 @query

@@ -91,6 +91,25 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("seg_id"), x.alias("x0"), y.alias("y0"), (x + 100.0).alias("x1"), (y + 50.0).alias("y1"))
 
 
+#: A rectangle that parts the polylines.
+BOUNDARY = [(0.0, 0.0), (5000.0, 0.0), (5000.0, 600.0), (0.0, 600.0)]
+
+
+def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of two legs, one up and one down."""
+    at = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
+    return lines(spark, sf_dir).select("seg_id", F.array(at(0.0, 0.0), at(100.0, 50.0), at(160.0, -30.0)).alias("geom"))
+
+
+def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One made-up run for each brand, size and setting, with its two parameters."""
+    n = F.col("p_partkey")
+    pick = lambda at, values: F.element_at(F.array(*map(F.lit, values)), (at % 4 + 1).cast("int"))
+    return read(spark, sf_dir, "part").select(
+        F.concat(F.lit("init_"), (F.col("p_size") % 3).cast("string")).alias("initialization"), pick(n, (0.2, 0.5, 1.0, 2.0)).alias("lambda_c"), pick(F.expr("p_partkey div 4"), (0.5, 1.0, 2.0, 4.0)).alias("lambda_r"), (n % 97 / 97.0).alias("od_sparsity"), (n % 79 / 79.0).alias("order_count_cv"), (n % 5 > 0).alias("is_regularized")
+    )
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One made-up run for each brand, with the metrics that selection looks at."""
     n = F.col("p_partkey")

@@ -164,6 +164,22 @@ def _dominated(x: str, y: str, table: str = "runs") -> str:
 _HOLD = lambda m, s: f"coalesce(r.{m} <= CASE WHEN abs(b.{m}) <= 1e-12 THEN b.{m} + {s} ELSE b.{m} + {s} * abs(b.{m}) END, false)"
 _ALL3 = "o.od_sparsity <= r.od_sparsity AND o.connector_cut_ratio <= r.connector_cut_ratio AND o.order_count_cv <= r.order_count_cv AND (o.od_sparsity < r.od_sparsity OR o.connector_cut_ratio < r.connector_cut_ratio OR o.order_count_cv < r.order_count_cv)"
 
+#: Edges inside clusters both ways, their components, and each cluster's.
+_INNER = """lo AS (SELECT seg_id_a AS a, seg_id_b AS b FROM cut WHERE NOT is_cut), bo AS (SELECT a, b FROM lo UNION ALL SELECT b, a FROM lo),
+re AS (SELECT a AS node, a AS root FROM bo UNION SELECT bo.b, re.root FROM re JOIN bo ON bo.a = re.node WHERE re.root < bo.b), cm AS (SELECT node, min(root) AS component FROM re GROUP BY ALL),
+lab AS (SELECT seg.seg_id, seg.cluster_id, seg.length, coalesce(cm.component, seg.seg_id) AS component FROM seg LEFT JOIN cm ON cm.node = seg.seg_id)"""
+CONNECTED = _INNER + """, pt AS (SELECT cluster_id, component, count(*) AS n FROM lab GROUP BY ALL), ec AS (SELECT cluster_id, count(*) AS c, max(n) / sum(n) AS share FROM pt GROUP BY ALL)"""
+
+
+def _sweep(name: str, start: str) -> str:
+    """Least distances from the nodes of a relation of starts (node), each within its component."""
+    return f"""{name} (node, dist) USING KEY (node) AS (SELECT node, 0.0::DOUBLE FROM {start} UNION SELECT w.b, min({name}.dist + w.w) FROM {name} JOIN w ON w.a = {name}.node LEFT JOIN recurring.{name} AS old ON old.node = w.b WHERE old.dist IS NULL OR {name}.dist + w.w < old.dist GROUP BY w.b)"""
+
+
+_MOVE_TABLE = """seg2 AS (SELECT seg.* REPLACE (CASE WHEN seg_id = (SELECT min(seg_id) FROM seg) THEN 3 ELSE cluster_id END AS cluster_id) FROM seg), ct2 AS (SELECT x.cluster_id, sum(coalesce(order_total, 0))::BIGINT AS order_total FROM seg2 x LEFT JOIN f USING (seg_id) GROUP BY ALL), tgt2 AS (SELECT sum(order_total) / count(*) AS tg FROM ct2),
+cut2 AS (SELECT e.*, a.cluster_id <> b.cluster_id AS is_cut FROM e JOIN seg2 a ON a.seg_id = e.seg_id_a JOIN seg2 b ON b.seg_id = e.seg_id_b)"""
+
+
 ORACLES: dict[str, str] = {
     "valid_trips": f"WITH {TRIPS} SELECT * FROM t",
     "staging_counters": f"""WITH {TRIPS}, c AS (SELECT *, coalesce(finish_time > departure_time, false) AS ok FROM raw), w AS (SELECT *, ok AND departure_time >= TIMESTAMP '2024-01-05' AND departure_time < TIMESTAMP '2024-01-20' AS win FROM c)
@@ -257,4 +273,32 @@ SELECT node, min(root) AS component FROM re GROUP BY ALL""",
     "embedding_cosine_topk": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e)) / sqrt(list_dot_product(v.e, v.e)) AS s FROM v q JOIN v ON q.vec_id % 100 = 0 AND q.vec_id <> v.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, vec_id) AS rank FROM p) SELECT query_id, vec_id, round(s, 6) AS score, rank FROM r WHERE rank <= 10",
     "setting_grid": "WITH c(lambda_c, a) AS (VALUES (0.2::DOUBLE, '0p2'), (0.5, '0p5'), (1.0, '1p0'), (2.0, '2p0')), r(lambda_r, b) AS (VALUES (0.5::DOUBLE, '0p5'), (1.0, '1p0'), (2.0, '2p0'), (4.0, '4p0')) SELECT lambda_c, lambda_r, 'lambda_c' || a || '_lambda_r' || b AS setting_id FROM c, r",
     "coverage_gaps": f"WITH {ROADS} SELECT seg_id, 'missing' AS problem FROM seg WHERE seg_id % 13 = 0 UNION ALL SELECT seg_id, 'extra' FROM con",
+    "connectivity": f"WITH RECURSIVE {EDGES}, {CONNECTED} SELECT round(avg(CAST(c = 1 AS DOUBLE)), 6) AS connected_cluster_ratio, CAST(sum(c - 1) AS BIGINT) AS fragments, round(avg(c), 6) AS mean_components, max(c) AS max_components, round(avg(share), 6) AS mean_largest_share, round(min(share), 6) AS min_largest_share FROM ec",
+    "network_diameter": f"""WITH RECURSIVE {EDGES}, {_INNER}, w AS (SELECT bo.a, bo.b, (x.length + y.length) / 2 AS w FROM bo JOIN seg x ON x.seg_id = bo.a JOIN seg y ON y.seg_id = bo.b), st AS (SELECT DISTINCT component AS node FROM lab),
+{_sweep("d1", "st")}, en AS (SELECT first(d1.node ORDER BY d1.dist DESC, d1.node) AS node FROM d1 JOIN lab ON lab.seg_id = d1.node GROUP BY lab.component),
+{_sweep("d2", "en")}, dm AS (SELECT lab.cluster_id, max(d2.dist) AS diameter FROM d2 JOIN lab ON lab.seg_id = d2.node GROUP BY ALL)
+SELECT round(avg(diameter), 6) AS diameter_mean, round(max(diameter), 6) AS diameter_max, round(avg(CAST(diameter > 30000 AS DOUBLE)), 6) AS large_diameter_ratio FROM dm""",
+    "move_delta": f"""WITH {EDGES}, {FEATURES}, {TABLE}, {objective('one AS (SELECT 1)')}, {_MOVE_TABLE}, p1 AS (SELECT avg({HINGE}) AS c2 FROM ct2, tgt2), p2 AS (SELECT {_share("base_weight")} AS g2, {_share("continuity_weight")} AS t2, {_share("connector_weight")} AS n2 FROM cut2)
+SELECT round(c2 - r_cap, 6) AS delta_r_cap, round(g2 - r_graph, 6) AS delta_r_graph, round(t2 - r_cont, 6) AS delta_r_cont, round(n2 - r_conn, 6) AS delta_r_conn, round(c2 + g2 + t2 + n2 - r_cap - r_graph - r_cont - r_conn, 6) AS delta_objective FROM o1, o2, p1, p2""",
+    "nearest_polyline": f"""WITH {SPATIAL}, lg AS (SELECT seg_id, x0, y0, 100.0 AS dx, 50.0 AS dy FROM ln0 UNION ALL SELECT seg_id, x0 + 100.0, y0 + 50.0, 60.0, -80.0 FROM ln0),
+c AS (SELECT point_id, seg_id, px, py, x0, y0, dx, dy, least(1.0, greatest(0.0, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS k FROM pt JOIN lg ON px BETWEEN x0 - {RADIUS} AND x0 + dx + {RADIUS} AND py BETWEEN least(y0, y0 + dy) - {RADIUS} AND greatest(y0, y0 + dy) + {RADIUS}),
+b AS (SELECT point_id, seg_id, sqrt(pow(px - (x0 + k * dx), 2) + pow(py - (y0 + k * dy), 2)) AS distance FROM c), r AS (SELECT point_id, first(seg_id ORDER BY distance, seg_id) AS seg_id, min(distance) AS distance FROM b WHERE distance <= {RADIUS} GROUP BY point_id) SELECT pt.point_id, r.seg_id, round(r.distance, 6) AS distance FROM pt LEFT JOIN r USING (point_id)""",
+    "polyline_centroids": f"WITH {SPATIAL}, l AS (SELECT sqrt(12500.0) AS a, 100.0 AS b) SELECT seg_id, round(((x0 + 50) * a + (x0 + 130) * b) / (a + b), 6) AS x, round(((y0 + 25) * a + (y0 + 10) * b) / (a + b), 6) AS y, round(a + b, 6) AS length FROM ln0, l",
+    "inside_ratio": f"""WITH {SPATIAL}, lg AS (SELECT seg_id, x0, y0, 100.0 AS dx, 50.0 AS dy FROM ln0 UNION ALL SELECT seg_id, x0 + 100.0, y0 + 50.0, 60.0, -80.0 FROM ln0),
+c AS (SELECT seg_id, sqrt(dx * dx + dy * dy) AS n, greatest(0.0, -x0 / dx, least(-y0 / dy, (600 - y0) / dy)) AS low, least(1.0, (5000 - x0) / dx, greatest(-y0 / dy, (600 - y0) / dy)) AS high FROM lg)
+SELECT seg_id, round(sum(greatest(high - low, 0) * n) / sum(n), 6) AS inside_ratio FROM c GROUP BY ALL""",
+    "heatmap_lambda": """WITH r AS (SELECT 'init_' || (p_size % 3) AS initialization, [0.2, 0.5, 1.0, 2.0][1 + p_partkey % 4]::DOUBLE AS lambda_c, [0.5, 1.0, 2.0, 4.0][1 + (p_partkey // 4) % 4]::DOUBLE AS lambda_r, p_partkey % 97 / 97.0 AS od_sparsity, p_partkey % 79 / 79.0 AS order_count_cv FROM part WHERE p_partkey % 5 > 0)
+SELECT initialization, 'od_sparsity' AS metric, lambda_c, lambda_r, round(avg(od_sparsity), 6) AS value FROM r GROUP BY ALL UNION ALL SELECT initialization, 'order_count_cv', lambda_c, lambda_r, round(avg(order_count_cv), 6) FROM r GROUP BY ALL""",
 }
+_SIZES = f"""WITH {ROADS}, {FEATURES}, {TABLE} SELECT round(avg(num_segments), 6) AS mean_segments_per_cluster, min(num_segments) AS min_segments_per_cluster, max(num_segments) AS max_segments_per_cluster, round(avg(total_length), 6) AS mean_cluster_length_m, round(min(total_length), 6) AS min_cluster_length_m, round(max(total_length), 6) AS max_cluster_length_m,
+count(*) FILTER (order_total < 100) AS clusters_below_min_order, round(avg(CAST(order_total < 100 AS DOUBLE)), 6) AS ratio_clusters_below_min_order, round(avg(order_total), 6) AS target_order_capacity FROM ct"""
+_INTRA = f"WITH {EDGES}, {POI_FEATURES}, {_POISIM}, {FEATURES}, {_ORDSIM} SELECT round(avg(poi_similarity), 6) AS intra_poi_similarity, round(avg(order_similarity), 6) AS intra_order_similarity FROM ps JOIN os USING (seg_id_a, seg_id_b) JOIN cut USING (seg_id_a, seg_id_b) WHERE NOT is_cut"
+#: Hourly flows between the clusters of trips.
+_HOURLY = TRIPS + """, od AS (SELECT time_bucket(INTERVAL 1 HOUR, departure_time, TIMESTAMP '1970-01-01') AS slot_start, origin_cluster_id, destination_cluster_id, count(*) AS order_count FROM t WHERE isodow(departure_time) <= 5 AND origin_cluster_id IS NOT NULL AND destination_cluster_id IS NOT NULL GROUP BY ALL)"""
+_ROW = {"_sizes": _SIZES, "_intra": _INTRA, "_od": ORACLES["od_metrics"].replace(FLOWS, _HOURLY), "_pairs": ORACLES["od_pair_sparsity"].replace(FLOWS, _HOURLY)}
+ORACLES["metric_row"] = "SELECT * FROM " + ", ".join(f"({q}) AS q{i}" for i, q in enumerate([*_ROW.values(), *(ORACLES[n] for n in "cluster_cv small_clusters capacity_metrics edge_cut_metrics road_integrity wss poi_cluster_entropy imbalance_var historical_average connectivity network_diameter".split())]))
+ORACLES["evaluation_row"] = f"""WITH RECURSIVE {EDGES}, {CONNECTED}, {POI_FEATURES}, {_POISIM}, {FEATURES}, {_ORDSIM}, l AS (SELECT cluster_id, count(*) AS n, sum(length) AS len FROM seg GROUP BY ALL), rn AS (SELECT name, count(DISTINCT cluster_id) AS k FROM seg WHERE trim(name) <> '' GROUP BY ALL HAVING count(*) > 1)
+SELECT (SELECT count(*) FROM l) AS num_clusters, (SELECT count(*) FROM seg) AS num_segments, (SELECT round(avg(len), 6) FROM l) AS mean_cluster_length_m, (SELECT round(stddev_pop(len) / avg(len), 6) FROM l) AS size_balance_cv, (SELECT round(avg(CAST(c = 1 AS DOUBLE)), 6) FROM ec) AS connected_cluster_ratio, (SELECT round(avg(c), 6) FROM ec) AS mean_components_per_cluster,
+(SELECT round(avg(CAST(is_cut AS DOUBLE)) FILTER (has_connector), 6) FROM cut) AS connector_edge_cut_ratio, (SELECT round(avg(CAST(is_cut AS DOUBLE)) FILTER (has_continuity), 6) FROM cut) AS continuity_edge_cut_ratio,
+(SELECT round(avg(poi_similarity), 6) FROM ps JOIN cut USING (seg_id_a, seg_id_b) WHERE NOT is_cut) AS poi_intra_edge_homogeneity, (SELECT round(avg(order_similarity), 6) FROM os JOIN cut USING (seg_id_a, seg_id_b) WHERE NOT is_cut) AS order_intra_edge_homogeneity,
+(SELECT round(avg(k), 6) FROM rn) AS mean_clusters_per_named_road, (SELECT max(k) FROM rn) AS max_clusters_per_named_road, (SELECT od_pair_sparsity FROM ({_ROW["_pairs"]})) AS cluster_od_sparsity"""
