@@ -958,6 +958,82 @@ def test_chat(spark):
     assert chat_tools.format_chat(df.where("false")).count() == 0
 
 
+def slow_links(rows):
+    """(conv, turn, at) of each call to its status, order, result turn and errors; one conversation at a time, in plain Python."""
+    out, by = {}, collections.defaultdict(list)
+    for row in dict.fromkeys(rows):
+        by[row[0]].append(row)
+    kinds = {"integer": (int,), "string": (str,), "number": (int, float), "boolean": (bool,)}
+    for conv, messages in by.items():
+        calls, results, tools = [], {}, {}
+        for _, turn, role, text in sorted(messages, key=lambda r: r[1]):
+            body = json.loads(text) if text.startswith("{") else {}
+            if role == "system":
+                for tool in body.get("tools", []):
+                    tools.setdefault(tool["name"], tool["parameters"])
+            elif role == "tool" and "tool_call_id" in body:
+                results.setdefault(body["tool_call_id"], turn)
+            elif role == "assistant":
+                calls += [(turn, at, c) for at, c in enumerate(body.get("tool_calls", []))]
+        needs, first = collections.defaultdict(set), {}
+        for turn, at, c in calls:
+            first.setdefault(c["id"], (turn, at))
+            needs[c["id"]] |= set(c.get("depends_on", []))
+        level = {}
+        for _ in first:
+            for c in first:
+                own = needs[c] & set(first)
+                if c not in level and own <= set(level):
+                    level[c] = max((level[x] + 1 for x in own), default=0)
+        for turn, at, c in calls:
+            schema, given, errors = tools.get(c["name"]), c["arguments"], []
+            if schema is None:
+                errors = ["undeclared"]
+            else:
+                errors += [f"missing:{k}" for k in schema.get("required", []) if k not in given]
+                for k, v in given.items():
+                    if k not in schema["properties"]:
+                        errors += [f"unexpected:{k}"] * (not schema.get("additionalProperties", True))
+                    elif not isinstance(v, kinds[schema["properties"][k]["type"]]) or isinstance(v, bool) != (schema["properties"][k]["type"] == "boolean"):
+                        errors.append(f"type:{k}")
+            status = "duplicate" if first[c["id"]] != (turn, at) else "cyclic" if c["id"] not in level else "answered" if c["id"] in results else "unanswered"
+            out[conv, turn, at] = (c["id"], status, level.get(c["id"]), results[c["id"]] if status == "answered" else None, sorted(errors))
+    return out
+
+
+def test_chat_links_equal_the_slow_linker(spark):
+    r, j = np.random.default_rng(12), json.dumps
+    schema = {"properties": {"a": {"type": "integer"}, "b": {"type": "string"}, "c": {"type": "boolean"}}, "required": ["a"], "additionalProperties": False}
+    values, rows = [1, 2, "x", "", True, 1.5], []
+    for conv in range(25):
+        rows.append((conv, 0, "system", j({"tools": [{"name": "f", "parameters": schema}, {"name": "g", "parameters": {"properties": {"a": {"type": "number"}}}}]})))
+        names = [f"c{i}" for i in range(int(r.integers(1, 14)))]
+        for turn in range(1, 8):
+            calls = [{"id": str(r.choice(names)), "name": str(r.choice(["f", "g", "h"])), "arguments": {str(k): values[int(r.integers(6))] for k in r.choice(list("abcd"), int(r.integers(0, 4)), replace=False)}} for _ in range(int(r.integers(0, 4)))]
+            for c in calls:
+                if r.random() < 0.7:  # backwards but for a few, which may close a cycle
+                    mine = int(c["id"][1:])
+                    c["depends_on"] = [str(x) for x in r.choice([*names[:mine], *names[: 1 + len(names) * (r.random() < 0.1)], "none"], int(r.integers(1, 4)))]
+            rows.append((conv, turn, "assistant", j({"content": "go", "tool_calls": calls})))
+            rows += [(conv, turn, "tool", j({"tool_call_id": str(x), "content": "done"})) for x in r.choice(names, min(2, len(names)), replace=False)]
+    chain = [{"id": f"k{i}", "name": "g", "arguments": {}, "depends_on": [f"k{i - 1}"] if i else []} for i in range(300)]
+    rows.append((99, 1, "assistant", j({"tool_calls": [*chain[::-1], {"id": "join", "name": "g", "arguments": {}, "depends_on": ["k299", "k7"]}, {"id": "after", "name": "g", "arguments": {}, "depends_on": ["join"]}, *({"id": x, "name": "g", "arguments": {}, "depends_on": [y]} for x, y in (("p", "q"), ("q", "p"), ("o", "p")))]})))
+    rows += rows[:3]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    want = slow_links(rows)
+    got = {(x.conv_id, x.turn, x.at): (x.call_id, x.status, x.order, x.result_turn, list(x.errors)) for x in chat_tools.link_calls(df).collect()}
+    assert got == want and {s for _, s, *_ in want.values()} == {"answered", "unanswered", "duplicate", "cyclic"} and want[99, 1, 301][2] == 301
+    messages = chat_tools.format_chat(df).collect()
+    assert len(messages) == len(rows) and sum(x.n_calls for x in messages) >= len(want)
+
+
+def test_chat_of_long_texts(spark):
+    long = "x" * 2_000_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", json.dumps({"tool_calls": [{"id": "a", "name": "f", "arguments": {"s": long}}]})), (1, 2, "tool", json.dumps({"tool_call_id": "a", "content": long}))]
+    got = {x.turn: json.loads(x.message) for x in chat_tools.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[0]["content"] == long and got[1]["tool_calls"][0]["arguments"]["s"] == long and got[2]["content"] == long and got[2]["linked"]
+
+
 def test_chat_sql(spark, duck, data):
     columns = ["conv_id", "turn", "role", "message", "n_calls", "n_answered", "n_invalid"]
     got = sorted(map(tuple, queries.op3_chat_tools(spark, data).select(columns).collect()))

@@ -92,23 +92,43 @@ def _calls(marked: DataFrame) -> DataFrame:
 def _orders(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level): 0 for calls that depend on none, else one more than the highest of those.
 
-    Rounds of joins, as many as the longest chain; calls on a cycle never get a level.
+    Calls with one dependency point to it, and pointers are doubled until they reach a call with none or several, so a
+    chain takes as many rounds as its length has binary digits. Only calls with several dependencies are then taken in
+    rounds, as many as the longest chain of these. Calls on a cycle, or that need one, never get a level.
     """
-    ids = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id").distinct()
-    edges = calls.where("conv_id is not null and call_id is not null").select("conv_id", "call_id", F.explode("depends_on").alias("needs")).distinct()
-    edges = cut(edges.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]).select("conv_id", "call_id", "needs"))
-    done = ids.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
+    key = ["conv_id", "call_id"]
+    known = calls.where("conv_id is not null and call_id is not null")
+    ids = known.select(*key).distinct()
+    edges = known.select(*key, F.explode("depends_on").alias("needs")).distinct()
+    edges = cut(edges.join(ids.withColumnRenamed("call_id", "needs"), ["conv_id", "needs"]).select(*key, "needs"))
+    roots = ids.join(edges, key, "left_anti").withColumn("level", F.lit(0))
     if edges.isEmpty():
-        return done
-    done, level = cut(done), 0
+        return roots
+    needs = edges.groupBy(*key).agg(F.count("*").alias("n"), F.min("needs").alias("to"))
+    jumps = cut(needs.where("n = 1").select(*key, "to", F.lit(1).alias("far")))
+    for _ in range(jumps.count().bit_length() + 1):
+        after = jumps.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("far").alias("more"))
+        open_ = jumps.join(after, ["conv_id", "to"], "left")
+        jumps = cut(open_.select(*key, F.coalesce("next", "to").alias("to"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far")))
+        if jumps.join(jumps.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_semi").isEmpty():
+            break
+    # A pointer that still leads to a call with one dependency is on a cycle or leads to one.
+    chains = jumps.join(jumps.select("conv_id", F.col("call_id").alias("to")), ["conv_id", "to"], "left_anti")
+    forks = needs.where("n > 1").select(*key)
+    ends = chains.select(*key, "to", "far").union(roots.union(forks.withColumn("level", F.lit(0))).select(*key, F.col("call_id").alias("to"), F.lit(0).alias("far")))
+    wanted = edges.join(forks, key, "left_semi").join(ends.select("conv_id", F.col("call_id").alias("needs"), "to", "far"), ["conv_id", "needs"], "left")
+    wanted = cut(wanted.select(*key, "to", "far"))
+    done = cut(roots)
     while True:
-        open_ = edges.join(done.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        waiting = open_.join(done.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti")
-        level += 1
-        ready = cut(open_.select("conv_id", "call_id").distinct().join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(level)))
+        levels = done.select("conv_id", F.col("call_id").alias("to"), "level")
+        open_ = wanted.join(done.select(*key), key, "left_anti").join(levels, ["conv_id", "to"], "left")
+        tried = open_.groupBy(*key).agg(F.count_if(F.col("level").isNull()).alias("missing"), F.max(F.col("level") + F.col("far") + 1).alias("level"))
+        ready = cut(tried.where("missing = 0").select(*key, "level"))
         if ready.isEmpty():
-            return done
+            break
         done = cut(done.union(ready))
+    placed = chains.join(done.select("conv_id", F.col("call_id").alias("to"), "level"), ["conv_id", "to"])
+    return done.union(placed.select(*key, (F.col("level") + F.col("far")).alias("level")))
 
 
 def _errors(declared: Column) -> Column:
@@ -166,7 +186,7 @@ def format_chat(messages: DataFrame) -> DataFrame:
         "conv_id", "turn", "role", _object(_field("content", F.col("text")), _field("role", F.col("role")), _field("turn", F.col("turn"))).alias("message"), zero.alias("n_calls"), zero.alias("n_answered"), zero.alias("n_invalid")
     )
     special = messages.select(*_KEYS).where(F.col("role").isin("assistant", "tool", "system") & F.col("text").rlike(r"^\s*\{"))
-    links = link_calls(special)
+    links = cut(link_calls(special))  # for the calls' own messages and for their results
     sorted_calls = F.array_sort(F.collect_list(F.struct(F.coalesce("order", F.lit(1 << 30)).alias("o"), "at", "json")))
     of_message = links.groupBy(*_KEYS).agg(
         sorted_calls.alias("calls"), F.count("*").alias("n_calls"), F.count_if(F.col("status") == "answered").alias("n_answered"), F.count_if(F.size("errors") > 0).alias("n_invalid")
