@@ -100,6 +100,44 @@ def test_config(tmp_path):
             config.load_config(tmp_path / "c.yaml")
 
 
+def test_scratch(spark, tmp_path):
+    from wayfare.plans import shared
+
+    path = shared.scratch_path(spark, "some")
+    spark.range(3).write.parquet(path)
+    shared.drop_path(spark, path)
+    assert tables.try_read(spark, path, "id long").count() == 0 and path not in shared._scratch
+
+    class Cluster:
+        master = "spark://host:7077"
+        getConf = staticmethod(lambda: {})
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Cluster()
+        conf = {}
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
+
+
+def test_chain_numbers_go_on_after_a_chain_was_given_out(spark, tmp_path):
+    """The watermark closes a driver's first chain before the second arrives; the second is number 2."""
+    from wayfare.streaming import twins
+
+    schema = "driver_id long, a string, b string"
+    batches = [[(1, "08:00", "08:30")], [(2, "10:30", "10:40")], [(2, "10:45", "10:50")], [(1, "11:00", "11:10")], [(2, "14:00", "14:10")], [(2, "14:20", "14:30")]]
+    q = None
+    for n, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, schema).select("driver_id", *(F.to_timestamp(F.concat(F.lit("2017-06-01 "), c)).alias(name) for c, name in (("a", "trip_start"), ("b", "trip_end"))))
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        q = twins.chain_stream(stream, late="10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "state")).start()
+        q.awaitTermination(120)
+    got = sorted((r.chain_seq, r.num_segments) for r in spark.read.parquet(str(tmp_path / "out")).where("driver_id = 1").collect())
+    assert got == [(1, 1), (2, 1)]
+
+
 def test_streams(spark, tmp_path):
     from wayfare.streaming import twins
 

@@ -86,11 +86,10 @@ def slot_calendar(spark, d):
 
 @query
 def od_tensor_dense(spark, d):
-    day = 24 * 60
     found = src.labelled(spark, d)
-    slots = intervals.calendar(demand.slot_bounds(src.trips(spark, d), day), "first_slot", "last_slot", day)
+    slots = intervals.calendar(demand.slot_bounds(src.trips(spark, d)), "first_slot", "last_slot")
     index = demand.cluster_order(found.select(F.col("origin_cluster_id").alias("cluster_id")))
-    return demand.od_tensor(demand.od_slots(found, day), slots, index)
+    return demand.od_tensor(demand.od_slots(found), slots, index)
 
 
 @query

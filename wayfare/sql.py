@@ -191,9 +191,8 @@ count(*) FILTER (win AND (origin_cluster_id IS NULL OR destination_cluster_id IS
     "od_slots_15min": f"WITH {OD} SELECT * FROM od",
     "od_bounds": f"WITH {TRIPS} SELECT time_bucket(INTERVAL 15 MINUTE, min(departure_time), TIMESTAMP '1970-01-01') AS first_slot, time_bucket(INTERVAL 15 MINUTE, max(departure_time), TIMESTAMP '1970-01-01') AS last_slot FROM t",
     "slot_calendar": f"WITH {TRIPS} SELECT unnest(generate_series(time_bucket(INTERVAL 15 MINUTE, min(departure_time), TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 15 MINUTE, max(departure_time), TIMESTAMP '1970-01-01'), INTERVAL 15 MINUTE)) AS slot_start FROM t",
-    "od_tensor_dense": f"""WITH {LABELS}, od AS (SELECT time_bucket(INTERVAL 1 DAY, departure_time, TIMESTAMP '1970-01-01') AS slot_start, origin_cluster_id, destination_cluster_id, count(*) FILTER (service_type = 'exclusive') AS x, count(*) FILTER (service_type = 'carpool') AS c, count(*) AS n FROM l GROUP BY ALL),
-cal AS (SELECT unnest(generate_series(min(slot_start), max(slot_start), INTERVAL 1 DAY)) AS slot_start FROM od), ix AS (SELECT DISTINCT origin_cluster_id AS id FROM l)
-SELECT cal.slot_start, o.id AS o, d.id AS d, coalesce(x, 0) AS y_exclusive, coalesce(c, 0) AS y_carpool, coalesce(n, 0) AS y_total FROM cal CROSS JOIN ix o CROSS JOIN ix d LEFT JOIN od ON od.slot_start = cal.slot_start AND od.origin_cluster_id = o.id AND od.destination_cluster_id = d.id""",
+    "od_tensor_dense": f"""WITH {OD}, cal AS (SELECT unnest(generate_series(min(slot_start), max(slot_start), INTERVAL 15 MINUTE)) AS slot_start FROM od), ix AS (SELECT DISTINCT origin_cluster_id AS id FROM l)
+SELECT cal.slot_start, o.id AS o, d.id AS d, coalesce(exclusive_count, 0) AS y_exclusive, coalesce(carpool_count, 0) AS y_carpool, coalesce(total_count, 0) AS y_total FROM cal CROSS JOIN ix o CROSS JOIN ix d LEFT JOIN od ON od.slot_start = cal.slot_start AND od.origin_cluster_id = o.id AND od.destination_cluster_id = d.id""",
     "carpool_groups": f"WITH {SEGMENTS} SELECT {_SEG_COLUMNS} FROM cg",
     "exclusive_segments": f"WITH {SEGMENTS} SELECT {_SEG_COLUMNS} FROM ex",
     "trip_segments": f"WITH {SEGMENTS} SELECT {_SEG_COLUMNS} FROM s",
