@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, near-duplicates, decontamination, pseudonyms, token ids.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Between stages the rows
-are written as Parquet to the shared folder and read again, so a lost executor costs no earlier stage.
+are written as Parquet to the shared folder and read again, so a lost executor costs no earlier stage. The last
+stage's rows are the documents' token ids, with digests of them and of what they decode to.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from wayfare.llm.near_copies import one_of_each_group
 from wayfare.llm.pii import with_pseudonyms
 from wayfare.llm.quality import keep_good
 from wayfare.llm.queries import pii_key, table
-from wayfare.plans.shared import scratch_path
+from wayfare.plans.shared import drop_path, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES):
         path = scratch_path(spark, f"pipeline-{i}-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            drop_path(spark, before)  # what the next stage reads is written
+        before = path
     return docs
