@@ -94,6 +94,11 @@ def test_config(tmp_path):
     (tmp_path / "c.yaml").write_text("supply: {mode: global}\npartitioning: {clusters: 5, lambda_c: [1.0]}\n")
     c = config.load_config(tmp_path / "c.yaml")
     assert c.supply.mode == "global" and c.partitioning.clusters == 5 and c.demand.slot_minutes == 15
+    (tmp_path / "c.yaml").write_text("scopes: {default: {edges: raw/e, label: all}, ring: {label: ring, out: 's3://b/x'}}\nactive_scope: ring\n")
+    c = config.load_config(tmp_path / "c.yaml")
+    assert c.scope["label"] == "ring" and c.path("edges", "/data/") == "/data/raw/e" and c.path("out", "/data") == "s3://b/x"
+    with pytest.raises(ValueError):
+        c.path("none")
     for text in ("supply: {mode: weekly}", "demand: {slot: 1}", "active_scope: none", "partitioning: {lambda_r: []}"):
         (tmp_path / "c.yaml").write_text(text)
         with pytest.raises(ValueError):

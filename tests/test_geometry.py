@@ -83,3 +83,37 @@ def test_scope_mask(spark):
     assert without == {"in", "edge"}
     kept = roads.highway_filter(spark.createDataFrame([("a", "primary"), ("b", "footway"), ("c", None), ("d", "service")], "seg_id string, highway string"), ["primary", "service"], ["service"])
     assert [r.seg_id for r in kept.collect()] == ["a"]
+
+
+def test_faces_of_lines():
+    """A square with a cross inside has four faces; loose ends and a line outside bound none."""
+    square = [(0, 0, 10, 0), (10, 0, 10, 10), (10, 10, 0, 10), (0, 10, 0, 0)]
+    cross = [(5, -2, 5, 12), (0, 5, 10, 5)]
+    faces = geometry.polygonize(np.array([*square, *cross, (20, 0, 30, 0)], float))
+    assert sorted(geometry._area(f) for f in faces) == [25.0] * 4
+    (one,) = geometry.polygonize(np.array(square, float))
+    assert geometry._area(one) == 100.0 and geometry.polygonize(np.array(square[:3], float)) == []
+    overlap = geometry.polygonize(np.array([*square, (2, 0, 7, 0)], float))
+    assert [geometry._area(f) for f in overlap] == [100.0]
+
+
+def test_boundary():
+    ring = np.array([(0, 0, 1000, 0), (1000, 0, 1000, 1000), (1000, 1000, 0, 1000), (0, 1000, 0, 0), (-500, 500, 1500, 500)], float)
+    assert geometry._area(geometry.boundary_polygon(ring, (500.0, 700.0), (-2000, -2000, 3000, 3000), 40.0)) == 500_000.0
+    opened = ring.copy()[:4]
+    opened[3] = (0, 1000, 0, 30)  # a gap that the corridor closes
+    inner = geometry.boundary_polygon(opened, (500.0, 700.0), (-2000, -2000, 3000, 3000), 40.0)
+    assert abs(geometry._area(inner) / 920**2 - 1) < 0.03
+    with pytest.raises(ValueError):
+        geometry.boundary_polygon(opened, (5000.0, 700.0), (-2000, -2000, 3000, 3000), 40.0)
+
+
+def test_smallest_polygon(spark):
+    r = np.random.default_rng(5)
+    rings = {i: [(float(x + w * math.cos(t)), float(y + w * math.sin(t))) for t in np.sort(r.uniform(0, 2 * math.pi, 7))] for i, (x, y, w) in enumerate(r.uniform(0, 400, (30, 3)))}
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(r.uniform(0, 400, (200, 2)))] + [(999, None, 1.0)]
+    polygons = spark.createDataFrame([*rings.items(), (77, [(0.0, 0.0)])], "poly_id long, ring array<struct<x:double,y:double>>").withColumn("cy", F.lit(1))
+    got = {p.point_id: p.poly_id for p in geometry.smallest_polygon(spark.createDataFrame(points, "point_id long, px double, py double"), polygons, 100.0).collect()}
+    for i, x, y in points:
+        own = [(geometry._area(np.array(ring)), k) for k, ring in rings.items() if x is not None and geometry._has(np.array(ring), x, y)]
+        assert got[i] == (min(own)[1] if own else None)

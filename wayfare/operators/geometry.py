@@ -259,3 +259,155 @@ def shapes(lines: DataFrame, radius: float = 50.0) -> DataFrame:
     return joined.select(
         "cluster_id", "area", "perimeter", (4 * math.pi * F.col("area") / F.greatest(F.pow("perimeter", F.lit(2.0)), F.lit(EPS))).alias("compactness"), (F.col("area") / F.greatest("hull_area", F.lit(EPS))).alias("hull_ratio"), "elongation", (F.col("perimeter") / F.greatest(root, F.lit(EPS))).alias("perimeter_to_root_area")
     )
+
+
+# --- polygons ------------------------------------------------------------------------------------------
+
+
+def ring_area(ring: str = "ring"):
+    """Area of a polygon column array<struct<x, y>>, closed or not."""
+    at = lambda i: F.get(F.col(ring), F.pmod(i, F.size(ring)))
+    turn = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: at(i)["x"] * at(i + 1)["y"] - at(i + 1)["x"] * at(i)["y"])
+    return F.abs(F.aggregate(turn, F.lit(0.0), lambda s, v: s + v)) / 2
+
+
+def inside(px: str, py: str, ring: str = "ring"):
+    """Whether a point is inside a polygon, by the number of edges to its right."""
+    at = lambda i: F.get(F.col(ring), F.pmod(i, F.size(ring)))
+    x, y = F.col(px), F.col(py)
+    crosses = F.transform(
+        F.sequence(F.lit(0), F.size(ring) - 1),
+        lambda i: F.when((at(i)["y"] > y) != (at(i + 1)["y"] > y), (x < at(i)["x"] + (y - at(i)["y"]) / (at(i + 1)["y"] - at(i)["y"]) * (at(i + 1)["x"] - at(i)["x"])).cast("int")).otherwise(0),
+    )
+    return F.aggregate(crosses, F.lit(0), lambda s, v: s + v) % 2 == 1
+
+
+def smallest_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(point_id, poly_id, area) of the smallest polygon with each point inside, ties by id, else null.
+
+    ``points``: (point_id, px, py); ``polygons``: (poly_id, ring). They meet by grid cells of side ``cell``.
+    """
+    span = lambda c: F.explode(F.sequence(F.floor(F.array_min(F.transform("ring", lambda p: p[c])) / cell), F.floor(F.array_max(F.transform("ring", lambda p: p[c])) / cell)))
+    placed = polygons.where(F.size("ring") > 2).select("poly_id", "ring", ring_area().alias("area"), span("x").alias("cx")).select("poly_id", "ring", "area", "cx", span("y").alias("cy"))
+    located = points.where("px is not null and py is not null").select("point_id", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
+    best = located.join(placed, ["cx", "cy"]).where(inside("px", "py")).groupBy("point_id").agg(F.min(F.struct("area", "poly_id")).alias("b"))
+    return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.poly_id", "b.area")
+
+
+def polygonize(lines: np.ndarray, digits: int = 6) -> list[np.ndarray]:
+    """The bounded faces that straight lines (x0, y0, x1, y1) make, as rings in order; lines are parted where they cross.
+
+    A kernel for one boundary's lines: crossings are looked for among all pairs, line by line.
+    """
+    cuts = []
+    for i, (x0, y0, x1, y1) in enumerate(lines):
+        dx, dy = x1 - x0, y1 - y0
+        ax, ay, bx, by = np.delete(lines, i, axis=0).T
+        ex, ey = bx - ax, by - ay
+        den = dx * ey - dy * ex
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = ((ax - x0) * ey - (ay - y0) * ex) / den, ((ax - x0) * dy - (ay - y0) * dx) / den
+            square = dx * dx + dy * dy
+            ends = [((x - x0) * dx + (y - y0) * dy) / square for x, y in ((ax, ay), (bx, by))]  # of lines on the same line
+            on = [np.abs((x - x0) * dy - (y - y0) * dx) <= 1e-9 * max(square, 1) for x, y in ((ax, ay), (bx, by))]
+        at = np.concatenate([t[(den != 0) & (t > 0) & (t < 1) & (u >= -1e-12) & (u <= 1 + 1e-12)], *(e[o & (e > 0) & (e < 1)] for e, o in zip(ends, on, strict=True)), [0.0, 1.0]])
+        at = np.unique(at)
+        cuts += list(zip(np.round(x0 + at[:-1] * dx, digits), np.round(y0 + at[:-1] * dy, digits), np.round(x0 + at[1:] * dx, digits), np.round(y0 + at[1:] * dy, digits), strict=True))
+    near: dict[tuple, set[tuple]] = {}
+    for x0, y0, x1, y1 in cuts:
+        if (x0, y0) != (x1, y1):
+            near.setdefault((x0, y0), set()).add((x1, y1))
+            near.setdefault((x1, y1), set()).add((x0, y0))
+    loose = [p for p, n in near.items() if len(n) == 1]
+    while loose:  # lines that end in nothing bound no face
+        p = loose.pop()
+        for q in near.pop(p, ()):
+            near[q].discard(p)
+            if len(near[q]) == 1:
+                loose.append(q)
+    around = {p: sorted(n, key=lambda q: math.atan2(q[1] - p[1], q[0] - p[0])) for p, n in near.items() if n}  # noqa: B023
+    left = {(p, q) for p, n in around.items() for q in n}
+    faces = []
+    while left:
+        p, q = min(left)
+        ring = []
+        while (p, q) in left:
+            left.discard((p, q))
+            ring.append(p)
+            p, q = q, around[q][around[q].index(p) - 1]  # the next line clockwise from where we came
+        face = np.array(ring)
+        if len(face) > 2 and (face[:, 0] * np.roll(face[:, 1], -1) - np.roll(face[:, 0], -1) * face[:, 1]).sum() > 0:
+            faces.append(face)
+    return faces
+
+
+def _area(ring: np.ndarray) -> float:
+    return abs(float((ring[:, 0] * np.roll(ring[:, 1], -1) - np.roll(ring[:, 0], -1) * ring[:, 1]).sum())) / 2
+
+
+def _has(ring: np.ndarray, x: float, y: float) -> bool:
+    a, b = ring, np.roll(ring, -1, axis=0)
+    crosses = (a[:, 1] > y) != (b[:, 1] > y)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return bool((crosses & (x < a[:, 0] + (y - a[:, 1]) / (b[:, 1] - a[:, 1]) * (b[:, 0] - a[:, 0]))).sum() % 2)
+
+
+def boundary_polygon(lines: np.ndarray, centre: tuple[float, float], box: tuple[float, float, float, float], corridor: float) -> np.ndarray:
+    """The smallest face of ring lines with the centre inside.
+
+    If the lines do not close, what of the box (x0, y0, x1, y1) is over ``corridor`` away from them and around the
+    centre, to a quarter of the corridor; without such a part that is an error.
+    """
+    found = [f for f in polygonize(lines) if _has(f, *centre)]
+    if found:
+        return min(found, key=_area)
+    step = corridor / 4
+    x0, y0, x1, y1 = box
+    nx, ny = max(1, int((x1 - x0) // step)), max(1, int((y1 - y0) // step))
+    x, y = x0 + (np.arange(nx) + 0.5) * step, (y0 + (np.arange(ny) + 0.5) * step)[:, None]
+    free = np.ones((ny, nx), dtype=bool)
+    for a, b, c, d in lines:
+        k = np.clip(((x - a) * (c - a) + (y - b) * (d - b)) / max((c - a) ** 2 + (d - b) ** 2, 1e-300), 0, 1)
+        free &= (x - a - k * (c - a)) ** 2 + (y - b - k * (d - b)) ** 2 > corridor**2
+    at = int((centre[1] - y0) // step), int((centre[0] - x0) // step)
+    if not (0 <= at[0] < ny and 0 <= at[1] < nx and free[at]):
+        raise ValueError("no part of the box holds the centre")
+    region, size = np.zeros_like(free), 0
+    region[at] = True
+    while int(region.sum()) != size:  # grow along rows and columns as far as it is free
+        size = int(region.sum())
+        for axis in (0, 1):
+            for turn in (slice(None), slice(None, None, -1)):
+                r, f = (np.swapaxes(z, 0, axis)[turn] for z in (region, free))
+                for i in range(1, len(r)):
+                    r[i] |= r[i - 1] & f[i]
+    padded = np.pad(region, 1)
+    sides = [(x0 + j * step, y0 + i * step, x0 + (j + 1) * step, y0 + i * step) for i, j in zip(*np.nonzero(padded[1:, 1:-1] != padded[:-1, 1:-1]), strict=True)]
+    sides += [(x0 + j * step, y0 + i * step, x0 + j * step, y0 + (i + 1) * step) for i, j in zip(*np.nonzero(padded[1:-1, 1:] != padded[1:-1, :-1]), strict=True)]
+    return _outer(sides, centre)
+
+
+def _outer(sides: list[tuple[float, float, float, float]], centre: tuple[float, float]) -> np.ndarray:
+    """The smallest ring around the centre among unit sides, which meet at their ends alone."""
+    near: dict[tuple, list[tuple]] = {}
+    for a, b, c, d in sides:
+        p, q = (round(a, 6), round(b, 6)), (round(c, 6), round(d, 6))
+        near.setdefault(p, []).append(q)
+        near.setdefault(q, []).append(p)
+    rings = []
+    while near:
+        start = min(near)
+        ring, p = [], start
+        while p in near:
+            q = near[p].pop(0)
+            near[q].remove(p)
+            for z in (p, q):
+                if z in near and not near[z]:
+                    del near[z]
+            ring.append(p)
+            p = q
+        rings.append(np.array(ring))
+    found = [r for r in rings if len(r) > 2 and _has(r, *centre)]
+    if not found:
+        raise ValueError("no part of the box holds the centre")
+    return min(found, key=_area)

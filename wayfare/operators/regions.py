@@ -110,17 +110,25 @@ def embedding_topk(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         q_ids = rows["vec_id"].to_numpy()
 
         def run(batches, q=q, q_ids=q_ids):
-            kept = [(np.zeros(0), np.zeros(0, np.int64))] * len(q_ids)
+            kept_s, kept_n = np.full((len(q_ids), k), -np.inf), np.zeros((len(q_ids), k), np.int64)
             for batch in batches:
                 v = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
                 v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 v_ids, score = batch.column("vec_id").to_numpy(), np.round(q @ v.T, 12)
-                for i, (s, n) in enumerate(kept):
-                    s, n = np.concatenate((s, score[i][v_ids != q_ids[i]])), np.concatenate((n, v_ids[v_ids != q_ids[i]]))
-                    best = np.lexsort((n, -s))[:k]
-                    kept[i] = s[best], n[best]
-            counts = [len(n) for _, n in kept]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, counts)), pa.array(np.concatenate([n for _, n in kept])), pa.array(np.concatenate([s for s, _ in kept]))], names=["query_id", "vec_id", "score"])
+                score[q_ids[:, None] == v_ids[None]] = -np.inf
+                # All scores from each query's k-th best on, so that ties can be told apart by id.
+                score = np.concatenate((kept_s, score), axis=1)
+                least = np.partition(score, -k, axis=1)[:, -k]
+                row, column = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+                s, n = score[row, column], np.where(column < k, kept_n[row, np.minimum(column, k - 1)], v_ids[np.maximum(column - k, 0)])
+                order = np.lexsort((n, -s, row))
+                row, s, n = row[order], s[order], n[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                best = rank < k
+                kept_s[:] = -np.inf
+                kept_s[row[best], rank[best]], kept_n[row[best], rank[best]] = s[best], n[best]
+            row, rank = np.nonzero(kept_s > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids[row]), pa.array(kept_n[row, rank]), pa.array(kept_s[row, rank])], names=["query_id", "vec_id", "score"])
 
         part = vectors.select("vec_id", "embedding").where("embedding is not null").mapInArrow(run, "query_id long, vec_id long, score double")
         out = part if out is None else out.union(part)

@@ -363,6 +363,11 @@ def inside_ratio(spark, d):
     return rounded(geometry.inside_ratio(src.polylines(spark, d), "seg_id", src.BOUNDARY))
 
 
+@query
+def smallest_polygon(spark, d):
+    return rounded(geometry.smallest_polygon(src.points(spark, d), src.polygons(spark, d), 200.0))
+
+
 @query
 def point_in_buffer(spark, d):
     return rounded(spatial.within_distance(src.points(spark, d), src.lines(spark, d), RADIUS))

@@ -101,6 +101,13 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("seg_id", F.array(at(0.0, 0.0), at(100.0, 50.0), at(160.0, -30.0)).alias("geom"))
 
 
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles of three sizes."""
+    wide = (F.col("seg_id") % 3 + 1) * 100.0
+    corner = lambda dx, dy: F.struct((F.col("x0") + dx).alias("x"), (F.col("y0") + dy).alias("y"))
+    return lines(spark, sf_dir).select(F.col("seg_id").alias("poly_id"), F.array(corner(F.lit(0.0), F.lit(0.0)), corner(wide, F.lit(0.0)), corner(wide, wide), corner(F.lit(0.0), wide)).alias("ring"))
+
+
 def grid_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One made-up run for each brand, size and setting, with its two parameters."""
     n = F.col("p_partkey")

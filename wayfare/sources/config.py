@@ -63,7 +63,15 @@ class Config:
 
     @property
     def scope(self) -> dict[str, Any]:
-        return self.scopes[self.active_scope]
+        """The active scope's values over those of the scope ``default``."""
+        return self.scopes.get("default", {}) | self.scopes[self.active_scope]
+
+    def path(self, name: str, root: str | Path = ".") -> str:
+        """A path that the scope names, below ``root`` unless it is absolute or a URI; a name it lacks is an error."""
+        if not self.scope.get(name):
+            raise ValueError(f"scope {self.active_scope} names no {name}")
+        value = str(self.scope[name])
+        return value if "://" in value or value.startswith("/") else f"{str(root).rstrip('/')}/{value}"
 
 
 def _section(kind: type, values: dict[str, Any]) -> Any:

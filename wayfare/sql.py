@@ -282,6 +282,8 @@ SELECT round(c2 - r_cap, 6) AS delta_r_cap, round(g2 - r_graph, 6) AS delta_r_gr
     "nearest_polyline": f"""WITH {SPATIAL}, lg AS (SELECT seg_id, x0, y0, 100.0 AS dx, 50.0 AS dy FROM ln0 UNION ALL SELECT seg_id, x0 + 100.0, y0 + 50.0, 60.0, -80.0 FROM ln0),
 c AS (SELECT point_id, seg_id, px, py, x0, y0, dx, dy, least(1.0, greatest(0.0, ((px - x0) * dx + (py - y0) * dy) / (dx * dx + dy * dy))) AS k FROM pt JOIN lg ON px BETWEEN x0 - {RADIUS} AND x0 + dx + {RADIUS} AND py BETWEEN least(y0, y0 + dy) - {RADIUS} AND greatest(y0, y0 + dy) + {RADIUS}),
 b AS (SELECT point_id, seg_id, sqrt(pow(px - (x0 + k * dx), 2) + pow(py - (y0 + k * dy), 2)) AS distance FROM c), r AS (SELECT point_id, first(seg_id ORDER BY distance, seg_id) AS seg_id, min(distance) AS distance FROM b WHERE distance <= {RADIUS} GROUP BY point_id) SELECT pt.point_id, r.seg_id, round(r.distance, 6) AS distance FROM pt LEFT JOIN r USING (point_id)""",
+    "smallest_polygon": f"""WITH {SPATIAL}, pg AS (SELECT seg_id AS poly_id, x0, y0, (seg_id % 3 + 1) * 100.0 AS w FROM ln0), b AS (SELECT point_id, first(poly_id ORDER BY w, poly_id) AS poly_id, min(w * w) AS area FROM pt JOIN pg ON px >= x0 AND px < x0 + w AND py >= y0 AND py < y0 + w GROUP BY point_id)
+SELECT pt.point_id, b.poly_id, round(CAST(b.area AS DOUBLE), 6) AS area FROM pt LEFT JOIN b USING (point_id)""",
     "polyline_centroids": f"WITH {SPATIAL}, l AS (SELECT sqrt(12500.0) AS a, 100.0 AS b) SELECT seg_id, round(((x0 + 50) * a + (x0 + 130) * b) / (a + b), 6) AS x, round(((y0 + 25) * a + (y0 + 10) * b) / (a + b), 6) AS y, round(a + b, 6) AS length FROM ln0, l",
     "inside_ratio": f"""WITH {SPATIAL}, lg AS (SELECT seg_id, x0, y0, 100.0 AS dx, 50.0 AS dy FROM ln0 UNION ALL SELECT seg_id, x0 + 100.0, y0 + 50.0, 60.0, -80.0 FROM ln0),
 c AS (SELECT seg_id, sqrt(dx * dx + dy * dy) AS n, greatest(0.0, -x0 / dx, least(-y0 / dy, (600 - y0) / dy)) AS low, least(1.0, (5000 - x0) / dx, greatest(-y0 / dy, (600 - y0) / dy)) AS high FROM lg)
