@@ -86,3 +86,17 @@ def test_odd_rows(spark, data, tmp_path, result):
             stage(spark, out, data).write.parquet(f"{tmp_path}/{n}-{k}")
             out = spark.read.parquet(f"{tmp_path}/{n}-{k}")
         assert out.count() == n and out.where(F.col("doc_id") != 7).count() == 0
+
+
+def test_stages_keep_columns_of_clashing_names(spark, data, result):
+    """Columns with the names that stages use inside come out as they went in, and change no decision."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").where("doc_id < 40")
+    extra = {c: F.lit(i) for i, c in enumerate(("key", "fp", "sig", "bands", "node", "head", "component", "component_id", "id", "doc", "size", "item_id", "score", "kept", "word", "ids"))}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = stage(spark, docs, data), stage(spark, docs.withColumns(extra), data)
+        assert wide.columns == [*docs.columns, *extra]
+        rows = wide.collect()
+        assert sorted((r.doc_id, r.text) for r in rows) == sorted((r.doc_id, r.text) for r in plain.collect())
+        assert all(tuple(r)[len(docs.columns) :] == tuple(range(len(extra))) for r in rows)
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs.withColumns(extra), data).columns == last(spark, docs, data).columns
