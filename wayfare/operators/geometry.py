@@ -265,9 +265,9 @@ def shapes(lines: DataFrame, radius: float = 50.0) -> DataFrame:
 
 
 def ring_area(ring: str = "ring"):
-    """Area of a polygon column array<struct<x, y>>, closed or not."""
-    at = lambda i: F.get(F.col(ring), F.pmod(i, F.size(ring)))
-    turn = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: at(i)["x"] * at(i + 1)["y"] - at(i + 1)["x"] * at(i)["y"])
+    """Area of a polygon column array<struct<x, y>>, closed or not; from its first corner, so that a far place costs no digits."""
+    at = lambda i, c: F.get(F.col(ring), F.pmod(i, F.size(ring)))[c] - F.get(F.col(ring), 0)[c]
+    turn = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: at(i, "x") * at(i + 1, "y") - at(i + 1, "x") * at(i, "y"))
     return F.abs(F.aggregate(turn, F.lit(0.0), lambda s, v: s + v)) / 2
 
 
@@ -286,11 +286,15 @@ def smallest_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> Dat
     """(point_id, poly_id, area) of the smallest polygon with each point inside, ties by id, else null.
 
     ``points``: (point_id, px, py); ``polygons``: (poly_id, ring). They meet by grid cells of side ``cell``.
+    Areas that agree to nine digits are equal: the rest of a computed area depends on where its polygon lies.
     """
-    span = lambda c: F.explode(F.sequence(F.floor(F.array_min(F.transform("ring", lambda p: p[c])) / cell), F.floor(F.array_max(F.transform("ring", lambda p: p[c])) / cell)))
-    placed = polygons.where(F.size("ring") > 2).select("poly_id", "ring", ring_area().alias("area"), span("x").alias("cx")).select("poly_id", "ring", "area", "cx", span("y").alias("cy"))
+    ends = {f"{c}{n}": f(f"ring.{c}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))}
+    span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell)))
+    sized = polygons.where(F.size("ring") > 2).select("poly_id", "ring", ring_area().alias("area")).withColumns({"size": F.format_string("%.8e", "area").try_cast("double"), **ends})
+    placed = sized.withColumn("cx", span("x")).withColumn("cy", span("y"))
     located = points.where("px is not null and py is not null").select("point_id", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
-    best = located.join(placed, ["cx", "cy"]).where(inside("px", "py")).groupBy("point_id").agg(F.min(F.struct("area", "poly_id")).alias("b"))
+    boxed = located.join(placed, ["cx", "cy"]).where("px >= x0 and px <= x1 and py >= y0 and py <= y1")
+    best = boxed.where(inside("px", "py")).groupBy("point_id").agg(F.min(F.struct("size", "poly_id", "area")).alias("b"))
     return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.poly_id", "b.area")
 
 
