@@ -129,3 +129,29 @@ def test_equal_areas_go_to_the_smaller_id(spark):
     points = [(i, 3025.0 + i, 3030.0) for i in range(30)]
     got = geometry.smallest_polygon(spark.createDataFrame(points, "point_id long, px double, py double"), spark.createDataFrame(rings, "poly_id long, ring array<struct<x:double,y:double>>"), 50.0).collect()
     assert {p.poly_id for p in got} == {0}
+
+
+def test_nearest_segment_against_brute_force(spark):
+    """Crowded and empty places, equal legs, points at one place, and a mirror pair whose tie must not fall to rounding."""
+    r = np.random.default_rng(9)
+    legs = [(i, float(x), float(y), float(x) + 100.0, float(y) + 50.0) for i, (x, y) in enumerate([*r.uniform(0, 60, (150, 2)), *r.uniform(800, 3000, (30, 2))])]
+    legs += [(500 + i, *leg[1:]) for i, leg in enumerate(legs[:50])]
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate([*r.uniform(-100, 200, (150, 2)), *r.uniform(600, 3200, (150, 2)), *[(50.0, 30.0)] * 40])] + [(999, None, 1.0), (999, 5.0, 5.0), (998, math.nan, 1.0)]
+    placed, lines = spark.createDataFrame(points, "point_id long, px double, py double"), spark.createDataFrame(legs, "seg_id long, x0 double, y0 double, x1 double, y1 double")
+    got = {}
+    for x in spatial.nearest_segment(placed, spatial.with_offsets(lines), 120.0).collect():
+        got.setdefault(x.point_id, set()).add((x.seg_id, x.distance))
+
+    def off(x, y, leg):
+        k = min(1.0, max(0.0, ((x - leg[1]) * 100.0 + (y - leg[2]) * 50.0) / 12500.0))
+        a, b = x - (leg[1] + k * 100.0), y - (leg[2] + k * 50.0)
+        return math.sqrt(a * a + b * b)
+
+    for i in {p[0] for p in points}:
+        own = [(d, leg[0]) for _, x, y in (p for p in points if p[0] == i) for leg in legs if x is not None and not math.isnan(x) and (d := off(x, y, leg)) <= 120.0]
+        assert got[i] == ({(min(own)[1], min(own)[0])} if own else {(None, None)}), i
+
+
+def test_offsets_are_free_of_their_place(spark):
+    lines = spark.createDataFrame([(i, x, 0.0, x + 100.0, 50.0) for i, x in enumerate((-737.13, 0.1, 4711.07, 9999.99))], "seg_id long, x0 double, y0 double, x1 double, y1 double")
+    assert {(x.dx, x.dy) for x in spatial.with_offsets(lines).collect()} == {(100.0, 50.0)}

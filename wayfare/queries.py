@@ -343,7 +343,7 @@ def embedding_cosine_topk(spark, d):
 
 @query
 def nearest_segment(spark, d):
-    return rounded(spatial.nearest_segment(src.points(spark, d), src.lines(spark, d), RADIUS))
+    return rounded(spatial.nearest_segment(src.points(spark, d), spatial.with_offsets(src.lines(spark, d)), RADIUS))
 
 
 @query
