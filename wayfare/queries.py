@@ -349,7 +349,7 @@ def nearest_segment(spark, d):
 @query
 def nearest_polyline(spark, d):
     legs = geometry.legs(src.polylines(spark, d)).select("seg_id", "x0", "y0", "x1", "y1")
-    return rounded(spatial.nearest_segment(src.points(spark, d), legs, RADIUS))
+    return rounded(spatial.nearest_segment(src.points(spark, d), spatial.with_offsets(legs), RADIUS))
 
 
 @query
