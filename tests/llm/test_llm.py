@@ -907,6 +907,52 @@ def test_training_goes_on_over_all_chunks(spark):
     assert (moved[0][0]["token_in"][40:] == 0).all()
 
 
+def test_network_learns_from_all_training_texts(spark):
+    """Each token of the training texts is a target once over the turns, and all neighbours count for the classes, however many windows a chunk has."""
+    r = np.random.default_rng(4)
+    said = [" ".join(f"w{i}" for i in r.integers(0, 300, r.integers(0, 60))) for _ in range(2500)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string").coalesce(1)
+    docs = frame.select("doc_id", "text", (F.col("doc_id") % 7 == 2).alias("held_out"))
+    chunks = docs.mapInArrow(language_model._make_chunks(SP), language_model.CHUNK_SCHEMA).cache()
+    vocabulary = language_model.Vocabulary(SP)
+    own = [[vocabulary.begin, *(p for w in t.split() for p in vocabulary.model.encode(w)), vocabulary.end] for i, t in enumerate(said) if i % 7 != 2]
+    seen, n = collections.Counter(), 0
+    for batch in chunks.toArrow().to_batches():
+        for turn in range(language_model.TURNS):
+            for ids, real in language_model.windows_in(batch, vocabulary.end, turn, language_model.TURNS):
+                seen.update(ids[:, 1:][real].tolist())
+                n += len(ids)
+    assert n > 2 * language_model.FIRST_WINDOWS
+    assert seen == collections.Counter(p for tokens in own for p in tokens[1:])
+    marks = np.full(vocabulary.size, -1)
+    marks[vocabulary.begin], marks[own[0][1]] = 0, 1
+    near = language_model.near_counts(chunks.repartition(2), marks, vocabulary.end)
+    want = collections.Counter((b, marks[a]) for tokens in own for a, b in zip(tokens, tokens[1:]) if marks[a] >= 0)
+    assert {(int(b), int(m)): int(near[0, b, m]) for b, m in zip(*np.nonzero(near[0]))} == want
+    chunks.unpersist()
+
+
+def test_neighbours_equal_a_plain_count():
+    r = np.random.default_rng(0)
+    sample, marks = r.integers(0, 300, (700, language_model.WINDOW + 1)), np.full(400, -1)
+    sample[:, :5] = 3  # more than a byte counts
+    real = np.arange(language_model.WINDOW) < r.integers(0, language_model.WINDOW + 1, (700, 1))
+    marks[::4] = np.arange(100)
+    marks[3] = 100
+    out, want = (np.zeros((3, 400, language_model.MARKS), np.uint32) for _ in range(2))
+    language_model.neighbours(sample, real, marks, out, 512)
+    for tokens, there in zip(sample.tolist(), real):
+        inside = {marks[t] for t, ok in zip(tokens[1:], there) if ok and marks[t] >= 0}
+        for a, b, ok in zip(tokens, tokens[1:], there):
+            if ok:
+                for part, (x, y) in enumerate(((b, a), (a, b))):
+                    if marks[y] >= 0:
+                        want[part, x, marks[y]] += 1
+                for m in inside:
+                    want[2, b, m] += 1
+    assert (out == want).all()
+
+
 def test_attention_is_causal_and_scores_each_token_once():
     r = np.random.default_rng(0)
     classes = np.where(np.arange(50) < 20, np.arange(50) % language_model.STARTS, language_model.STARTS + np.arange(50) % language_model.INSIDES)

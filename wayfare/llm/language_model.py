@@ -14,10 +14,10 @@ scored, so every token is scored once, and all but a text's first have at least
 ends with an end token, so scores are log10 probabilities of texts.
 
 Counts cover all training texts: each chunk of texts counts its distinct words, the counts are summed by word and
-joined back to the chunks, by a 64-bit hash of the word. Every chunk offers a share of its windows, so what the
-network learns from grows with the texts: classes come from the neighbours of subwords in all these windows, summed
-on the executors; first weights come from the windows of a few chunks, on the driver; then in ``TURNS`` turns the
-executors train on over the windows of all chunks, and the driver gets the mean of their weights. Sums are of whole
+joined back to the chunks, by a 64-bit hash of the word. The network learns from all training texts too: their tokens
+are cut into windows that meet but do not overlap. Classes come from the neighbours of subwords in all of these, summed
+on the executors; weights begin with some windows of a few chunks, on the driver; then in ``TURNS`` turns the executors
+train over all windows, each in one of the turns, and the driver gets the mean of their weights. Sums are of whole
 numbers, so they do not depend on the order in which tasks end.
 
 Null and empty texts have the end token alone. Rows with a null id are training texts (they leave no
@@ -30,12 +30,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wayfare.llm.words import Words, hashes_of, mixed, segment_sums, slices, spread, texts_of, words_of
+from wayfare.llm.words import Words, hashes_of, mixed, owners, segment_sums, slices, spread, texts_of, words_of
 from wayfare.plans.shared import scratch_path
 
 WINDOW, STRIDE = 32, 24
@@ -45,14 +47,16 @@ STARTS, INSIDES = 36, 28
 CLASSES = STARTS + INSIDES
 #: Common subwords that others are told apart by.
 MARKS = 128
-#: Windows that each chunk offers for training: one in so many, and so many at least where it has them.
-SAMPLE_SHARE, SAMPLE_WINDOWS = 200, 1024
+#: Windows that each chunk offers for the first weights.
+FIRST_WINDOWS = 1024
 CHUNK_BYTES = 8 << 20
 #: Bits of a chunk's number within its task, and of a word's within its chunk; both and the task make one number.
 CHUNK_BITS, WORD_BITS = 12, 26
-#: First weights: chunks they are fitted on, epochs and rate. Then turns over all chunks' windows, and their rate.
+#: First weights: chunks they are fitted on, epochs and rate. Then turns that share all windows, their rate and batch.
 FIRST_CHUNKS, EPOCHS, RATE = 16, 5, 0.02
-TURNS, TURN_RATE = 2, 0.004
+TURNS, TURN_RATE, TURN_BATCH = 2, 0.004, 128
+#: Chunks that one task learns from, about: what it gives is as large for one chunk as for many.
+TASK_CHUNKS = 16
 #: Subwords whose weights are one row in the sums of a turn, and parts of a weight's unit in whole numbers.
 ROWS, UNIT = 512, 1 << 20
 #: Added to each subword's count within its class.
@@ -60,6 +64,8 @@ SMOOTH = 0.05
 
 CHUNK_SCHEMA = """chunk long, ids binary, null_id binary, held_out binary, offsets binary, codes binary, piece_ends binary, pieces binary,
 hashes array<long>, counts array<long>, piece_ids array<int>, piece_counts array<long>, first_counts array<long>, n_train long, sample binary"""
+#: The columns that a chunk's texts are built from.
+CHUNK_TEXTS = ["held_out", "offsets", "codes", "piece_ends", "pieces"]
 
 
 @dataclass
@@ -79,16 +85,16 @@ class Vocabulary:
     def pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = self.model.encode(words, num_threads=1) if words else []
         ends = np.zeros(len(lists) + 1, dtype=np.int64)
-        np.cumsum([len(x) for x in lists], out=ends[1:])
-        return ends, np.fromiter((i for x in lists for i in x), dtype=np.int64, count=ends[-1])
+        np.cumsum(np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)), out=ends[1:])
+        return ends, np.fromiter(chain.from_iterable(lists), dtype=np.int64, count=ends[-1])
 
 
-def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def windows_of(offsets: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray]:
     """(text, first input) of each window, for texts of ``diff(offsets)`` inputs each (at least one)."""
     size = np.diff(offsets)
-    n = np.where(size <= WINDOW, 1, 1 + -(-(size - WINDOW) // STRIDE))
+    n = np.where(size <= WINDOW, 1, 1 + -(-(size - WINDOW) // stride))
     text = np.repeat(np.arange(len(size)), n)
-    return text, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * STRIDE
+    return text, (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * stride
 
 
 # --- network -------------------------------------------------------------------------------------------
@@ -114,68 +120,93 @@ class Attention:
             "out_b": np.zeros(n, f),
         }
         self.mask = np.tril(np.ones((WINDOW, WINDOW), f))
+        self.scales = np.repeat(np.array([1, scale, 1], f), WIDTH)
+        self.by_class = np.argsort(self.classes, kind="stable")
+        self.ranks = np.argsort(self.by_class, kind="stable").astype(np.uint16 if vocabulary <= 1 << 16 else np.int64)
+        self.sums = np.stack((np.ones(n, f), (np.arange(n) < STARTS).astype(f)), axis=1)
 
     def embedded(self) -> np.ndarray:
         return self.p["class_in"][self.classes] + self.p["token_in"]
 
+    def embedded_rows(self, ids: np.ndarray) -> np.ndarray:
+        return np.take(self.p["class_in"], self.classes[ids], axis=0) + np.take(self.p["token_in"], ids, axis=0)
+
     def forward(self, x: np.ndarray):
-        p = self.p
+        p, n = self.p, len(x)
         x = x + p["place"]
-        q, k, v = np.split(x @ p["qkv"], 3, axis=2)
-        e = q @ k.transpose(0, 2, 1)
-        e *= np.float32(1 / np.sqrt(WIDTH))
+        flat = x.reshape(-1, WIDTH)
+        # The keys' weights bear the attention's scale; a last 1 in each value sums the shares.
+        mix = p["qkv"] * self.scales
+        qk = (flat @ mix[:, : 2 * WIDTH]).reshape(n, WINDOW, 2 * WIDTH)
+        v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
+        v[..., :WIDTH] = (flat @ mix[:, 2 * WIDTH :]).reshape(x.shape)
+        e = qk[..., :WIDTH] @ qk[..., WIDTH:].transpose(0, 2, 1)
         np.clip(e, -40, 40, out=e)
         np.exp(e, out=e)
         e *= self.mask
-        e /= e.sum(axis=2, keepdims=True)
-        h = x + e @ v
-        inner = h @ p["up"] + p["up_b"]
+        mean = e @ v
+        total = mean[..., WIDTH:].copy()
+        mean = mean[..., :WIDTH] / total
+        # Their last columns are 1, for the biases.
+        h, top = np.ones((2, len(flat), WIDTH + 1), np.float32)
+        np.add(flat, mean.reshape(-1, WIDTH), out=h[:, :WIDTH])
+        inner = h @ np.vstack((p["up"], p["up_b"]))
         np.maximum(inner, 0, out=inner)
-        top = h + inner @ p["down"]
-        return top, (x, q, k, v, e, h, inner)
+        np.add(h[:, :WIDTH], inner @ p["down"], out=top[:, :WIDTH])
+        return top, (flat, mix, qk, v, e, total, mean, h, inner)
 
     def class_scores(self, ids: np.ndarray, target: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the probability of each target's class and of a word's beginning; (windows, WINDOW)."""
-        top, _ = self.forward(table[ids])
-        logits = top.reshape(-1, WIDTH) @ self.p["out"] + self.p["out_b"]
-        at = logits[np.arange(len(logits)), self.classes[target.reshape(-1)]]
+        top, _ = self.forward(np.take(table, ids, axis=0))
+        logits = top @ np.vstack((self.p["out"], self.p["out_b"]))
         np.clip(logits, -40, 40, out=logits)
+        at = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + self.classes[target.reshape(-1)]]
         np.exp(logits, out=logits)
-        total = np.log(logits.sum(axis=1))
-        begins = np.log(logits[:, :STARTS].sum(axis=1)) - total
-        return (np.clip(at, -40, 40) - total).reshape(target.shape), begins.reshape(target.shape)
+        both = np.log(logits @ self.sums)
+        return (at - both[:, 0]).reshape(target.shape), (both[:, 1] - both[:, 0]).reshape(target.shape)
 
     def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients and the loss; that of ``token_in`` has the rows of the subwords in ``used`` alone."""
         p, grad = self.p, {}
-        top, (x, q, k, v, e, h, inner) = self.forward(self.embedded()[ids])
-        logits = top @ p["out"] + p["out_b"]
-        logits -= logits.max(axis=2, keepdims=True)
-        share = np.exp(logits)
-        share /= share.sum(axis=2, keepdims=True)
-        goal = self.classes[target][..., None]
-        loss = -float((np.log(np.take_along_axis(share, goal, 2)[..., 0] + 1e-9) * weight).sum() / weight.sum())
-        np.put_along_axis(share, goal, np.take_along_axis(share, goal, 2) - 1, 2)
-        share *= (weight / weight.sum())[..., None]
-        grad["out"] = np.tensordot(top, share, axes=([0, 1], [0, 1]))
-        grad["out_b"] = share.sum(axis=(0, 1))
-        dtop = share @ p["out"].T
-        dinner = (dtop @ p["down"].T) * (inner > 0)
-        grad["down"] = np.tensordot(inner, dtop, axes=([0, 1], [0, 1]))
-        grad["up"] = np.tensordot(h, dinner, axes=([0, 1], [0, 1]))
-        grad["up_b"] = dinner.sum(axis=(0, 1))
-        dh = dtop + dinner @ p["up"].T
-        dv = e.transpose(0, 2, 1) @ dh
-        de = dh @ v.transpose(0, 2, 1)
-        de = e * (de - (de * e).sum(axis=2, keepdims=True)) * np.float32(1 / np.sqrt(WIDTH))
-        dqkv = np.concatenate((de @ k, de.transpose(0, 2, 1) @ q, dv), axis=2)
-        grad["qkv"] = np.tensordot(x, dqkv, axes=([0, 1], [0, 1]))
-        dx = dh + dqkv @ p["qkv"].T
-        grad["place"] = dx.sum(axis=0)
-        flat, rows = dx.reshape(-1, WIDTH), ids.reshape(-1)
-        grad["token_in"] = np.zeros_like(p["token_in"])
-        np.add.at(grad["token_in"], rows, flat)
-        grad["class_in"] = np.zeros_like(p["class_in"])
-        np.add.at(grad["class_in"], self.classes[rows], flat)
+        top, (flat, mix, qk, v, e, total, mean, h, inner) = self.forward(self.embedded_rows(ids))
+        share = top @ np.vstack((p["out"], p["out_b"]))
+        np.clip(share, -40, 40, out=share)
+        np.exp(share, out=share)
+        whole, part = share @ self.sums[:, :1], (weight / weight.sum()).reshape(-1)
+        goal = np.arange(0, share.size, CLASSES) + self.classes[target.reshape(-1)]
+        loss = -float((np.log(share.reshape(-1)[goal] / whole[:, 0] + 1e-9) * part).sum())
+        share *= part[:, None] / whole
+        share.reshape(-1)[goal] -= part
+        both = top.T @ share
+        grad["out"], grad["out_b"] = both[:WIDTH], both[WIDTH]
+        dh = share @ p["out"].T
+        dinner = dh @ p["down"].T
+        dinner *= inner > 0
+        both = h.T @ dinner
+        grad["down"], grad["up"], grad["up_b"] = inner.T @ dh, both[:WIDTH], both[WIDTH]
+        dh += dinner @ p["up"].T
+        # Of a position's mean; the last column takes the shares' own mean off, as the values' last is 1.
+        dmean = np.empty(v.shape, np.float32)
+        dmean[..., :WIDTH] = dh.reshape(mean.shape) / total
+        dmean[..., WIDTH] = -np.einsum("ijk,ijk->ij", dmean[..., :WIDTH], mean)
+        de = dmean @ v.transpose(0, 2, 1)
+        de *= e
+        dmix = np.concatenate((de @ qk[..., WIDTH:], de.transpose(0, 2, 1) @ qk[..., :WIDTH], e.transpose(0, 2, 1) @ dmean[..., :WIDTH]), axis=2).reshape(-1, 3 * WIDTH)
+        grad["qkv"] = (flat.T @ dmix) * self.scales
+        dx = dmix @ mix.T
+        dx += dh
+        grad["place"] = dx.reshape(mean.shape).sum(axis=0)
+        # Sums of the runs of equal subwords, and of equal classes, in the order of classes.
+        ranks = self.ranks[ids.reshape(-1)]
+        order = np.argsort(ranks, kind="stable")
+        ranks = ranks[order]
+        total = np.zeros((len(dx) + 1, WIDTH))
+        np.cumsum(np.take(dx, order, axis=0), axis=0, dtype=np.float64, out=total[1:])
+        run = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
+        self.used = self.by_class[ranks[run]]
+        grad["token_in"] = np.diff(total[np.append(run, len(dx))], axis=0).astype(np.float32)
+        ends = np.searchsorted(self.classes[self.used], np.arange(CLASSES + 1))
+        grad["class_in"] = np.diff(total[np.append(run, len(dx))[ends]], axis=0).astype(np.float32)
         return grad, loss
 
     def begin(self) -> None:
@@ -188,9 +219,12 @@ class Attention:
             self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
         self.steps += 1
         for k, g in grad.items():
-            self.first[k] += 0.1 * (g - self.first[k])
-            self.second[k] += 0.02 * (g * g - self.second[k])
-            self.p[k] -= (rate * (self.first[k] / (1 - 0.9**self.steps)) / (np.sqrt(self.second[k] / (1 - 0.98**self.steps)) + 1e-8)).astype(np.float32)
+            at = self.used if k == "token_in" else slice(None)  # other subwords' rows stay as they are
+            first, second = self.first[k][at], self.second[k][at]
+            first += np.float32(0.1) * (g - first)
+            second += np.float32(0.02) * (g * g - second)
+            self.p[k][at] -= np.float32(rate / (1 - 0.9**self.steps)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.98**self.steps))) + np.float32(1e-8))
+            self.first[k][at], self.second[k][at] = first, second
         return loss
 
     def fit(self, sample: np.ndarray, real: np.ndarray, epochs: int = EPOCHS, batch: int = 64) -> list[float]:
@@ -213,44 +247,50 @@ def sample_of(data: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(sample == 0xFFFF, end, sample), real
 
 
-def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (part, subword, mark) and their counts. ``marks``: for each subword its number among the common ones, or -1.
+def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray, out: np.ndarray, block: int = 4096) -> None:
+    """Add to ``out`` (part, subword, mark) what stands near. ``marks``: for each subword its number among the common ones, or -1.
 
     Parts: the mark stands right before the subword, right after it, or anywhere in its window, which tells languages apart.
     """
-    n, left, right = len(marks), sample[:, :-1][real], sample[:, 1:][real]
-    keys = []
-    for part, (a, b) in enumerate(((right, left), (left, right))):
-        good = marks[b] >= 0
-        keys.append((part * n + a[good]) * MARKS + marks[b[good]])
-    inside = sample[:, 1:]
-    has = np.zeros((len(sample), MARKS), dtype=bool)
-    row, column = np.nonzero(real & (marks[inside] >= 0))
-    has[row, marks[inside[row, column]]] = True
-    row, column = np.nonzero(real)
-    each, mark = np.nonzero(has[row])
-    keys.append((2 * n + inside[row, column][each]) * MARKS + mark)
-    return np.unique(np.concatenate(keys), return_counts=True)
-
-
-def subword_classes(count: np.ndarray, keys: np.ndarray, n: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    for at in range(0, len(sample), block):
+        windows, there = sample[at : at + block], real[at : at + block]
+        left, right = windows[:, :-1][there], windows[:, 1:][there]
+        for part, (a, b) in enumerate(((right, left), (left, right))):
+            mark = marks[b]
+            good = mark >= 0
+            np.add.at(out[part], (a[good], mark[good]), 1)
+        mark = marks[windows[:, 1:]]
+        has = np.zeros((len(windows), MARKS), dtype=np.uint8)
+        row, column = np.nonzero(there & (mark >= 0))
+        has[row, mark[row, column]] = 1
+        # Each of a window's subwords meets each of its marks: sums over runs of equal subwords, eight counts of a byte
+        # to a number. Runs are cut at 255, and differences of the running sums are right even where these wrap.
+        order = np.argsort(right.astype(np.uint16 if len(marks) <= 1 << 16 else np.int64), kind="stable")
+        owner, subword = np.repeat(np.arange(len(windows)), there.sum(axis=1))[order], right[order]
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), subword[1:] != subword[:-1])))
+        run = np.flatnonzero((np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))) % 255 == 0)
+        total = np.zeros((len(order) + 1, MARKS // 8), np.uint64)
+        np.cumsum(np.take(has.view(np.uint64), owner, axis=0), axis=0, out=total[1:])
+        np.add.at(out[2], subword[run], np.diff(total[np.append(run, len(order))], axis=0).view(np.uint8).reshape(-1, MARKS))
+
+
+def subword_classes(count: np.ndarray, near: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     """A class for each subword: 0 to STARTS - 1 for those that begin a word, the last of these for the end token.
 
-    ``count``: of each subword in the training texts; ``keys`` and ``n``: the sums of :func:`neighbours`.
+    ``count``: of each subword in the training texts; ``near``: the sums of :func:`neighbours`.
     """
-    out = np.where(starts, _clusters(count, keys, n, starts, end, STARTS - 1), STARTS + _clusters(count, keys, n, ~starts, end, INSIDES))
+    out = np.where(starts, _clusters(count, near, starts, end, STARTS - 1), STARTS + _clusters(count, near, ~starts, end, INSIDES))
     out[end] = STARTS - 1
     return out
 
 
-def _clusters(count: np.ndarray, keys: np.ndarray, n_keys: np.ndarray, mine: np.ndarray, end: int, n: int, rounds: int = 12) -> np.ndarray:
+def _clusters(count: np.ndarray, near: np.ndarray, mine: np.ndarray, end: int, n: int, rounds: int = 12) -> np.ndarray:
     """Clusters 0 to n - 1 of the subwords in ``mine``, by what stands near them (k-means).
 
     The commonest subwords have clusters of their own; those without neighbours share the last one.
     """
     vocabulary = len(mine)
-    part, subword, mark = keys // MARKS // vocabulary, keys // MARKS % vocabulary, keys % MARKS
-    met = np.bincount(subword, minlength=vocabulary) > 0
+    met = near.any(axis=(0, 2))
     out = np.full(vocabulary, n - 1, dtype=np.int64)
     ranked = [t for t in np.argsort(-count, kind="stable") if count[t] > 1 and t != end and mine[t] and met[t]]
     alone, others = ranked[: n // 4], np.array(ranked[n // 4 :], dtype=np.int64)
@@ -259,30 +299,29 @@ def _clusters(count: np.ndarray, keys: np.ndarray, n_keys: np.ndarray, mine: np.
     if len(others) <= free:
         out[others] = len(alone) + np.arange(len(others))
         return out
-    slot = np.full(vocabulary, -1)
-    slot[others] = np.arange(len(others))
-    good = slot[subword] >= 0
-    feature = np.zeros((len(others), 3, MARKS), np.float32)
-    feature[slot[subword[good]], part[good], mark[good]] = n_keys[good]
-    feature = np.sqrt(feature / np.maximum(feature.sum(axis=2, keepdims=True), 1))
+    feature = np.empty((len(others), 3, MARKS), np.float32)
+    for part in range(3):
+        feature[:, part] = near[part, others]
+    feature /= np.maximum(feature.sum(axis=2, keepdims=True), 1)
+    np.sqrt(feature, out=feature)
     feature[:, 2] *= 2
     feature = feature.reshape(len(others), -1)
     weight = np.sqrt(count[others]).astype(np.float32)
     center = feature[:free].copy()
     for _ in range(rounds):
-        near = np.argmax(feature @ center.T * 2 - (center**2).sum(axis=1), axis=1)
+        own = np.argmax(feature @ center.T * 2 - (center**2).sum(axis=1), axis=1)
         for c in range(free):
-            close = near == c
+            close = own == c
             if close.any():
                 center[c] = np.average(feature[close], axis=0, weights=weight[close])
-    out[others] = len(alone) + near
+    out[others] = len(alone) + own
     return out
 
 
 # --- chunks --------------------------------------------------------------------------------------------
 
 
-def _inputs(words: Words, piece_ends: np.ndarray, pieces: np.ndarray, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def _inputs(words: Words, piece_ends: np.ndarray, pieces: np.ndarray, vocabulary: Vocabulary | _Ends) -> tuple[np.ndarray, np.ndarray]:
     """Each text as begin, subwords, end; and the offsets of the texts."""
     flat, ends = spread(piece_ends, pieces, words.codes, words.offsets)
     n = len(ends) - 1
@@ -319,6 +358,19 @@ def _from_planes(data: bytes, n: int) -> np.ndarray:
     return out
 
 
+@dataclass
+class _Ends:
+    begin: int
+    end: int
+
+
+def _chunk_words(row: dict) -> tuple[Words, np.ndarray, np.ndarray]:
+    """A chunk's words, their dictionary empty, and the subwords of each distinct one."""
+    piece_ends, pieces = np.frombuffer(row["piece_ends"], "<u4").astype(np.int64), np.frombuffer(row["pieces"], "<u2").astype(np.int64)
+    offsets = np.frombuffer(row["offsets"], "<i8")
+    return Words(_from_planes(row["codes"], int(offsets[-1])), offsets, pa.nulls(len(piece_ends) - 1)), piece_ends, pieces
+
+
 def _make_chunks(model_file: str):
     tool: list[Vocabulary] = []
 
@@ -338,14 +390,16 @@ def _make_chunks(model_file: str):
             each = np.bincount(pieces, weights=np.repeat(counts, np.diff(piece_ends)), minlength=vocabulary.size).astype(np.int64)
             first = np.bincount(pieces[piece_ends[:-1]], weights=counts, minlength=vocabulary.size).astype(np.int64) if len(pieces) else np.zeros(vocabulary.size, np.int64)
             used = np.flatnonzero(each + first)
-            tokens, offsets = _inputs(words, piece_ends, pieces, vocabulary)
-            text, start = windows_of(offsets - np.arange(len(offsets)))
+            sizes = words.per_text(np.diff(piece_ends)) + 1
+            text, start = windows_of(np.append(0, np.cumsum(sizes)), WINDOW)
             own = np.flatnonzero(train[text])
             # By what the text is and where the window begins, not by where the text stands.
             name = mixed(words.per_text(hashes.view(np.int64)).view(np.uint64))
             chosen = np.argsort(mixed(name[text[own]] + start[own].astype(np.uint64)), kind="stable")
-            own = own[chosen[: max(SAMPLE_WINDOWS, len(own) // SAMPLE_SHARE)]]
-            ids, real = _cut_windows(tokens, offsets, text[own], start[own])
+            own = own[chosen[:FIRST_WINDOWS]]
+            some, place = np.unique(text[own], return_inverse=True)
+            few = Words(words.codes[np.isin(owners(words.offsets), some)], np.append(0, np.cumsum(words.counts[some])), words.dictionary)
+            ids, real = _cut_windows(*_inputs(few, piece_ends, pieces, vocabulary), place, start[own])
             sample = np.where(np.concatenate((np.ones((len(own), 1), bool), real), axis=1), ids, 0xFFFF).astype("<u2")
             keys = batch.column("doc_id").cast(pa.int64())
             cells = [
@@ -373,14 +427,13 @@ class Scorer:
     n_end: int
     known: float
 
-    def texts(self, words: Words, piece_ends: np.ndarray, pieces: np.ndarray, count: np.ndarray, begin: int, end: int, block: int = 512):
+    def texts(self, words: Words, piece_ends: np.ndarray, pieces: np.ndarray, count: np.ndarray, begin: int, end: int, block: int = 64):
         """(n_tokens, n_known, base, score) of each text; ``count``: of each distinct word in training texts."""
         n_texts = len(words.offsets) - 1
         log = np.log10((count + 1) / (self.n + self.v + 1))
         base = words.per_text(log) + np.log10((self.n_end + 1) / (self.n + self.v + 1))
         known = words.per_text((count > 0).astype(np.int64)) + (self.n_end > 0)
-        holder = type("Ends", (), {"begin": begin, "end": end})
-        tokens, offsets = _inputs(words, piece_ends, pieces, holder)
+        tokens, offsets = _inputs(words, piece_ends, pieces, _Ends(begin, end))
         text, start = windows_of(offsets - np.arange(n_texts + 1))
         table = self.network.embedded()
         place, begins = np.zeros(len(tokens), np.float32), np.zeros(len(tokens), np.float32)
@@ -411,19 +464,76 @@ class Scorer:
         return words.counts + 1, known, base, score
 
 
+def samples_in(batch: pa.RecordBatch, end: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for data in batch.column("sample").to_pylist():
+        yield sample_of(data, end)
+
+
+def windows_in(batch: pa.RecordBatch, end: int, turn: int = 0, turns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All training windows of each chunk, in parts and in a mixed order: each target is in one. Of ``turns`` equal parts the one numbered ``turn``."""
+    for row in batch.select(CHUNK_TEXTS).to_pylist():
+        words, piece_ends, pieces = _chunk_words(row)
+        train = np.flatnonzero(~np.frombuffer(row["held_out"], bool))
+        tokens, offsets = _inputs(words, piece_ends, pieces, _Ends(end - 1, end))
+        size = np.diff(offsets)[train]
+        text, start = windows_of(np.append(0, np.cumsum(size - 1)), WINDOW)
+        order = np.random.default_rng(len(tokens)).permutation(len(text))[turn::turns]
+        for at in range(0, len(order), 8192):
+            some = order[at : at + 8192]
+            yield _cut_windows(tokens, offsets, train[text[some]], start[some])
+
+
 def _count_neighbours(marks: np.ndarray, end: int):
-    """Arrow function over (sample): (key, n), summed over some chunks."""
+    """Arrow function over chunks: (block, near), a task's sums for each block of subwords."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, len(marks), MARKS), np.uint32)
+        for batch in batches:
+            for sample, real in windows_in(batch, end):
+                neighbours(sample, real, marks, total)
+        for block, at in enumerate(range(0, len(marks), ROWS)):
+            some = np.ascontiguousarray(total[:, at : at + ROWS])
+            if some.any():
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(some.astype("<u8"))], pa.binary())], names=["block", "near"])
+
+    return run
+
+
+def _packed(values: np.ndarray) -> bytes:
+    return pa.compress(values.view(np.uint8).reshape(-1, 8).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, 8 * n, codec="zstd"), np.uint8).reshape(8, n).T).view("<u8").reshape(-1)
+
+
+def _sum_neighbours(size: int):
+    """Arrow function: (block, near), the sums of whole blocks, held one array for each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for data in batch.column("sample").to_pylist():
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, neighbours(*sample_of(data, end), marks))), names=["key", "n"])
+            for block, near in zip(batch.column("block").to_pylist(), batch.column("near").to_pylist(), strict=True):
+                values = _unpacked(near, 3 * min(ROWS, size - block * ROWS) * MARKS)
+                total[block] = total[block] + values if block in total else values
+        for block, values in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([_packed(values)], pa.binary())], names=["block", "near"])
 
     return run
 
 
-def _train_on(network: Attention, end: int, rate: float, batch_size: int = 64):
-    """Arrow function over (sample): a task's training from ``network`` on its chunks.
+def near_counts(chunks: DataFrame, marks: np.ndarray, end: int) -> np.ndarray:
+    """The sums of :func:`neighbours` over all training windows; their size depends on the vocabulary alone."""
+    summed = chunks.mapInArrow(_count_neighbours(marks, end), "block int, near binary").repartition("block").mapInArrow(_sum_neighbours(len(marks)), "block int, near binary")
+    out = np.zeros((3, len(marks), MARKS), np.float32)
+    for r in summed.collect():
+        some = out[:, r.block * ROWS : (r.block + 1) * ROWS]
+        some[:] = _unpacked(r.near, some.size).reshape(some.shape)
+    return out
+
+
+def _train_on(network: Attention, end: int, rate: float, read):
+    """Arrow function: a task's training from ``network`` on the windows that ``read`` finds in its rows.
 
     Gives (block, weight, rows, change): the windows it saw, and how many ``1 / UNIT`` the weights of some subwords
     have changed; block -1 has all other weights.
@@ -434,10 +544,9 @@ def _train_on(network: Attention, end: int, rate: float, batch_size: int = 64):
         network.begin()
         weight = 0
         for batch in batches:
-            for data in batch.column("sample").to_pylist():
-                sample, real = sample_of(data, end)
-                for at in range(0, len(sample), batch_size):
-                    network.step(sample[at : at + batch_size], real[at : at + batch_size], rate)
+            for sample, real in read(batch, end):
+                for at in range(0, len(sample), TURN_BATCH):
+                    network.step(sample[at : at + TURN_BATCH], real[at : at + TURN_BATCH], rate)
                 weight += len(sample)
         if not weight:
             return
@@ -466,9 +575,9 @@ def _sum_changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x[0] for x in total.values()], pa.int64()), pa.array([x[1].astype("<i8").tobytes() for x in total.values()], pa.binary())], names=["block", "weight", "change"])
 
 
-def train_on_all(network: Attention, samples: DataFrame, end: int, rate: float) -> None:
+def train_on_all(network: Attention, samples: DataFrame, end: int, rate: float, read=samples_in) -> None:
     """One turn: tasks train from ``network`` on their own windows, and it moves by the mean of their changes, weighted by windows."""
-    changes = samples.mapInArrow(_train_on(network, end, rate), "block int, weight long, rows binary, change binary")
+    changes = samples.mapInArrow(_train_on(network, end, rate, read), "block int, weight long, rows binary, change binary")
     summed = changes.repartition("block").mapInArrow(_sum_changes, "block int, weight long, change binary").collect()
     weight = max((r.weight for r in summed if r.block < 0), default=0)
     for r in summed:
@@ -490,26 +599,26 @@ def build_scorer(chunks: DataFrame, stats: tuple[int, int, int], model_file: str
     vocabulary = Vocabulary(model_file)
     end = vocabulary.end
     n_words, n_distinct, n_once = stats
-    n_train = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)).alias("n")).first()[0]
+    n_train, n_chunks = chunks.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.count("*")).first()
     zipped = chunks.select(F.explode(F.arrays_zip("piece_ids", "piece_counts", "first_counts")).alias("x")).select("x.*")
     sums = zipped.groupBy("piece_ids").agg(F.sum("piece_counts").alias("n"), F.sum("first_counts").alias("first")).toPandas()
     each, first = np.zeros(vocabulary.size), np.zeros(vocabulary.size)
     each[sums["piece_ids"]], first[sums["piece_ids"]] = sums["n"], sums["first"]
     each[end] = n_train
-    samples = chunks.where("n_train > 0").select("sample")
+    cores = chunks.sparkSession.sparkContext.defaultParallelism
+    texts = chunks.where("n_train > 0").select(*CHUNK_TEXTS).coalesce(cores * -(-max(1, n_chunks) // (cores * TASK_CHUNKS)))
     marks, common = np.full(vocabulary.size, -1), each.copy()
     common[vocabulary.begin] = n_train
     marks[np.argsort(-common, kind="stable")[:MARKS]] = np.arange(min(MARKS, vocabulary.size))
-    near = samples.mapInArrow(_count_neighbours(marks, end), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas().sort_values("key")
-    classes = subword_classes(each, near["key"].to_numpy(np.int64), near["n"].to_numpy(np.int64), vocabulary.starts, end)
+    classes = subword_classes(each, near_counts(texts, marks, end), vocabulary.starts, end)
     network = Attention(vocabulary.size, classes)
-    rows = chunks.where("n_train > 0").orderBy(F.xxhash64("sample"), "chunk").limit(FIRST_CHUNKS).select(F.substring("sample", 1, SAMPLE_WINDOWS * (WINDOW + 1) * 2).alias("sample")).collect()
+    rows = chunks.where("n_train > 0").orderBy(F.xxhash64("sample"), "chunk").limit(FIRST_CHUNKS).select("sample").collect()
     if rows:
         some = [sample_of(r.sample, end) for r in rows]
         network.fit(np.concatenate([x for x, _ in some]), np.concatenate([x for _, x in some]))
         for turn in range(TURNS):
             network.begin()
-            train_on_all(network, samples, end, TURN_RATE / (turn + 1))
+            train_on_all(network, texts, end, TURN_RATE / (turn + 1), partial(windows_in, turn=turn, turns=TURNS))
     in_class = np.bincount(classes, weights=each + SMOOTH, minlength=CLASSES)
     log_in_class = np.log(each + SMOOTH) - np.log(in_class[classes])
     log_in_class[end] = 0.0
@@ -525,9 +634,7 @@ def _score_chunk(scorer: Scorer):
         parts = []
         for row in left.to_pylist():
             ids, held_out = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held_out"], bool)
-            piece_ends, pieces = np.frombuffer(row["piece_ends"], "<u4").astype(np.int64), np.frombuffer(row["pieces"], "<u2").astype(np.int64)
-            offsets = np.frombuffer(row["offsets"], "<i8")
-            words = Words(_from_planes(row["codes"], int(offsets[-1])), offsets, pa.nulls(len(piece_ends) - 1))
+            words, piece_ends, pieces = _chunk_words(row)
             count = np.zeros(len(piece_ends) - 1, dtype=np.int64)
             count[right["at"].to_numpy()] = right["c"].to_numpy()
             size = len(scorer.log_in_class)

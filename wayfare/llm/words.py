@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -100,5 +101,4 @@ def hashes_of(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     """XXH64 of each string's UTF-8 bytes, unsigned."""
     import xxhash
 
-    one = xxhash.xxh64_intdigest
-    return np.fromiter((one(w, seed) for w in dictionary.to_pylist()), dtype=np.uint64, count=len(dictionary))
+    return np.fromiter(map(xxhash.xxh64_intdigest, dictionary.cast(pa.binary()).to_pylist(), repeat(seed)), dtype=np.uint64, count=len(dictionary))
