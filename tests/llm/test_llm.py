@@ -114,6 +114,26 @@ def test_bpe_equals_the_public_library(docs, odd, none):
     assert [len(r.ids) for r in bpe.bpe_encode(odd.where("doc_id = 3"), RANKS, P.PATTERN).collect()] == [0]
 
 
+def test_bpe_states_are_open_positions_alone(monkeypatch):
+    """A state holds one token for each open position, not all those that led to it, and a long piece's tokens are emitted on the way."""
+    codec = bpe.Codec(RANKS, P.PATTERN)
+    machine, r = codec.machine, np.random.default_rng(2)
+    long = "".join(r.choice(list("abcdefgh aeiouäßя"), 5000))
+    whole = machine.encode(long.encode())
+    assert b"".join(map(codec.token_bytes.__getitem__, whole)) == long.encode() and whole[:40] == bpe.merge(b"".join(map(codec.token_bytes.__getitem__, whole[:40])), codec.ranks)[0]
+    assert all(isinstance(entry, int) for config in machine.configs for entry in config)
+    out, held, most, state = [], [], 0, machine.start
+    for byte in long.encode():
+        state = machine.feed(state, bytes((byte,)), held)
+        machine.settle(state, held, out)
+        most = max(most, len(held))
+    machine.finish(held, out)
+    assert out == whole and most < 200
+    for size in (1, 7, 64):
+        monkeypatch.setattr(bpe, "HELD_BYTES", size)
+        assert machine.encode(long.encode()) == whole
+
+
 def test_bpe_streams():
     codec = bpe.Codec(RANKS, P.PATTERN)
     text = "naïve 中文 \U0001f600 end"

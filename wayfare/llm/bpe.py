@@ -3,9 +3,10 @@
 Encoding. The merges of a rank file define one token sequence for each byte string, and a sequence is that
 one exactly when each neighbouring pair is stable: merging the pair's joined bytes gives the pair back. So
 the last token of each prefix follows from the last tokens of shorter prefixes. The transducer reads a byte
-at a time; its state is what still matters: the last emitted token, the bytes not yet covered by emitted
-tokens, and for each position from which a token may still start, the tokens that lead to it. When all those
-lists begin with the same tokens, these are emitted, so lookahead is bounded by the longest token. States
+at a time and gives the last token of the prefix that ends there; its state is what still matters: for each
+position from which a token may still start, the bytes read since and the last token before it. The tokens
+are those met on the way back from the end, each ending where the next one starts. In a long piece the ways
+back from all open positions are compared now and then, and the tokens that they share are emitted. States
 and transitions are made when first met and then only looked up.
 
 Decoding feeds token bytes through a finite-state machine for UTF-8 that holds an incomplete character back
@@ -34,6 +35,8 @@ MAX_STATES, MAX_MEMO = 200_000, 500_000
 MEMO_CHARS = 16
 #: Bytes of text whose ids are held at once.
 SLICE_BYTES = 2 << 20
+#: Bytes of a piece that are read before the tokens sure by then are emitted.
+HELD_BYTES = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,21 +60,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> tuple[list[int], int]:
 
 
 class Transducer:
-    """Bytes in, token ids out; :meth:`encode` for one piece, :meth:`feed` and :meth:`finish` for a stream.
+    """Bytes in, token ids out; :meth:`encode` for one piece, :meth:`feed`, :meth:`settle` and :meth:`finish` for a stream.
 
     One stream at a time: :meth:`feed` may begin the tables anew, after which older state numbers mean nothing.
 
-    A state is (last emitted token, ((trie node, tokens), ...)): for each position where a token may have
-    begun, the node its bytes lead to in the trie of all tokens and the tokens not yet emitted before it. The
-    last entry is the end of what was read, at the trie's root.
+    A state has one number, trie node << 24 | token + 1, for each position where a token may have begun: the node
+    its bytes lead to in the trie of all tokens, and the token that ends before it, -1 at the start. The last
+    number is the end of what was read, at the trie's root.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.size = [len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of, default=-1) + 1)]
         self.child: dict[int, int] = {}
         self.token_at: list[int] = [-1]
         self.grows: list[bool] = [False]
+        self.depth: list[int] = [0]
         for data, token in ranks.items():
             node = 0
             for byte in data:
@@ -81,6 +86,7 @@ class Transducer:
                     after = self.child[key] = len(self.token_at)
                     self.token_at.append(-1)
                     self.grows.append(False)
+                    self.depth.append(self.depth[node] + 1)
                     self.grows[node] = True
                 node = after
             self.token_at[node] = token
@@ -92,15 +98,16 @@ class Transducer:
     def clear(self) -> None:
         self.index: dict[tuple, int] = {}
         self.configs: list[tuple] = []
-        self.moves: dict[int, int] = {}  # state << 8 | byte: the next state, its complement if tokens are emitted
-        self.emits: dict[int, tuple[int, ...]] = {}
-        self.start = self._intern((-1, ((0, ()),)))
+        self.last: list[int] = []  # the token at the end of what was read
+        self.moves: dict[int, int] = {}  # state << 8 | byte: the next state
+        self.start = self._intern((0,))
 
     def _intern(self, config: tuple) -> int:
         at = self.index.get(config)
         if at is None:
             at = self.index[config] = len(self.configs)
             self.configs.append(config)
+            self.last.append(config[-1] - 1)
         return at
 
     def _seam(self, token: int) -> int:
@@ -158,65 +165,75 @@ class Transducer:
         return known
 
     def _move(self, state: int, byte: int) -> int:
-        anchor, live = self.configs[state]
-        end, ahead = None, []
-        for node, chain in live:
-            after = self.child.get(node << 8 | byte)
+        child, stable, end, ahead = self.child.get, self.pairs.get, -1, []
+        for entry in self.configs[state]:
+            after = child(entry >> 24 << 8 | byte)
             if after is None:
                 continue
             token = self.token_at[after]
-            if token >= 0 and self._stable(chain[-1] if chain else anchor, token):
-                if end is not None:
-                    raise ValueError("the ranks are not those of a byte-pair merge list")
-                end = (*chain, token)
+            if token >= 0:
+                known = stable((entry & 0xFFFFFF) << 24 | token)
+                if self._stable((entry & 0xFFFFFF) - 1, token) if known is None else known:
+                    if end >= 0:
+                        raise ValueError("the ranks are not those of a byte-pair merge list")
+                    end = token
             if self.grows[after]:
-                ahead.append((after, chain))
-        if end is None:
+                ahead.append(after << 24 | entry & 0xFFFFFF)
+        if end < 0:
             raise ValueError("the ranks are not those of a byte-pair merge list")
-        ahead.append((0, end))
-        first, same = ahead[0][1], 0
-        while same < len(first) and all(chain[same] == first[same] for _, chain in ahead):
-            same += 1
-        if same:
-            anchor = first[same - 1]
-            ahead = [(node, chain[same:]) for node, chain in ahead]
-        if first[same:]:
-            anchor = -2  # every open position has its own token before it
-        after, key = self._intern((anchor, tuple(ahead))), state << 8 | byte
-        if same:
-            self.emits[key] = first[:same]
-            after = ~after
-        self.moves[key] = after
+        ahead.append(end + 1)
+        after = self.moves[state << 8 | byte] = self._intern(tuple(ahead))
         return after
 
-    def feed(self, state: int, data: bytes, out: list[int]) -> int:
-        get, emits = self.moves.get, self.emits
+    def feed(self, state: int, data: bytes, held: list[int]) -> int:
+        """Read ``data``; ``held`` gets, for each byte, the last token of what ends there."""
+        get, last, hold = self.moves.get, self.last, held.append
         for byte in data:
-            key = state << 8 | byte
-            step = get(key)
-            if step is None:
+            after = get(state << 8 | byte)
+            if after is None:
                 if len(self.configs) > MAX_STATES:  # within a piece too, so that its length does not count
                     config = self.configs[state]
                     self.clear()
-                    get, emits, state = self.moves.get, self.emits, self._intern(config)
-                    key = state << 8 | byte
-                step = self._move(state, byte)
-            if step < 0:
-                out.extend(emits[key])
-                state = ~step
-            else:
-                state = step
+                    get, last, state = self.moves.get, self.last, self._intern(config)
+                after = self._move(state, byte)
+            state = after
+            hold(last[state])
         return state
 
-    def finish(self, state: int, out: list[int]) -> None:
-        out.extend(self.configs[state][1][-1][1])
+    def settle(self, state: int, held: list[int], out: list[int]) -> None:
+        """Emit the tokens that do not depend on what comes, and take their bytes from ``held``."""
+        shared: set[int] | None = None
+        for entry in self.configs[state]:
+            at, ends = len(held) - self.depth[entry >> 24], set()
+            while at:
+                ends.add(at)
+                at -= self.size[held[at - 1]]
+            shared = ends if shared is None else shared & ends
+        if shared:
+            sure = max(shared)
+            self.finish(held[:sure], out)
+            del held[:sure]
+
+    def finish(self, held: list[int], out: list[int]) -> None:
+        at, size, first = len(held), self.size, len(out)
+        while at:
+            token = held[at - 1]
+            out.append(token)
+            at -= size[token]
+        out[first:] = out[: first - 1 if first else None : -1]
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:  # a piece that is a token is that token, as in the public library
             return [whole]
         out: list[int] = []
-        self.finish(self.feed(self.start, piece, out), out)
+        held: list[int] = []
+        state = self.feed(self.start, piece[:HELD_BYTES], held)
+        if len(piece) > HELD_BYTES:
+            for at in range(HELD_BYTES, len(piece), HELD_BYTES):
+                self.settle(state, held, out)
+                state = self.feed(state, piece[at : at + HELD_BYTES], held)
+        self.finish(held, out)
         return out
 
 
