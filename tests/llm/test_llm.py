@@ -404,6 +404,18 @@ def test_word_encoder_equals_the_public_library(word_tool):
         assert np.frombuffer(ids, tool.dtype).tolist() == want.ids, text
 
 
+def test_word_encoder_parts_the_punctuation_that_ends_a_word(word_tool, monkeypatch):
+    """Words with one are not encoded one by one: their letters go with the other words, each ending is encoded once."""
+    singly, real = [], token_ids.WordEncoder._singly
+    monkeypatch.setattr(token_ids.WordEncoder, "_singly", lambda self, words: (singly.extend(words), real(self, words))[1])
+    tails = ["###", ".***", ",", "'", "_", "&&&|", "'s", "...'", "-\"!"]
+    said = [f"{w}{t} {w}" for w in ("Cat", "zqxjé", "don't", "ÄÖ", "a1", "İ") for t in tails] + ["<|endoftext|>!!", "x<|endoftext|>", "ab<| cd|>", "### 'll'll", "e\u0301## #\u0301"]
+    tool = token_ids.WordEncoder(WORDS)
+    for text, ids, want in zip(said, tool.encode([t.encode() for t in said]), word_tool.encode_batch(said, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, tool.dtype).tolist() == want.ids, text
+    assert not {b"cat###", b"cat.***", "zqxjé&&&|".encode(), b"cat...'"} & set(singly)
+
+
 def test_perfect_hash():
     keys = np.random.default_rng(2).choice(10**12, 5000, replace=False)
     index = token_ids.PerfectHash.build(keys)

@@ -28,10 +28,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wayfare.llm.words import mixed, slices, texts_of
+from wayfare.llm.words import mixed, slices, spread, texts_of, words_of
 from wayfare.plans.shared import cut, scratch_path
 
 MAGIC = b"WFIDS\x02\0\0"
@@ -178,11 +179,14 @@ class WordEncoder:
     """Ids of texts by distinct word.
 
     The vocabulary's splitter drops white space and never joins across it, lower-cases first, and parts letters
-    from punctuation. So a text's ids are those of its words; a word's full stop or comma is a piece of its own;
-    and words of letters alone, which are one piece each, can be encoded many to a call and parted again at the
-    tokens that end a piece.
+    from punctuation. So a text's ids are those of its words; the punctuation that a word ends with is a piece of
+    its own; and words of letters alone, which are one piece each, can be encoded many to a call and parted again at
+    the tokens that end a piece.
     """
 
+    #: Neither letters, numbers nor white space, by the splitter too.
+    PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
     def __init__(self, vocabulary: str):
         import os
 
@@ -214,31 +218,38 @@ class WordEncoder:
             self.memo.update(zip(some, (data[a:b] for a, b in zip([0, *stop], stop)), strict=True))
 
     def learn(self, words: set[bytes]) -> None:
-        memo, tails = self.memo, {}
+        memo, bases = self.memo, {}
         for word in words:
-            if word[-1] in b".,":
-                base = word[:-1]
-                # Lower case may end in a mark where the letter does not, and a mark goes on with what follows.
-                if base and (base[-1:].isalnum() or not base.isascii() and base.decode().lower()[-1].isalpha()):
-                    tails[word] = base
-        need = (words.difference(tails) | set(tails.values()) | {b".", b","}).difference(memo)
-        plain = [w for w in need if w.decode().isalpha()]
+            if word.isalpha():
+                continue
+            base = word.rstrip(self.PUNCTUATION)
+            # Lower case may end in a mark where the letter does not, and a mark goes on with what follows.
+            if base and len(base) < len(word) and b"<|" not in word and (base[-1:].isalnum() or not base.isascii() and base.decode().lower()[-1].isalpha()):
+                bases[word] = base
+        need = words.difference(bases).union(bases.values(), {w[len(b) :] for w, b in bases.items()}).difference(memo)
+        plain = [w for w in need if w.isalpha() or not w.isascii() and w.decode().isalpha()]
         self._together(plain)
         self._singly(list(need.difference(plain)))
-        for word, base in tails.items():
-            memo[word] = memo[base] + memo[word[-1:]]
+        for word, base in bases.items():
+            memo[word] = memo[base] + memo[word[len(base) :]]
 
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+    def ids_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's begin and the last one's end."""
         if len(self.memo) > MAX_MEMO:
             self.memo.clear()
-        # Bytes: lower() changes A-Z alone, split() splits on ASCII white space alone. Special tokens are seen before case is.
-        lists = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        new: set[bytes] = set()
-        for words in lists:
-            new.update(set(words).difference(self.memo))
-        self.learn(new)
-        for words in lists:
-            yield b"".join(map(self.memo.__getitem__, words))
+        # Special tokens are seen before case is.
+        words = words_of(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn(set(distinct).difference(self.memo))
+        parts = list(map(self.memo.__getitem__, distinct))
+        ends = np.zeros(len(parts) + 1, dtype=np.int64)
+        np.cumsum(np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // self.width, out=ends[1:])
+        return spread(ends, np.frombuffer(b"".join(parts), self.dtype), words.codes, words.offsets)
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        ids, offsets = self.ids_of(pa.array(texts, pa.binary()).cast(pa.string()))
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            yield ids[a:b].tobytes()
 
 
 @dataclass
@@ -276,10 +287,15 @@ def _encode_batches(vocabulary: str, end_id: int, ranges: Ranges):
         place = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in slices(batches, size=4 << 20):
             tool or tool.append(WordEncoder(vocabulary))
-            end = np.array([end_id], dtype=tool[0].dtype).tobytes()
-            ids = [x + end for x in tool[0].encode(texts_of(batch).cast(pa.binary()).to_pylist())]
+            found, offsets = tool[0].ids_of(texts_of(batch))
+            ends = offsets + np.arange(len(offsets))
+            ids = np.empty(ends[-1], dtype=tool[0].dtype)
+            last = np.zeros(len(ids), dtype=bool)
+            last[ends[1:] - 1] = True
+            ids[last], ids[~last] = end_id, found
+            binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((ends * tool[0].width).astype(np.int32)), pa.py_buffer(ids)])
             keys = batch.column("doc_id")
-            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(keys, place + np.arange(len(keys))).astype(np.int32)), keys, pa.array(ids, pa.binary())], names=["range", "doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.of(keys, place + np.arange(len(keys))).astype(np.int32)), keys, binary], names=["range", "doc_id", "ids"])
             place += len(keys)
 
     return run
