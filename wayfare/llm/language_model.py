@@ -252,21 +252,30 @@ def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray, out: np.
 
     Parts: the mark stands right before the subword, right after it, or anywhere in its window, which tells languages apart.
     """
+    common = np.flatnonzero(marks >= 0)
+    common = common[np.argsort(marks[common])]
     for at in range(0, len(sample), block):
         windows, there = sample[at : at + block], real[at : at + block]
         left, right = windows[:, :-1][there], windows[:, 1:][there]
         for part, (a, b) in enumerate(((right, left), (left, right))):
             mark = marks[b]
             good = mark >= 0
-            np.add.at(out[part], (a[good], mark[good]), 1)
+            np.add.at(out[part].reshape(-1), a[good] * MARKS + mark[good], out.dtype.type(1))
         mark = marks[windows[:, 1:]]
         has = np.zeros((len(windows), MARKS), dtype=np.uint8)
         row, column = np.nonzero(there & (mark >= 0))
         has[row, mark[row, column]] = 1
-        # Each of a window's subwords meets each of its marks: sums over runs of equal subwords, eight counts of a byte
-        # to a number. Runs are cut at 255, and differences of the running sums are right even where these wrap.
+        # Each of a window's subwords meets each of its marks. Those that are marks themselves: a product of how often
+        # each is in a window and which are; the counts are far below 2 ** 24.
+        row, column = np.nonzero(there)
+        mark, rest = mark[row, column], marks[right] < 0
+        often = np.bincount(row * (MARKS + 1) + mark + 1, minlength=len(windows) * (MARKS + 1)).reshape(-1, MARKS + 1)[:, 1:]
+        out[2, common] += (often.astype(np.float32).T @ has.astype(np.float32)).astype(out.dtype)[: len(common)]
+        # The others: sums over runs of equal subwords, eight counts of a byte to a number. Runs are cut at 255, and
+        # differences of the running sums are right even where these wrap.
+        row, right = row[rest], right[rest]
         order = np.argsort(right.astype(np.uint16 if len(marks) <= 1 << 16 else np.int64), kind="stable")
-        owner, subword = np.repeat(np.arange(len(windows)), there.sum(axis=1))[order], right[order]
+        owner, subword = row[order], right[order]
         begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), subword[1:] != subword[:-1])))
         run = np.flatnonzero((np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))) % 255 == 0)
         total = np.zeros((len(order) + 1, MARKS // 8), np.uint64)
@@ -382,7 +391,7 @@ def _make_chunks(model_file: str):
             tool or tool.append(Vocabulary(model_file))
             vocabulary = tool[0]
             words = words_of(texts_of(batch), lower=True)
-            piece_ends, pieces = vocabulary.pieces(words.dictionary.to_pylist())
+            piece_ends, pieces = vocabulary.pieces(words.dictionary.to_numpy(zero_copy_only=False).tolist())
             hashes = hashes_of(words.dictionary)
             held_out = batch.column("held_out").to_numpy(zero_copy_only=False)
             train = ~held_out

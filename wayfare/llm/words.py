@@ -101,4 +101,4 @@ def hashes_of(dictionary: pa.Array, seed: int = 0) -> np.ndarray:
     """XXH64 of each string's UTF-8 bytes, unsigned."""
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh64_intdigest, dictionary.cast(pa.binary()).to_pylist(), repeat(seed)), dtype=np.uint64, count=len(dictionary))
+    return np.fromiter(map(xxhash.xxh64_intdigest, dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False), repeat(seed)), dtype=np.uint64, count=len(dictionary))
