@@ -8,6 +8,7 @@ import math
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from wayfare.llm import bpe, chat_tools, decontamination, html_text, language_model, near_copies, pii, quality, queries, simhash, token_ids, toxicity
+from wayfare.plans.shared import shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SP, RANKS, WORDS = P.path("piece_bpe_32k.model"), P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
@@ -304,6 +306,30 @@ def test_near_copies_of_groups(spark, size, block):
     assert pairs >= size and lost <= 0.01 * pairs
 
 
+def test_near_copies_write_few_files(spark):
+    """What few rows there are between the steps goes to few files, however many partitions a shuffle has."""
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("abcdefgh"), 5)) for _ in range(5000)]
+    base = r.choice(words, 120).tolist()
+    found = {i: " ".join(edited(r, words, base, int(n))) for i, n in enumerate(r.integers(1, 5, 40))}
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string").repartition(4)
+    want = {x.doc_id: x.component_id for x in near_copies.near_copies(df, block=8).collect()}
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.rglob("rdd-*"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = near_copies.near_copies(df, block=8)
+        files = [len(list(x.glob("part-*"))) for x in set(folder.rglob("rdd-*")) - before]
+        assert {x.doc_id: x.component_id for x in got.collect()} == want
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    cores = spark.sparkContext.defaultParallelism
+    assert len(files) > 5 and max(files) <= cores
+
+
 def test_near_copies_of_rows_with_one_id_or_none(spark):
     """Each text of an id links, and a row without an id links others."""
     r = np.random.default_rng(11)

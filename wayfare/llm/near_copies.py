@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from wayfare.llm.simhash import RADIUS, SEED, SPLIT_OVER, fingerprints, simhash_components
 from wayfare.llm.words import hashes_of, mixed, slices, texts_of, words_of
 from wayfare.plans.components import connected_components
-from wayfare.plans.shared import cut
+from wayfare.plans.shared import cut, n_files
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -204,22 +204,23 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, radius: int = R
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = cut(texts.mapInArrow(_sketch, SKETCH))
     grouped = sketch.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("node").alias("node"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    nodes = cut(grouped.withColumn("doc", F.coalesce("id", "node")))
-    classes = simhash_components(nodes.select(F.col("doc").alias("doc_id"), "fp"), radius, split_over)
-    heads = cut(nodes.select("doc", "id", "key", "fp").join(classes, "fp").select("doc", "id", "key", F.col("component_id").alias("head")))
-    links = _met(texts, _blocks(nodes, heads, block), similarity).union(_one_id(sketch, heads))
-    heads = cut(_after(heads, links))
-    crowded = cut(_crowded(nodes, heads, block))
+    rows = sketch.count()
+    nodes = cut(grouped.withColumn("doc", F.coalesce("id", "node")), rows)
+    classes = simhash_components(nodes.select(F.col("doc").alias("doc_id"), "fp"), radius, split_over, rows)
+    heads = cut(nodes.select("doc", "id", "key", "fp").join(classes, "fp").select("doc", "id", "key", F.col("component_id").alias("head")), rows)
+    links = _met(texts, _blocks(nodes, heads, block), similarity, rows).union(_one_id(sketch, heads))
+    heads = cut(_after(heads, links, rows), rows)
+    crowded = cut(_crowded(nodes, heads, block), rows)
     if not crowded.isEmpty():
-        heads = _after(heads, _met(texts, _pairs_of_blocks(nodes, heads, crowded), similarity))
+        heads = _after(heads, _met(texts, _pairs_of_blocks(nodes, heads, crowded), similarity, rows), rows)
     least = heads.groupBy("head").agg(F.min("id").alias("component_id"))
     named = heads.join(least, "head").select("key", "component_id")
     return sketch.where("doc_id is not null").select("doc_id", "key").join(named, "key").select("doc_id", "component_id").distinct()
 
 
-def _after(heads: DataFrame, links: DataFrame) -> DataFrame:
+def _after(heads: DataFrame, links: DataFrame, rows: int) -> DataFrame:
     """``heads`` with the components that ``links`` (a, b) joins as one."""
-    joined = connected_components(links)
+    joined = connected_components(links, rows=rows)
     return heads.join(joined, F.col("head") == F.col("node"), "left").select("doc", "id", "key", F.coalesce("component", "head").alias("head"))
 
 
@@ -230,13 +231,14 @@ def _one_id(sketch: DataFrame, heads: DataFrame) -> DataFrame:
     return found.join(found.groupBy("doc_id").agg(F.min("head").alias("b")), "doc_id").where("head <> b").select(F.col("head").alias("a"), "b")
 
 
-def _met(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+def _met(texts: DataFrame, cells: DataFrame, similarity: float, rows: int) -> DataFrame:
     """(a, b): components that a pair of texts of a cell joins. Texts that nobody may be like are not shuffled to it."""
-    met = cut(cells.mapInArrow(_likely, "cell long, doc long, key binary, head long"))
+    likely = cells.mapInArrow(_likely, "cell long, doc long, key binary, head long")
+    met = cut(likely.repartition(n_files(texts.sparkSession, rows)))  # dealt anew: the search keeps all its tasks
     wanted = met.select("doc", "key").distinct()
     whole = texts.mapInArrow(_keyed, "doc long, key binary, text string").join(wanted, ["doc", "key"], "left_semi").groupBy("doc", "key").agg(F.min("text").alias("text"))
     pairs = met.join(whole, ["doc", "key"]).repartition("cell").sortWithinPartitions("cell", "doc")
-    return cut(pairs.select("cell", "head", "text").mapInArrow(_confirm(similarity), "a long, b long"))
+    return pairs.select("cell", "head", "text").mapInArrow(_confirm(similarity), "a long, b long")
 
 
 def _buckets(nodes: DataFrame, heads: DataFrame) -> DataFrame:

@@ -228,10 +228,10 @@ def simhash_links(prints: DataFrame, radius: int = RADIUS, split_over: int = SPL
     return sharded.mapInArrow(_shard_links(radius), "a long, b long")
 
 
-def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp)."""
-    everyone = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")))
-    heads = connected_components(simhash_links(everyone.select("fp"), radius, split_over))
+def simhash_components(prints: DataFrame, radius: int = RADIUS, split_over: int = SPLIT_OVER, rows: int | None = None) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of ``prints`` (doc_id, fp), of which there may be about ``rows``."""
+    everyone = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("doc")), rows)
+    heads = connected_components(simhash_links(everyone.select("fp"), radius, split_over), rows=rows)
     named = everyone.join(heads, everyone["fp"] == heads["node"], "left").select("fp", "doc", F.coalesce("component", "fp").alias("head"))
     least = named.groupBy("head").agg(F.min("doc").alias("component_id"))
     return named.join(least, "head").select("fp", "component_id")

@@ -39,21 +39,22 @@ def _star(edges: DataFrame) -> DataFrame:
     return small.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, rows: int | None = None) -> DataFrame:
     """Return (node, component): component is the smallest node reachable. Only nodes with an edge appear.
 
-    Null endpoints and self loops are ignored; repeated and reversed edges count once.
+    Null endpoints and self loops are ignored; repeated and reversed edges count once. ``rows``: about how many edges
+    there may be, for the number of files; from the second round on it is known.
     """
     clean = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    now = cut(clean.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
+    now = cut(clean.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), rows)
     mark = None
     for _ in range(max_rounds):
-        after = cut(_star(now))
+        after = cut(_star(now), rows)
         seen = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         now = after
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, rows = tuple(seen), seen[0]  # a round adds no edges
     else:
         raise RuntimeError("components did not settle")
     heads = now.select(F.col("b").alias("node")).distinct()
