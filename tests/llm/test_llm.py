@@ -1039,6 +1039,20 @@ def test_language_model_learns():
 # --- 3 chat --------------------------------------------------------------------------------------------
 
 
+def test_context_of_a_window_costs_no_output():
+    """Positions that the window before has scored are context alone: the others' scores stay the same."""
+    r = np.random.default_rng(8)
+    net = language_model.Attention(70, np.arange(70) % language_model.CLASSES)
+    for k, v in net.p.items():
+        net.p[k] = r.normal(0, 0.3, v.shape).astype(np.float32)
+    ids = r.integers(0, 70, (9, language_model.WINDOW + 1))
+    skip = language_model.WINDOW - language_model.STRIDE
+    whole = net.class_scores(ids[:, :-1], ids[:, 1:], net.embedded())
+    late = net.class_scores(ids[:, :-1], ids[:, 1:], net.embedded(), skip)
+    for a, b in zip(whole, late, strict=True):
+        assert b.shape == (9, language_model.STRIDE) and np.allclose(a[:, skip:], b, atol=1e-5)
+
+
 def test_chat(spark):
     j = json.dumps
     tools = {"tools": [{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}, "s": {"type": "string"}}, "required": ["x"], "additionalProperties": False}}]}

@@ -131,7 +131,8 @@ class Attention:
     def embedded_rows(self, ids: np.ndarray) -> np.ndarray:
         return np.take(self.p["class_in"], self.classes[ids], axis=0) + np.take(self.p["token_in"], ids, axis=0)
 
-    def forward(self, x: np.ndarray):
+    def forward(self, x: np.ndarray, skip: int = 0):
+        """``skip``: the first positions of a window that others attend to, but of which no output is wanted."""
         p, n = self.p, len(x)
         x = x + p["place"]
         flat = x.reshape(-1, WIDTH)
@@ -140,10 +141,11 @@ class Attention:
         qk = (flat @ mix[:, : 2 * WIDTH]).reshape(n, WINDOW, 2 * WIDTH)
         v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
         v[..., :WIDTH] = (flat @ mix[:, 2 * WIDTH :]).reshape(x.shape)
-        e = qk[..., :WIDTH] @ qk[..., WIDTH:].transpose(0, 2, 1)
+        e = qk[:, skip:, :WIDTH] @ qk[..., WIDTH:].transpose(0, 2, 1)
         np.clip(e, -40, 40, out=e)
         np.exp(e, out=e)
-        e *= self.mask
+        e *= self.mask[skip:]
+        flat = x[:, skip:].reshape(-1, WIDTH)
         mean = e @ v
         total = mean[..., WIDTH:].copy()
         mean = mean[..., :WIDTH] / total
@@ -155,9 +157,10 @@ class Attention:
         np.add(h[:, :WIDTH], inner @ p["down"], out=top[:, :WIDTH])
         return top, (flat, mix, qk, v, e, total, mean, h, inner)
 
-    def class_scores(self, ids: np.ndarray, target: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Natural logs of the probability of each target's class and of a word's beginning; (windows, WINDOW)."""
-        top, _ = self.forward(np.take(table, ids, axis=0))
+    def class_scores(self, ids: np.ndarray, target: np.ndarray, table: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Natural logs of the probability of each target's class and of a word's beginning; (windows, WINDOW - skip)."""
+        target = target[:, skip:]
+        top, _ = self.forward(np.take(table, ids, axis=0), skip)
         logits = top @ np.vstack((self.p["out"], self.p["out_b"]))
         np.clip(logits, -40, 40, out=logits)
         at = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + self.classes[target.reshape(-1)]]
@@ -446,14 +449,15 @@ class Scorer:
         text, start = windows_of(offsets - np.arange(n_texts + 1))
         table = self.network.embedded()
         place, begins = np.zeros(len(tokens), np.float32), np.zeros(len(tokens), np.float32)
-        later = np.arange(WINDOW) >= WINDOW - STRIDE
-        for at in range(0, len(text), block):
-            some = slice(at, at + block)
-            ids, real = _cut_windows(tokens, offsets, text[some], start[some])
-            scores, opened = self.network.class_scores(ids[:, :-1], ids[:, 1:], table)
-            fresh = real & (later | (start[some, None] == 0))
-            index = (offsets[text[some]] + start[some] + 1)[:, None] + np.arange(WINDOW)
-            place[index[fresh]], begins[index[fresh]] = scores[fresh], opened[fresh]
+        # What a window before has scored is context alone in the next one.
+        for group, skip in ((np.flatnonzero(start == 0), 0), (np.flatnonzero(start), WINDOW - STRIDE)):
+            for at in range(0, len(group), block):
+                some = group[at : at + block]
+                ids, real = _cut_windows(tokens, offsets, text[some], start[some])
+                scores, opened = self.network.class_scores(ids[:, :-1], ids[:, 1:], table, skip)
+                fresh = real[:, skip:]
+                index = (offsets[text[some]] + start[some] + 1)[:, None] + np.arange(skip, WINDOW)
+                place[index[fresh]], begins[index[fresh]] = scores[fresh], opened[fresh]
         # Back to words: a text's tokens are begin, the subwords of its words, end.
         size = np.diff(piece_ends)[words.codes]
         owner = np.repeat(np.arange(n_texts), words.counts)
