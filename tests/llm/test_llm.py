@@ -1053,6 +1053,61 @@ def test_context_of_a_window_costs_no_output():
         assert b.shape == (9, language_model.STRIDE) and np.allclose(a[:, skip:], b, atol=1e-5)
 
 
+def test_far_logits_are_not_clipped():
+    """Bounds keep powers of e finite; shares of classes within them are as they are."""
+    net = language_model.Attention(70, np.arange(70) % language_model.CLASSES)
+    net.p["out_b"][:3] = 50, 47, 44
+    ids = np.arange(3 * (language_model.WINDOW + 1)).reshape(3, -1) % 3
+    scores, opened = net.class_scores(ids[:, :-1], ids[:, 1:], net.embedded())
+    want = np.log(np.exp([50.0, 47.0, 44.0]) / (np.exp([50.0, 47.0, 44.0]).sum() + language_model.CLASSES - 3))
+    assert np.allclose(scores, want[ids[:, 1:]], atol=1e-4) and np.allclose(opened, 0, atol=1e-4)
+    net.p["out_b"][:3] = 5000, -5000, 0
+    assert all(np.isfinite(x).all() for x in net.class_scores(ids[:, :-1], ids[:, 1:], net.embedded()))
+
+
+def test_gradients_equal_slopes():
+    """Gradients of all weights, of windows whose last targets do not exist, are the slopes of the loss."""
+    r = np.random.default_rng(6)
+    net = language_model.Attention(70, np.arange(70) % language_model.CLASSES)
+    for k, v in net.p.items():
+        net.p[k] = r.normal(0, 0.2, v.shape).astype(np.float32)
+    ids = r.integers(0, 70, (6, language_model.WINDOW + 1))
+    weight = (np.arange(language_model.WINDOW) < r.integers(5, language_model.WINDOW, (6, 1))).astype(np.float32)
+    grad, _ = net.gradients(ids[:, :-1], ids[:, 1:], weight)
+    assert (net.used == np.argsort(net.classes, kind="stable")[np.isin(np.argsort(net.classes, kind="stable"), ids[:, :-1])]).all()
+    grad["token_in"] = dict(zip(net.used.tolist(), grad["token_in"]))
+    for k, v in net.p.items():
+        way = r.normal(0, 1, v.shape).astype(np.float32)
+        if k == "token_in":
+            slope = sum(float(g @ way[t]) for t, g in grad[k].items())
+        else:
+            slope = float((grad[k] * way).sum())
+        losses = []
+        for step in (0.003, -0.003):
+            net.p[k] = v + np.float32(step) * way
+            losses.append(net.gradients(ids[:, :-1], ids[:, 1:], weight)[1])
+        net.p[k] = v
+        assert math.isclose((losses[0] - losses[1]) / 0.006, slope, rel_tol=0.05, abs_tol=5e-3), k
+
+
+def test_words_are_summed_in_many_ranges(spark, monkeypatch):
+    """Counts of words over all chunks, however many tasks share them."""
+    monkeypatch.setattr(language_model, "SUM_WORDS", 100)
+    r = np.random.default_rng(2)
+    said = [" ".join(f"w{i}" for i in r.zipf(1.3, 40) if i < 3000) for _ in range(400)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(said)], "doc_id long, text string").repartition(5)
+    counts = collections.Counter(w for i, t in enumerate(said) if i % 3 for w in t.split())
+    _, counted, scorer = language_model.learn(docs, SP, F.col("doc_id") % 3 == 0)
+    rows = counted.collect()
+    assert len({r.chunk for r in rows}) > 1 and len(rows) > 2 * len({r.chunk for r in rows})
+    n_train = sum(i % 3 > 0 for i in range(400))
+    assert (scorer.n, scorer.v) == (counts.total() + n_train, len(counts) + 1)
+    for r in language_model.score_texts(docs, SP, F.col("doc_id") % 3 == 0).collect():
+        words = said[r.doc_id].split()
+        assert r.n_known == sum(counts[w] > 0 for w in words) + 1
+        assert math.isclose(r.base_score, sum(math.log10((c + 1) / (scorer.n + scorer.v + 1)) for c in [*(counts[w] for w in words), n_train]), rel_tol=1e-9)
+
+
 def test_chat(spark):
     j = json.dumps
     tools = {"tools": [{"name": "f", "parameters": {"properties": {"x": {"type": "integer"}, "s": {"type": "string"}}, "required": ["x"], "additionalProperties": False}}]}

@@ -17,7 +17,7 @@ Counts cover all training texts: each chunk of texts counts its distinct words,
 joined back to the chunks, by a 64-bit hash of the word. The network learns from all training texts too: their tokens
 are cut into windows that meet but do not overlap. Classes come from the neighbours of subwords in all of these, summed
 on the executors; weights begin with some windows of a few chunks, on the driver; then in ``TURNS`` turns the executors
-train over all windows, each in one of the turns, and the driver gets the mean of their weights. Sums are of whole
+train over all windows, each text's in one of the turns, and the driver gets the mean of their weights. Sums are of whole
 numbers, so they do not depend on the order in which tasks end.
 
 Null and empty texts have the end token alone. Rows with a null id are training texts (they leave no
@@ -35,6 +35,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from wayfare.llm.words import Words, hashes_of, mixed, owners, segment_sums, slices, spread, texts_of, words_of
@@ -50,8 +51,10 @@ MARKS = 128
 #: Windows that each chunk offers for the first weights.
 FIRST_WINDOWS = 1024
 CHUNK_BYTES = 8 << 20
-#: Bits of a chunk's number within its task, and of a word's within its chunk; both and the task make one number.
-CHUNK_BITS, WORD_BITS = 12, 26
+#: Bits of a chunk's number within its task.
+CHUNK_BITS = 12
+#: Words of chunks that one task sums up, about.
+SUM_WORDS = 1 << 20
 #: First weights: chunks they are fitted on, epochs and rate. Then turns that share all windows, their rate and batch.
 FIRST_CHUNKS, EPOCHS, RATE = 16, 5, 0.02
 TURNS, TURN_RATE, TURN_BATCH = 2, 0.004, 128
@@ -63,7 +66,8 @@ ROWS, UNIT = 512, 1 << 20
 SMOOTH = 0.05
 
 CHUNK_SCHEMA = """chunk long, ids binary, null_id binary, held_out binary, offsets binary, codes binary, piece_ends binary, pieces binary,
-hashes array<long>, counts array<long>, piece_ids array<int>, piece_counts array<long>, first_counts array<long>, n_train long, sample binary"""
+hashes binary, counts binary, n_words long, piece_ids array<int>, piece_counts array<long>, first_counts array<long>, n_train long, sample binary"""
+COUNTS_SCHEMA = "chunk long, at binary, c binary, n long, v long, once long"
 #: The columns that a chunk's texts are built from.
 CHUNK_TEXTS = ["held_out", "offsets", "codes", "piece_ends", "pieces"]
 
@@ -100,6 +104,31 @@ def windows_of(offsets: np.ndarray, stride: int = STRIDE) -> tuple[np.ndarray, n
 # --- network -------------------------------------------------------------------------------------------
 
 
+def _wider(x: np.ndarray) -> np.ndarray:
+    """With a last column of zeros."""
+    out = np.zeros((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    return out
+
+
+def _times(rows: np.ndarray, by: np.ndarray, block: int = 64) -> np.ndarray:
+    """``rows @ by`` of many short rows, in blocks so small that the library multiplies them where they lie."""
+    by = np.ascontiguousarray(by)
+    return (rows.reshape(-1, block, rows.shape[1]) @ by).reshape(len(rows), -1) if not len(rows) % block else rows @ by
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, block: int = 64) -> np.ndarray:
+    """``a.T @ b`` of many short rows, in such blocks."""
+    if len(a) % block:
+        return a.T @ b
+    return (a.reshape(-1, block, a.shape[1]).transpose(0, 2, 1) @ b.reshape(-1, block, b.shape[1])).sum(axis=0)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The matrices of ``x`` with rows and columns changed."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 class Attention:
     """Embeddings, one causal attention head, a feed-forward step, and a softmax over classes."""
 
@@ -125,109 +154,136 @@ class Attention:
         self.ranks = np.argsort(self.by_class, kind="stable").astype(np.uint16 if vocabulary <= 1 << 16 else np.int64)
         self.sums = np.stack((np.ones(n, f), (np.arange(n) < STARTS).astype(f)), axis=1)
 
-    def embedded(self) -> np.ndarray:
-        return self.p["class_in"][self.classes] + self.p["token_in"]
-
-    def embedded_rows(self, ids: np.ndarray) -> np.ndarray:
-        return np.take(self.p["class_in"], self.classes[ids], axis=0) + np.take(self.p["token_in"], ids, axis=0)
+    def embedded(self, some=slice(None)) -> np.ndarray:
+        """Vectors of subwords. A vector has a last 1, for the biases, so that no step has to add it to all positions."""
+        out = np.ones((len(self.classes[some]), WIDTH + 1), np.float32)
+        np.add(np.take(self.p["class_in"], self.classes[some], axis=0), self.p["token_in"][some], out=out[:, :WIDTH])
+        return out
 
     def forward(self, x: np.ndarray, skip: int = 0):
         """``skip``: the first positions of a window that others attend to, but of which no output is wanted."""
         p, n = self.p, len(x)
-        x = x + p["place"]
-        flat = x.reshape(-1, WIDTH)
+        x = x + _wider(p["place"])
+        flat = x.reshape(-1, WIDTH + 1)
         # The keys' weights bear the attention's scale; a last 1 in each value sums the shares.
-        mix = p["qkv"] * self.scales
-        qk = (flat @ mix[:, : 2 * WIDTH]).reshape(n, WINDOW, 2 * WIDTH)
-        v = np.ones((n, WINDOW, WIDTH + 1), np.float32)
-        v[..., :WIDTH] = (flat @ mix[:, 2 * WIDTH :]).reshape(x.shape)
-        e = qk[:, skip:, :WIDTH] @ qk[..., WIDTH:].transpose(0, 2, 1)
-        np.clip(e, -40, 40, out=e)
+        mix = np.zeros((WIDTH + 1, 3 * WIDTH + 1), np.float32)
+        np.multiply(p["qkv"], self.scales, out=mix[:WIDTH, : 3 * WIDTH])
+        mix[WIDTH, 3 * WIDTH] = 1
+        qkv = _times(flat, mix).reshape(n, WINDOW, 3 * WIDTH + 1)
+        q, k, v = qkv[:, skip:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+        e = q @ _turned(k)
+        if not -80 < e.min(initial=0) <= e.max(initial=0) < 80:
+            np.clip(e, -40, 40, out=e)
         np.exp(e, out=e)
         e *= self.mask[skip:]
-        flat = x[:, skip:].reshape(-1, WIDTH)
         mean = e @ v
-        total = mean[..., WIDTH:].copy()
-        mean = mean[..., :WIDTH] / total
-        # Their last columns are 1, for the biases.
-        h, top = np.ones((2, len(flat), WIDTH + 1), np.float32)
-        np.add(flat, mean.reshape(-1, WIDTH), out=h[:, :WIDTH])
-        inner = h @ np.vstack((p["up"], p["up_b"]))
-        np.maximum(inner, 0, out=inner)
-        np.add(h[:, :WIDTH], inner @ p["down"], out=top[:, :WIDTH])
-        return top, (flat, mix, qk, v, e, total, mean, h, inner)
+        share = 1 / mean[..., WIDTH:]
+        mean *= share
+        # The vector's last 1 and the mean's make a 2.
+        h = (x[:, skip:] + mean).reshape(-1, WIDTH + 1)
+        inner = _times(h, np.vstack((p["up"], p["up_b"] / 2)))
+        np.maximum(inner, np.zeros_like(inner), out=inner)  # an array, which is taken faster than a single 0
+        top = _times(inner, _wider(p["down"]))
+        top += h
+        return top, (flat, mix, q, k, v, e, share, mean, h, inner)
 
     def class_scores(self, ids: np.ndarray, target: np.ndarray, table: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the probability of each target's class and of a word's beginning; (windows, WINDOW - skip)."""
         target = target[:, skip:]
         top, _ = self.forward(np.take(table, ids, axis=0), skip)
-        logits = top @ np.vstack((self.p["out"], self.p["out_b"]))
-        np.clip(logits, -40, 40, out=logits)
-        at = logits.reshape(-1)[np.arange(0, logits.size, CLASSES) + self.classes[target.reshape(-1)]]
-        np.exp(logits, out=logits)
-        both = np.log(logits @ self.sums)
+        logits = _times(top, np.vstack((self.p["out"], self.p["out_b"] / 2)))
+        goal = np.arange(0, logits.size, CLASSES) + self.classes[target.reshape(-1)]
+        with np.errstate(over="ignore"):
+            at, both = np.take(logits, goal), np.exp(logits, out=logits) @ self.sums
+        if not 0 < both.min(initial=1) <= both.max(initial=1) < np.inf:
+            logits = np.clip(_times(top, np.vstack((self.p["out"], self.p["out_b"] / 2))), -40, 40)
+            at, both = np.take(logits, goal), np.exp(logits) @ self.sums
+        both = np.log(both)
         return (at - both[:, 0]).reshape(target.shape), (both[:, 1] - both[:, 0]).reshape(target.shape)
 
-    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradients and the loss; that of ``token_in`` has the rows of the subwords in ``used`` alone."""
-        p, grad = self.p, {}
-        top, (flat, mix, qk, v, e, total, mean, h, inner) = self.forward(self.embedded_rows(ids))
-        share = top @ np.vstack((p["out"], p["out_b"]))
-        np.clip(share, -40, 40, out=share)
+    def gradients(self, ids: np.ndarray, target: np.ndarray, weight: np.ndarray, wants_loss: bool = True) -> tuple[dict[str, np.ndarray], float]:
+        """Gradients and the loss, if it is wanted; that of ``token_in`` has the rows of the subwords in ``used`` alone."""
+        p, grad, n = self.p, {}, len(ids)
+        # The runs of equal subwords, in the order of classes.
+        ranks = self.ranks[ids.reshape(-1)]
+        order = np.argsort(ranks, kind="stable")
+        ranks = ranks[order]
+        first = np.concatenate(([True], ranks[1:] != ranks[:-1]))
+        run = np.flatnonzero(first)
+        self.used = self.by_class[ranks[run]]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(first) - 1
+        x = np.take(self.embedded(self.used), place, axis=0).reshape(n, WINDOW, WIDTH + 1)
+        top, (flat, mix, q, k, v, e, total, mean, h, inner) = self.forward(x)
+        share = _times(top, np.vstack((p["out"], p["out_b"] / 2)))
+        if not -80 < share.min() <= share.max() < 80:
+            np.clip(share, -40, 40, out=share)
         np.exp(share, out=share)
         whole, part = share @ self.sums[:, :1], (weight / weight.sum()).reshape(-1)
         goal = np.arange(0, share.size, CLASSES) + self.classes[target.reshape(-1)]
-        loss = -float((np.log(share.reshape(-1)[goal] / whole[:, 0] + 1e-9) * part).sum())
+        loss = -float((np.log(np.take(share, goal) / whole[:, 0] + 1e-9) * part).sum()) if wants_loss else np.nan
         share *= part[:, None] / whole
         share.reshape(-1)[goal] -= part
-        both = top.T @ share
-        grad["out"], grad["out_b"] = both[:WIDTH], both[WIDTH]
-        dh = share @ p["out"].T
-        dinner = dh @ p["down"].T
+        both = _crossed(top, share)
+        grad["out"], grad["out_b"] = both[:WIDTH], both[WIDTH] / 2
+        dh = _times(share, _wider(p["out"].T))
+        dinner = _times(dh, _wider(p["down"]).T)
         dinner *= inner > 0
-        both = h.T @ dinner
-        grad["down"], grad["up"], grad["up_b"] = inner.T @ dh, both[:WIDTH], both[WIDTH]
-        dh += dinner @ p["up"].T
+        both = _crossed(h, dinner)
+        grad["down"], grad["up"], grad["up_b"] = _crossed(inner, dh)[:, :WIDTH], both[:WIDTH], both[WIDTH] / 2
+        dh += _times(dinner, _wider(p["up"].T))
         # Of a position's mean; the last column takes the shares' own mean off, as the values' last is 1.
-        dmean = np.empty(v.shape, np.float32)
-        dmean[..., :WIDTH] = dh.reshape(mean.shape) / total
-        dmean[..., WIDTH] = -np.einsum("ijk,ijk->ij", dmean[..., :WIDTH], mean)
-        de = dmean @ v.transpose(0, 2, 1)
+        dmean = dh.reshape(mean.shape) * total
+        dmean[..., WIDTH] = (dmean * mean) @ np.full(WIDTH + 1, -1, np.float32)
+        de = dmean @ _turned(v)
         de *= e
-        dmix = np.concatenate((de @ qk[..., WIDTH:], de.transpose(0, 2, 1) @ qk[..., :WIDTH], e.transpose(0, 2, 1) @ dmean[..., :WIDTH]), axis=2).reshape(-1, 3 * WIDTH)
-        grad["qkv"] = (flat.T @ dmix) * self.scales
-        dx = dmix @ mix.T
-        dx += dh
-        grad["place"] = dx.reshape(mean.shape).sum(axis=0)
-        # Sums of the runs of equal subwords, and of equal classes, in the order of classes.
-        ranks = self.ranks[ids.reshape(-1)]
-        order = np.argsort(ranks, kind="stable")
-        ranks = ranks[order]
-        total = np.zeros((len(dx) + 1, WIDTH))
-        np.cumsum(np.take(dx, order, axis=0), axis=0, dtype=np.float64, out=total[1:])
-        run = np.flatnonzero(np.concatenate(([True], ranks[1:] != ranks[:-1])))
-        self.used = self.by_class[ranks[run]]
-        grad["token_in"] = np.diff(total[np.append(run, len(dx))], axis=0).astype(np.float32)
+        dmix = np.empty((n, WINDOW, 3 * WIDTH), np.float32)
+        np.matmul(de, k, out=dmix[..., :WIDTH])
+        np.matmul(de.transpose(0, 2, 1), q, out=dmix[..., WIDTH : 2 * WIDTH])
+        np.matmul(e.transpose(0, 2, 1), dmean[..., :WIDTH], out=dmix[..., 2 * WIDTH :])
+        dmix = dmix.reshape(-1, 3 * WIDTH)
+        grad["qkv"] = _crossed(flat, dmix)[:WIDTH] * self.scales
+        dx = _times(dmix, mix[:WIDTH, : 3 * WIDTH].T)
+        dx += dh[:, :WIDTH]
+        grad["place"] = dx.reshape(n, WINDOW * WIDTH).sum(axis=0).reshape(WINDOW, WIDTH)
+        # Sums of the runs: sums up to each row within blocks of rows, and sums of the blocks before.
+        inside = self.mask @ np.take(dx, order, axis=0).reshape(n, WINDOW, WIDTH)
+        before = np.zeros((n + 1, WIDTH))
+        np.cumsum(inside[:, -1], axis=0, out=before[1:])
+        until = np.append(run[1:], len(order)) - 1
+        total = np.take(inside.reshape(-1, WIDTH), until, axis=0) + np.take(before, until // WINDOW, axis=0)
+        grad["token_in"] = np.diff(total, axis=0, prepend=0).astype(np.float32)
         ends = np.searchsorted(self.classes[self.used], np.arange(CLASSES + 1))
-        grad["class_in"] = np.diff(total[np.append(run, len(dx))[ends]], axis=0).astype(np.float32)
+        grad["class_in"] = np.diff(np.concatenate((before[:1], total))[ends], axis=0).astype(np.float32)
         return grad, loss
 
     def begin(self) -> None:
         """Forget the steps before."""
-        self.first, self.second, self.steps = {}, {}, 0
+        self.first, self.second, self.steps = (), (), 0
 
-    def step(self, windows: np.ndarray, real: np.ndarray, rate: float) -> float:
-        grad, loss = self.gradients(windows[:, :-1], windows[:, 1:], real.astype(np.float32))
+    def step(self, windows: np.ndarray, real: np.ndarray, rate: float, wants_loss: bool = True) -> float:
+        grad, loss = self.gradients(windows[:, :-1], windows[:, 1:], real.astype(np.float32), wants_loss)
         if not self.steps:
-            self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+            rest = sum(v.size for k, v in self.p.items() if k != "token_in")
+            self.first, self.second = ((np.zeros_like(self.p["token_in"]), np.zeros(rest, np.float32)) for _ in range(2))
         self.steps += 1
-        for k, g in grad.items():
-            at = self.used if k == "token_in" else slice(None)  # other subwords' rows stay as they are
-            first, second = self.first[k][at], self.second[k][at]
+        # Other subwords' rows stay as they are. The other weights are one row of numbers.
+        names = [k for k in self.p if k != "token_in"]
+        moved = []
+        for part, g in enumerate((grad["token_in"], np.concatenate([grad[k].reshape(-1) for k in names]))):
+            at = slice(None) if part else self.used
+            first, second = (x[part] if part else np.take(x[part], at, axis=0) for x in (self.first, self.second))
             first += np.float32(0.1) * (g - first)
             second += np.float32(0.02) * (g * g - second)
-            self.p[k][at] -= np.float32(rate / (1 - 0.9**self.steps)) * first / (np.sqrt(second * np.float32(1 / (1 - 0.98**self.steps))) + np.float32(1e-8))
-            self.first[k][at], self.second[k][at] = first, second
+            self.first[part][at], self.second[part][at] = first, second
+            below = np.sqrt(second * np.float32(1 / (1 - 0.98**self.steps)))
+            below += np.float32(1e-8)
+            moved.append(np.float32(rate / (1 - 0.9**self.steps)) * first / below)
+        self.p["token_in"][self.used] -= moved[0]
+        begin = 0
+        for k in names:
+            self.p[k] -= moved[1][begin : begin + self.p[k].size].reshape(self.p[k].shape)
+            begin += self.p[k].size
         return loss
 
     def fit(self, sample: np.ndarray, real: np.ndarray, epochs: int = EPOCHS, batch: int = 64) -> list[float]:
@@ -250,7 +306,7 @@ def sample_of(data: bytes, end: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where(sample == 0xFFFF, end, sample), real
 
 
-def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray, out: np.ndarray, block: int = 4096) -> None:
+def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray, out: np.ndarray, block: int = 8192) -> None:
     """Add to ``out`` (part, subword, mark) what stands near. ``marks``: for each subword its number among the common ones, or -1.
 
     Parts: the mark stands right before the subword, right after it, or anywhere in its window, which tells languages apart.
@@ -260,30 +316,31 @@ def neighbours(sample: np.ndarray, real: np.ndarray, marks: np.ndarray, out: np.
     for at in range(0, len(sample), block):
         windows, there = sample[at : at + block], real[at : at + block]
         left, right = windows[:, :-1][there], windows[:, 1:][there]
-        for part, (a, b) in enumerate(((right, left), (left, right))):
-            mark = marks[b]
-            good = mark >= 0
-            np.add.at(out[part].reshape(-1), a[good] * MARKS + mark[good], out.dtype.type(1))
-        mark = marks[windows[:, 1:]]
-        has = np.zeros((len(windows), MARKS), dtype=np.uint8)
-        row, column = np.nonzero(there & (mark >= 0))
-        has[row, mark[row, column]] = 1
+        before, mark = marks[left], marks[right]
+        for part, (a, b) in enumerate(((right, before), (left, mark))):
+            good = b >= 0
+            np.add.at(out[part].reshape(-1), a[good] * MARKS + b[good], out.dtype.type(1))
         # Each of a window's subwords meets each of its marks. Those that are marks themselves: a product of how often
         # each is in a window and which are; the counts are far below 2 ** 24.
-        row, column = np.nonzero(there)
-        mark, rest = mark[row, column], marks[right] < 0
-        often = np.bincount(row * (MARKS + 1) + mark + 1, minlength=len(windows) * (MARKS + 1)).reshape(-1, MARKS + 1)[:, 1:]
+        row = np.repeat(np.arange(len(windows)), np.count_nonzero(there, axis=1))
+        often = np.bincount(row[good] * MARKS + mark[good], minlength=len(windows) * MARKS).reshape(-1, MARKS)
+        has = often > 0
         out[2, common] += (often.astype(np.float32).T @ has.astype(np.float32)).astype(out.dtype)[: len(common)]
         # The others: sums over runs of equal subwords, eight counts of a byte to a number. Runs are cut at 255, and
         # differences of the running sums are right even where these wrap.
-        row, right = row[rest], right[rest]
+        row, right = row[~good], right[~good]
         order = np.argsort(right.astype(np.uint16 if len(marks) <= 1 << 16 else np.int64), kind="stable")
         owner, subword = row[order], right[order]
         begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), subword[1:] != subword[:-1])))
         run = np.flatnonzero((np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))) % 255 == 0)
         total = np.zeros((len(order) + 1, MARKS // 8), np.uint64)
         np.cumsum(np.take(has.view(np.uint64), owner, axis=0), axis=0, out=total[1:])
-        np.add.at(out[2], subword[run], np.diff(total[np.append(run, len(order))], axis=0).view(np.uint8).reshape(-1, MARKS))
+        counts = np.diff(total[np.append(run, len(order))], axis=0).view(np.uint8).reshape(-1, MARKS)
+        # A subword's first run is its only one but for the commonest, and a sum of distinct rows is many times cheaper.
+        subword = subword[run]
+        first = np.concatenate((np.ones(min(1, len(run)), bool), subword[1:] != subword[:-1]))
+        out[2][subword[first]] += counts[first]
+        np.add.at(out[2], subword[~first], counts[~first])
 
 
 def subword_classes(count: np.ndarray, near: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
@@ -335,14 +392,18 @@ def _clusters(count: np.ndarray, near: np.ndarray, mine: np.ndarray, end: int, n
 
 def _inputs(words: Words, piece_ends: np.ndarray, pieces: np.ndarray, vocabulary: Vocabulary | _Ends) -> tuple[np.ndarray, np.ndarray]:
     """Each text as begin, subwords, end; and the offsets of the texts."""
-    flat, ends = spread(piece_ends, pieces, words.codes, words.offsets)
-    n = len(ends) - 1
-    offsets = ends + 2 * np.arange(n + 1)
+    parts, ends, step = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 1 << 15
+    for at in range(0, len(words.codes), step):  # in blocks that caches hold
+        part, stop = spread(piece_ends, pieces, words.codes[at : at + step], np.arange(1, len(words.codes[at : at + step]) + 1))
+        parts.append(part)
+        ends.append(stop + ends[-1][-1])
+    n = len(words.offsets) - 1
+    offsets = np.concatenate(ends)[words.offsets] + 2 * np.arange(n + 1)
     out = np.empty(offsets[-1], dtype=np.int64)
     inside = np.ones(len(out), dtype=bool)
     inside[offsets[:-1]] = False
     inside[offsets[1:] - 1] = False
-    out[inside] = flat
+    out[inside] = np.concatenate(parts)
     out[offsets[:-1]], out[offsets[1:] - 1] = vocabulary.begin, vocabulary.end
     return out, offsets
 
@@ -416,9 +477,9 @@ def _make_chunks(model_file: str):
             keys = batch.column("doc_id").cast(pa.int64())
             cells = [
                 number, keys.fill_null(0).to_numpy().astype("<i8").tobytes(), keys.is_null().to_numpy(zero_copy_only=False).tobytes(), held_out.tobytes(), words.offsets.astype("<i8").tobytes(),
-                _planes(words.codes), piece_ends.astype("<u4").tobytes(), pieces.astype("<u2").tobytes(), hashes.view(np.int64), counts.astype(np.int64), used.astype(np.int32), each[used], first[used], int(train.sum()), sample.tobytes(),
+                _planes(words.codes), piece_ends.astype("<u4").tobytes(), pieces.astype("<u2").tobytes(), hashes.astype("<u8").tobytes(), counts.astype("<u4").tobytes(), len(hashes), used.astype(np.int32), each[used], first[used], int(train.sum()), sample.tobytes(),
             ]
-            kinds = [pa.int64(), *[pa.binary()] * 7, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), *[pa.binary()] * 9, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary()]
             names = [x.split()[0] for x in CHUNK_SCHEMA.replace("\n", " ").split(",")]
             yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], names=names)
             number += 1
@@ -439,7 +500,7 @@ class Scorer:
     n_end: int
     known: float
 
-    def texts(self, words: Words, piece_ends: np.ndarray, pieces: np.ndarray, count: np.ndarray, begin: int, end: int, block: int = 64):
+    def texts(self, words: Words, piece_ends: np.ndarray, pieces: np.ndarray, count: np.ndarray, begin: int, end: int, block: int = 128):
         """(n_tokens, n_known, base, score) of each text; ``count``: of each distinct word in training texts."""
         n_texts = len(words.offsets) - 1
         log = np.log10((count + 1) / (self.n + self.v + 1))
@@ -483,17 +544,21 @@ def samples_in(batch: pa.RecordBatch, end: int) -> Iterator[tuple[np.ndarray, np
 
 
 def windows_in(batch: pa.RecordBatch, end: int, turn: int = 0, turns: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All training windows of each chunk, in parts and in a mixed order: each target is in one. Of ``turns`` equal parts the one numbered ``turn``."""
+    """All training windows of each chunk, in parts and in a mixed order: each target is in one. Each text is in one of ``turns``, and these are those of ``turn``."""
     for row in batch.select(CHUNK_TEXTS).to_pylist():
         words, piece_ends, pieces = _chunk_words(row)
-        train = np.flatnonzero(~np.frombuffer(row["held_out"], bool))
-        tokens, offsets = _inputs(words, piece_ends, pieces, _Ends(end - 1, end))
-        size = np.diff(offsets)[train]
-        text, start = windows_of(np.append(0, np.cumsum(size - 1)), WINDOW)
-        order = np.random.default_rng(len(tokens)).permutation(len(text))[turn::turns]
+        r = np.random.default_rng(len(words.codes))
+        mine = np.flatnonzero(~np.frombuffer(row["held_out"], bool))
+        mine = np.sort(r.permutation(mine)[(turn + r.integers(turns)) % turns :: turns])
+        chosen = np.zeros(len(words.offsets) - 1, bool)
+        chosen[mine] = True
+        some = Words(words.codes[np.repeat(chosen, words.counts)], np.append(0, np.cumsum(words.counts[mine])), words.dictionary)
+        tokens, offsets = _inputs(some, piece_ends, pieces, _Ends(end - 1, end))
+        text, start = windows_of(offsets - np.arange(len(offsets)), WINDOW)
+        order = r.permutation(len(text))
         for at in range(0, len(order), 8192):
             some = order[at : at + 8192]
-            yield _cut_windows(tokens, offsets, train[text[some]], start[some])
+            yield _cut_windows(tokens, offsets, text[some], start[some])
 
 
 def _count_neighbours(marks: np.ndarray, end: int):
@@ -559,7 +624,7 @@ def _train_on(network: Attention, end: int, rate: float, read):
         for batch in batches:
             for sample, real in read(batch, end):
                 for at in range(0, len(sample), TURN_BATCH):
-                    network.step(sample[at : at + TURN_BATCH], real[at : at + TURN_BATCH], rate)
+                    network.step(sample[at : at + TURN_BATCH], real[at : at + TURN_BATCH], rate, wants_loss=False)
                 weight += len(sample)
         if not weight:
             return
@@ -642,6 +707,51 @@ def build_scorer(chunks: DataFrame, stats: tuple[int, int, int], model_file: str
     return Scorer(network, model_file, log_in_class, log_class_words, n_words + n_train, n_distinct + (n_train > 0), n_train, known)
 
 
+def _rows_of(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values: those from one end to the next."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _deal_words(parts: int):
+    """Arrow function over chunks: (part, chunk, hashes, counts, at), a chunk's words of each range of hashes; ``at``: their numbers in the chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, hashes, counts in zip(*(batch.column(c).to_pylist() for c in ("chunk", "hashes", "counts")), strict=True):
+                hashes, counts = np.frombuffer(hashes, "<u8"), np.frombuffer(counts, "<u4")
+                part = ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts <= 1 << 16 else np.int64)
+                at = np.argsort(part, kind="stable")
+                size = np.bincount(part, minlength=1)
+                some = np.flatnonzero(size)
+                ends = np.concatenate(([0], np.cumsum(size[some])))
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), chunk, np.int64)), _rows_of(hashes[at], ends), _rows_of(counts[at], ends), _rows_of(at.astype("<u4"), ends)], names=["part", "chunk", "hashes", "counts", "at"])
+
+    return run
+
+
+def _sum_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, at, c, n, v, once): counts of the chunks' words in all training texts; n, v and once, of the first row alone: all, distinct and single words."""
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    rows = pa.Table.from_batches(batches)
+    parts = {c: rows.column(c).to_pylist() for c in ("hashes", "counts")}
+    hashes, counts = (np.frombuffer(b"".join(parts.pop(c)), kind) for c, kind in (("hashes", "<u8"), ("counts", "<u4")))
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    begin = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+    total = np.add.reduceat(counts[order].astype(np.int64), begin)
+    of_word = np.empty(len(order), np.int64)
+    of_word[order] = np.repeat(total, np.diff(np.append(begin, len(order))))
+    end, first = 0, (int(total.sum()), int(np.count_nonzero(total)), int(np.count_nonzero(total == 1)))
+    for batch in batches:
+        size = pc.binary_length(batch.column("at")).to_numpy() // 4
+        ends = end + np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        stats = [pa.array([x] + [0] * (len(size) - 1), pa.int64()) for x in first]
+        yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("at"), _rows_of(of_word[end : ends[-1]].astype("<u8"), ends - end), *stats], names=["chunk", "at", "c", "n", "v", "once"])
+        end, first = int(ends[-1]), (0, 0, 0)
+
+
 def _score_chunk(scorer: Scorer):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = []
@@ -649,7 +759,8 @@ def _score_chunk(scorer: Scorer):
             ids, held_out = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["held_out"], bool)
             words, piece_ends, pieces = _chunk_words(row)
             count = np.zeros(len(piece_ends) - 1, dtype=np.int64)
-            count[right["at"].to_numpy()] = right["c"].to_numpy()
+            for at, c in zip(right["at"].to_pylist(), right["c"].to_pylist(), strict=True):
+                count[np.frombuffer(at, "<u4")] = np.frombuffer(c, "<u8")
             size = len(scorer.log_in_class)
             n_tokens, known, base, score = scorer.texts(words, piece_ends, pieces, count, size - 2, size - 1)
             parts.append(
@@ -667,20 +778,21 @@ RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 _EMPTY = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
 
 
-def learn(docs: DataFrame, model_file: str, held_out) -> tuple[str, DataFrame, DataFrame, Scorer]:
-    """Write the chunks and the word totals, and train: the chunks' path, their words, the totals and the scorer."""
+def learn(docs: DataFrame, model_file: str, held_out) -> tuple[str, DataFrame, Scorer]:
+    """Write the chunks and the word totals, and train: the chunks' path, the totals of their words and the scorer."""
     spark = docs.sparkSession
     marked = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     path = scratch_path(spark, "lm-chunks")
     marked.mapInArrow(_make_chunks(model_file), CHUNK_SCHEMA).write.option("compression", "zstd").parquet(path)
     chunks = spark.read.schema(CHUNK_SCHEMA).parquet(path)
-    each = chunks.select("chunk", F.posexplode(F.arrays_zip("hashes", "counts")).alias("at", "x"))
-    pairs = each.select((F.shiftleft("chunk", WORD_BITS) + F.col("at")).alias("place"), F.col("x.hashes").alias("hash"), F.col("x.counts").alias("n"))
-    totals_path = scratch_path(spark, "lm-counts")
-    pairs.where("n > 0").groupBy("hash").agg(F.sum("n").alias("c")).write.parquet(totals_path)
-    totals = spark.read.schema("hash long, c long").parquet(totals_path)
-    stats = totals.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.count_if(F.col("c") == 1).alias("once")).first()
-    return path, pairs, totals, build_scorer(chunks, tuple(stats), model_file)
+    # Each task sums the words of one range of hashes. A word is there once for each chunk at most, so ranges have much the same size.
+    parts = max(1, -(-(chunks.agg(F.sum("n_words")).first()[0] or 0) // SUM_WORDS))
+    dealt = chunks.select("chunk", "hashes", "counts").mapInArrow(_deal_words(parts), "part int, chunk long, hashes binary, counts binary, at binary").repartitionById(parts, F.col("part"))
+    counts_path = scratch_path(spark, "lm-counts")
+    dealt.mapInArrow(_sum_words, COUNTS_SCHEMA).write.option("compression", "zstd").parquet(counts_path)
+    counted = spark.read.schema(COUNTS_SCHEMA).parquet(counts_path)
+    stats = counted.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "once"))).first()
+    return path, counted, build_scorer(chunks, tuple(stats), model_file)
 
 
 def score_texts(docs: DataFrame, model_file: str, held_out) -> DataFrame:
@@ -689,7 +801,6 @@ def score_texts(docs: DataFrame, model_file: str, held_out) -> DataFrame:
     Texts are read once; what is shuffled is a chunk's distinct words' hashes and counts, and the chunks' word
     codes. The chunks are written to the shared folder first.
     """
-    path, pairs, totals, scorer = learn(docs, model_file, held_out)
-    counted = pairs.select("place", "hash").join(totals.hint("merge"), "hash").select(F.shiftright("place", WORD_BITS).alias("chunk"), F.col("place").bitwiseAND((1 << WORD_BITS) - 1).alias("at"), "c")
+    path, counted, scorer = learn(docs, model_file, held_out)
     bodies = docs.sparkSession.read.schema(CHUNK_SCHEMA).parquet(path).select("chunk", "ids", "null_id", "held_out", "offsets", "codes", "piece_ends", "pieces")
-    return bodies.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_score_chunk(scorer), RESULT)
+    return bodies.groupBy("chunk").cogroup(counted.select("chunk", "at", "c").groupBy("chunk")).applyInArrow(_score_chunk(scorer), RESULT)
