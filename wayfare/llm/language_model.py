@@ -38,7 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from wayfare.llm.words import Words, hashes_of, mixed, owners, segment_sums, slices, spread, texts_of, words_of
+from wayfare.llm.words import Words, hashes_of, mixed, owners, segment_sums, slices, texts_of, words_of
 from wayfare.plans.shared import scratch_path
 
 WINDOW, STRIDE = 32, 24
@@ -171,12 +171,9 @@ class Attention:
         mix[WIDTH, 3 * WIDTH] = 1
         qkv = _times(flat, mix).reshape(n, WINDOW, 3 * WIDTH + 1)
         q, k, v = qkv[:, skip:, :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
-        e = q @ _turned(k)
-        if not -80 < e.min(initial=0) <= e.max(initial=0) < 80:
-            np.clip(e, -40, 40, out=e)
-        np.exp(e, out=e)
-        e *= self.mask[skip:]
-        mean = e @ v
+        e, mean = self.attended(q, k, v, self.mask[skip:])
+        if not 1e-30 < mean[..., WIDTH].min(initial=1) <= mean[..., WIDTH].max(initial=1) < 1e30:
+            e, mean = self.attended(q, k, v, self.mask[skip:], 40)
         share = 1 / mean[..., WIDTH:]
         mean *= share
         # The vector's last 1 and the mean's make a 2.
@@ -187,6 +184,16 @@ class Attention:
         top += h
         return top, (flat, mix, q, k, v, e, share, mean, h, inner)
 
+    def attended(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, mask: np.ndarray, most: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Powers of e of the attention's logits, which are clipped to ``most``, and the sums of the values by them."""
+        e = q @ _turned(k)
+        if most < np.inf:
+            np.clip(e, -most, most, out=e)
+        with np.errstate(over="ignore", invalid="ignore"):
+            np.exp(e, out=e)
+            e *= mask
+            return e, e @ v
+
     def class_scores(self, ids: np.ndarray, target: np.ndarray, table: np.ndarray, skip: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Natural logs of the probability of each target's class and of a word's beginning; (windows, WINDOW - skip)."""
         target = target[:, skip:]
@@ -215,11 +222,14 @@ class Attention:
         place[order] = np.cumsum(first) - 1
         x = np.take(self.embedded(self.used), place, axis=0).reshape(n, WINDOW, WIDTH + 1)
         top, (flat, mix, q, k, v, e, total, mean, h, inner) = self.forward(x)
-        share = _times(top, np.vstack((p["out"], p["out_b"] / 2)))
-        if not -80 < share.min() <= share.max() < 80:
-            np.clip(share, -40, 40, out=share)
-        np.exp(share, out=share)
-        whole, part = share @ self.sums[:, :1], (weight / weight.sum()).reshape(-1)
+        out = np.vstack((p["out"], p["out_b"] / 2))
+        with np.errstate(over="ignore"):
+            share = _times(top, out)
+            whole = np.exp(share, out=share) @ self.sums[:, :1]
+        if not 1e-30 < whole.min() <= whole.max() < 1e30:
+            share = np.exp(np.clip(_times(top, out), -40, 40))
+            whole = share @ self.sums[:, :1]
+        part = (weight / weight.sum()).reshape(-1)
         goal = np.arange(0, share.size, CLASSES) + self.classes[target.reshape(-1)]
         loss = -float((np.log(np.take(share, goal) / whole[:, 0] + 1e-9) * part).sum()) if wants_loss else np.nan
         share *= part[:, None] / whole
@@ -392,13 +402,17 @@ def _clusters(count: np.ndarray, near: np.ndarray, mine: np.ndarray, end: int, n
 
 def _inputs(words: Words, piece_ends: np.ndarray, pieces: np.ndarray, vocabulary: Vocabulary | _Ends) -> tuple[np.ndarray, np.ndarray]:
     """Each text as begin, subwords, end; and the offsets of the texts."""
-    parts, ends, step = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 1 << 15
+    kind = np.int32 if len(pieces) < 1 << 30 else np.int64
+    sizes, begins, parts, step = np.diff(piece_ends).astype(kind), piece_ends[:-1].astype(kind), [pieces[:0]], 1 << 15
     for at in range(0, len(words.codes), step):  # in blocks that caches hold
-        part, stop = spread(piece_ends, pieces, words.codes[at : at + step], np.arange(1, len(words.codes[at : at + step]) + 1))
-        parts.append(part)
-        ends.append(stop + ends[-1][-1])
+        some = words.codes[at : at + step]
+        size = np.take(sizes, some)
+        ends = np.cumsum(size)
+        place = np.repeat(np.take(begins, some) - (ends - size).astype(kind), size)
+        place += np.arange(len(place), dtype=kind)
+        parts.append(np.take(pieces, place))
     n = len(words.offsets) - 1
-    offsets = np.concatenate(ends)[words.offsets] + 2 * np.arange(n + 1)
+    offsets = np.append(0, np.cumsum(np.take(sizes, words.codes), dtype=np.int64))[words.offsets] + 2 * np.arange(n + 1)
     out = np.empty(offsets[-1], dtype=np.int64)
     inside = np.ones(len(out), dtype=bool)
     inside[offsets[:-1]] = False
