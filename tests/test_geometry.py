@@ -131,6 +131,21 @@ def test_equal_areas_go_to_the_smaller_id(spark):
     assert {p.poly_id for p in got} == {0}
 
 
+def test_smallest_polygon_meets_few(spark, monkeypatch):
+    """400 squares over one cell: a place that the smallest hold is not tried against all; places that only the last ones hold, or none, are."""
+    seen, real = spark.sparkContext.accumulator(0), geometry.inside
+    count = F.udf(lambda x, poly: seen.add(1) is None, "boolean")  # of both, or it is counted before they meet
+    monkeypatch.setattr(geometry, "inside", lambda px, py: real(px, py) & count(F.col(px), F.col("poly_id")))
+    square = lambda x, w: [(x, x), (x + w, x), (x + w, x + w), (x, x + w)]
+    rings = [(i, square(10.0, 50.0 + (i * 7) % 400 / 10)) for i in range(400)] + [(1000 + i, ring) for i, ring in enumerate([square(5.0, 94.9), square(5.0, 94.9)])]
+    points = [(i, 15.0 + i % 40 + i / 1000, 20.0 + i % 30) for i in range(500)] + [(900, 7.0, 7.0), (901, 99.5, 99.5), (902, 1.0, 1.0), (903, 99.95, 99.95), (904, 99.5, 99.5), (905, math.nan, 1.0), (906, None, 1.0), (907, 99.0, 75.0)]
+    got = {p.point_id: p.poly_id for p in geometry.smallest_polygon(spark.createDataFrame(points, "point_id long, px double, py double"), spark.createDataFrame(rings, "poly_id long, ring array<struct<x:double,y:double>>"), 100.0).collect()}
+    for i, x, y in points:
+        own = [(geometry._area(np.array(ring)), k) for k, ring in rings if x is not None and geometry._has(np.array(ring), x, y)]
+        assert got[i] == (min(own)[1] if own else None), i
+    assert len(got) == len(points) and 0 < seen.value < 50 * len(points), seen.value
+
+
 def test_nearest_segment_against_brute_force(spark):
     """Crowded and empty places, equal legs, points at one place, and a mirror pair whose tie must not fall to rounding."""
     r = np.random.default_rng(9)

@@ -7,9 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wayfare.functions.scalars import EPS
+from wayfare.plans.shared import cut
 
 #: Steps of the outline's grid to a radius, and grid cells along the side of a tile.
 STEPS, TILE = 12, 64
@@ -282,20 +283,30 @@ def inside(px: str, py: str, ring: str = "ring"):
     return F.aggregate(crosses, F.lit(0), lambda s, v: s + v) % 2 == 1
 
 
-def smallest_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+def smallest_polygon(points: DataFrame, polygons: DataFrame, cell: float, steps: tuple[int, ...] = (32, 256)) -> DataFrame:
     """(point_id, poly_id, area) of the smallest polygon with each point inside, ties by id, else null.
 
     ``points``: (point_id, px, py); ``polygons``: (poly_id, ring). They meet by grid cells of side ``cell``.
     Areas that agree to nine digits are equal: the rest of a computed area depends on where its polygon lies.
+    Places are looked up, not points, and of equal rings the one of least id. A place meets the 32 smallest polygons of
+    its cell first; one that is in none of them goes on to the 256 smallest, then to all the others.
     """
     ends = {f"{c}{n}": f(f"ring.{c}") for c in "xy" for n, f in ((0, F.array_min), (1, F.array_max))}
     span = lambda c: F.explode(F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell)))
-    sized = polygons.where(F.size("ring") > 2).select("poly_id", "ring", ring_area().alias("area")).withColumns({"size": F.format_string("%.8e", "area").try_cast("double"), **ends})
-    placed = sized.withColumn("cx", span("x")).withColumn("cy", span("y"))
-    located = points.where("px is not null and py is not null").select("point_id", "px", "py", F.floor(F.col("px") / cell).alias("cx"), F.floor(F.col("py") / cell).alias("cy"))
-    boxed = located.join(placed, ["cx", "cy"]).where("px >= x0 and px <= x1 and py >= y0 and py <= y1")
-    best = boxed.where(inside("px", "py")).groupBy("point_id").agg(F.min(F.struct("size", "poly_id", "area")).alias("b"))
-    return points.select("point_id").join(best, "point_id", "left").select("point_id", "b.poly_id", "b.area")
+    rings = polygons.where(F.size("ring") > 2).groupBy("ring").agg(F.min(F.struct("poly_id")).alias("p")).select("p.poly_id", "ring")
+    sized = rings.withColumn("area", ring_area()).withColumns({"size": F.format_string("%.8e", "area").try_cast("double"), **ends})
+    order = Window.partitionBy("cx", "cy").orderBy("size", "poly_id", "area")
+    placed = cut(sized.withColumn("cx", span("x")).withColumn("cy", span("y")).withColumn("rank", F.row_number().over(order)))
+    left, found, low = points.where("px is not null and py is not null").select("px", "py").distinct(), None, 0
+    for high in (*steps, None):
+        some = placed.where(F.col("rank") > low) if high is None else placed.where((F.col("rank") > low) & (F.col("rank") <= high))
+        located = left.withColumns({"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)})
+        boxed = located.join(some, ["cx", "cy"]).where("px >= x0 and px <= x1 and py >= y0 and py <= y1")
+        best = cut(boxed.where(inside("px", "py")).groupBy("px", "py").agg(F.min(F.struct("size", "poly_id", "area")).alias("b")))
+        found = best if found is None else found.union(best)
+        left, low = left.join(best, ["px", "py"], "left_anti"), high
+    each = points.join(found, ["px", "py"]).groupBy("point_id").agg(F.min("b").alias("b"))
+    return points.select("point_id").join(each, "point_id", "left").select("point_id", "b.poly_id", "b.area")
 
 
 def polygonize(lines: np.ndarray, digits: int = 6) -> list[np.ndarray]:
